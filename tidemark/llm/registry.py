@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import chat, decontam, mixing, pii, quality, sharding
 
 QUERIES = {
+    "op1_risk_controlled_quality": quality.op1_risk_controlled_quality,
+    "op2_sainte_lague_mix": mixing.op2_sainte_lague_mix,
+    "op4_hash_tree_shards": sharding.op4_hash_tree_shards,
+    "op8_budgeted_windows": chat.op8_budgeted_windows,
+    "op9_bootstrapped_pii": pii.op9_bootstrapped_pii,
     "op10_winnowing_decontamination": decontam.op10_winnowing_decontamination,
 }
 
 ORACLES = {
+    "op1_risk_controlled_quality": quality.ORACLE,
+    "op2_sainte_lague_mix": mixing.ORACLE,
+    "op8_budgeted_windows": chat.ORACLE,
     "op10_winnowing_decontamination": decontam.ORACLE,
 }
