@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, pii, quality, sharding
+from . import chat, decontam, html_text, langid, mixing, neardup, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op1_risk_controlled_quality": quality.op1_risk_controlled_quality,
     "op2_sainte_lague_mix": mixing.op2_sainte_lague_mix,
+    "op3_subword_toxicity": toxicity.op3_subword_toxicity,
     "op4_hash_tree_shards": sharding.op4_hash_tree_shards,
+    "op5_lsh_forest_near_duplicates": neardup.op5_lsh_forest_near_duplicates,
+    "op6_block_tree_extraction": html_text.op6_block_tree_extraction,
+    "op7_output_code_language": langid.op7_output_code_language,
     "op8_budgeted_windows": chat.op8_budgeted_windows,
     "op9_bootstrapped_pii": pii.op9_bootstrapped_pii,
     "op10_winnowing_decontamination": decontam.op10_winnowing_decontamination,
