@@ -76,6 +76,21 @@ TABLE = np.array([row.split() for row in """
 6 0.0 3 1.0 70 0.0 0 0 1
 5 0.0 50 0.0 60 0.0 0 0 1
 1 0.0 50 0.0 60 0.0 0 0 1
+40 0.0 30 0.0 0 0.0 0 1 1
+3 0.0 30 0.0 0 0.0 0 1 1
+6 0.0 20 0.0 12 1.0 0 1 1
+50 0.0 20 0.0 3 1.0 0 1 1
+20 0.0 0 0.0 0 0.0 0 1 1
+4 0.0 3 0.0 5 0.0 0 1 1
+4 0.0 6 0.0 5 0.0 0 0 0
+3 0.0 2 0.0 4 0.0 0 0 0
+2 0.0 5 0.0 1 0.0 0 0 0
+8 0.0 4 0.0 3 0.0 0 0 0
+5 0.0 0 0.0 6 0.0 0 0 0
+4 0.0 0 0.0 0 0.0 0 0 0
+45 0.0 6 0.0 0 0.0 0 0 1
+33 0.0 5 0.0 4 0.0 0 0 1
+3 0.0 45 0.0 40 0.0 0 0 1
 35 0.6 3 1.0 4 1.0 0 0 0
 50 0.7 60 0.0 4 1.0 0 0 0
 """.strip().splitlines()], dtype=float)
@@ -86,7 +101,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     if depth == 0 or len(set(y)) == 1 or len(y) < 2:
         return float(y.mean())
     best = None
-    for k in range(x.shape[1]):
+    for k in (6, 7, 1, 0, 2, 4, 3, 5):  # on ties, hints and the block itself before its neighbours
         values = np.unique(x[:, k])
         for cut in (values[:-1] + values[1:]) / 2:
             low = x[:, k] <= cut
