@@ -1,7 +1,10 @@
-"""Named queries over the driver's tables, with the DuckDB SQL that must give the same rows."""
+"""All queries over the driver's tables by name, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from . import dates, scan, text  # noqa: F401
+from .tables import ORACLES, QUERIES
+
+FLAGSHIP = scan.flagship
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
