@@ -7,16 +7,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(texts: pd.Series) -> pd.Series:
     plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))
     return texts.map(plain, na_action="ignore")
