@@ -51,14 +51,16 @@ def _pick(children: list[Column], results: list[Column]) -> Column:
 
 def with_shards(df: DataFrame, key: Column, outs: dict[str, list]) -> DataFrame:
     """Adds for each name the shard that its tree gives the key."""
-    draws = {s: w for t in outs.values() for region in t for rack in region for s, w in rack}
-    df = df.withColumns({f"__d{s}": _draw(key, s, w) for s, w in draws.items()})
+    leaves = sorted({leaf for t in outs.values() for region in t for rack in region for leaf in rack})
+    name_of = {leaf: f"__d{i}" for i, leaf in enumerate(leaves)}
+    df = df.withColumns({name_of[leaf]: _draw(key, *leaf) for leaf in leaves})
+    drawn = lambda rack: [F.col(name_of[leaf]) for leaf in rack]
+    down = lambda rack: _pick(drawn(rack), [F.lit(s) for s, _ in rack])
     for name, t in outs.items():
-        racks = [[_least([F.col(f"__d{s}") for s, _ in rack]) for rack in region] for region in t]
+        racks = [[_least(drawn(rack)) for rack in region] for region in t]
         regions = [_least(r) for r in racks]
-        down = lambda rack: _pick([F.col(f"__d{s}") for s, _ in rack], [F.lit(s) for s, _ in rack])
         df = df.withColumn(name, _pick(regions, [_pick(r, [down(rack) for rack in region]) for r, region in zip(racks, t, strict=True)]))
-    return df.drop(*(f"__d{s}" for s in draws))
+    return df.drop(*name_of.values())
 
 
 def numbered(df: DataFrame, part: str, order: Column, ties: list[str]) -> DataFrame:

@@ -74,7 +74,15 @@ _rule("R15_link_target_exists", "link-target-exists", f"SELECT {_P} AS file, 'ta
 _rule("R16_no_wikilinks", "no-wikilinks", _when(("no-wikilinks", "house", "p_partkey % 21 = 0")))
 _rule("R20_index_completeness", "index-completeness", "SELECT DISTINCT p_type || '/index.md' AS file, 'folder-index' AS \"check\", 'warn' AS level FROM part UNION ALL SELECT 'index.md', 'root-links-folder', 'warn' FROM (SELECT DISTINCT p_type FROM part)")
 _rule("R23_tables", "tables", _when(("blank-line-before", "warn", "p_partkey % 2 = 1"), ("duplicate-row", "warn", "p_partkey % 3 = 0"), ("long-cell", "warn", "length(p_name) > 11"), ("long-cell", "warn", "length(p_name) > 11 AND p_partkey % 3 = 0")))
-_rule("R29_confidential", "confidential", "SELECT '' AS file, '' AS \"check\", '' AS level WHERE false")
+
+
+@query("R29_confidential", f'SELECT {_P} AS file, count(*) AS n FROM part WHERE p_size < 10 AND p_type <> \'PROMO\' GROUP BY 1')
+def confidential(t):
+    """Links from outside into a confidential folder; links to its index pass."""
+    note = F.concat(F.lit("See [a](../PROMO/"), F.when(F.col("p_size") < 10, "x").otherwise("index"), F.lit(".md)"))
+    files = t("part").select(F.concat_ws("/", "p_type", F.concat(F.col("p_partkey").cast("string"), F.lit(".md"))).alias("path"), note.alias("text"))
+    return R.RULES["confidential"](R.Context(files, CONFIG)).groupBy("file").agg(F.count("*").alias("n"))
+
 _rule("R30_attribution", "attribution", _when(("source-referenced", "warn", "p_partkey % 4 = 1")))
 
 
