@@ -9,7 +9,8 @@ with what was seen. The best passage's margin is turned into a probability by a
 The model is fitted on a bounded sample of the labelled rows outside the held-out fold: about `POSITIVE` toxic and
 `NEGATIVE` other texts, up to `SAMPLE_CHARS` characters, chosen by a hash of the id. Scoring reads whole texts.
 
-Nulls and edges: null or empty texts score as a text without evidence; a document with several labels is toxic if
+Nulls and edges: a word without a known n-gram scores as the mean word of clean texts, and a null or empty text as
+one such word; a document with several labels is toxic if
 one says so; without labels of both classes every score is 0; each document row gives one row.
 """
 
@@ -64,12 +65,14 @@ def subwords(text: str):
         yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]) - 1, n_words
 
 
-def word_scores(text: str, table: np.ndarray) -> np.ndarray:
+def word_scores(text: str, table: np.ndarray, unknown: float = 0.0) -> np.ndarray:
+    """The score of each word; a word of which no n-gram has a vector scores ``unknown``."""
     out = []
     for grams, of, n in subwords(text):
         ok = of < n
-        count = np.bincount(of[ok], minlength=n)
-        out.append(np.bincount(of[ok], weights=table[grams[ok]], minlength=n) / np.maximum(count, 1))
+        worth = table[grams[ok]]
+        count, known = np.bincount(of[ok], minlength=n), np.bincount(of[ok], weights=worth != 0, minlength=n)
+        out.append(np.where(known > 0, np.bincount(of[ok], weights=worth, minlength=n) / np.maximum(count, 1), unknown))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -142,7 +145,11 @@ def train(texts: list[str], toxic: list[int]) -> dict | None:
             e *= 1 - DECAY
     table, base = np.zeros(BUCKETS, dtype=np.float32), float(b[1] - b[0])
     table[seen] = e @ (v[:, 1] - v[:, 0])
-    margin = np.array([passages(word_scores(t, table)).max() + base for t in texts])
+    # A word never seen counts as the mean word of clean texts, not as one between the classes.
+    clean = np.concatenate([word_scores(t, table, np.nan) for t, toxic_text in zip(texts, y, strict=True) if not toxic_text])
+    clean = clean[~np.isnan(clean)]
+    unknown = min(0.0, float(clean.mean())) if len(clean) else 0.0
+    margin = np.array([passages(word_scores(t, table, unknown)).max() + base for t in texts])
     fit = left if len(set(y[left])) == 2 else np.ones(len(y), dtype=bool)
     mid, wide = margin[fit].mean(), margin[fit].std() + 1e-9
     x, a, c = (margin[fit] - mid) / wide, 1.0, 0.0
@@ -150,13 +157,14 @@ def train(texts: list[str], toxic: list[int]) -> dict | None:
         p = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
         d = (p - y[fit]) * even[fit] / fit.sum()
         a, c = a - (d @ x + 1e-3 * a), c - d.sum()
-    return {"table": table, "scale": a / wide, "shift": c - a * mid / wide + base * a / wide}
+    return {"table": table, "unknown": unknown, "scale": a / wide, "shift": c - a * mid / wide + base * a / wide}
 
 
 def score(model: dict | None, text: str | None) -> float:
     if model is None:
         return 0.0
-    z = model["scale"] * passages(word_scores(text or "", model["table"])).max() + model["shift"]
+    scores = word_scores(text or "", model["table"], model["unknown"])
+    z = model["scale"] * (passages(scores).max() if len(scores) else model["unknown"]) + model["shift"]
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
