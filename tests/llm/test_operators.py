@@ -92,6 +92,15 @@ def test_deduplicate_keeps_the_least_of_each(docs):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_runs_are_bounded_in_rows_and_bytes(spark):
+    rows = [(b, bytes([b]) + i.to_bytes(4, "big"), n) for b, n in ((1, 10), (2, 400), (3, 5000)) for i in range(600)]
+    got = neardup.runs(spark.createDataFrame(rows, "base long, fp binary, bytes long"), 50, 10_000).collect()
+    assert sorted((x.base, bytes(x.fp), x.bytes) for x in got) == sorted(rows)
+    held = Counter((x.base, x.run) for x in got)
+    # A run is followed by what is left of its last bucket.
+    assert all(held[k] <= {1: 50, 2: 25, 3: 2}[k[0]] + 15 for k in held) and len(held) > 12 + 24 + 100
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0
 

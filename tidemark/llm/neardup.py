@@ -8,9 +8,11 @@ are a region. Depth follows density:
   deviations below the threshold), which are then confirmed on the full sets;
 * a larger one is solved in its own task on the full sets of its nodes, best pairs first, leaving out pairs that are
   connected already, so that it gives a spanning forest of true links instead of all pairs;
-* one of more than `HOT` nodes goes to the full depth of the tree, and from there on in runs of `HOT` nodes in
-  signature order that share their first node; besides, each of its nodes is held against the region's leader, the
-  node whose signature agrees best with the values most common there.
+* one of more than `HOT` nodes or `RUN_BYTES` of text is dealt into runs within these bounds. Each run is solved in its
+  own task, and each node is held against the region's leader, the node whose signature agrees best with the values
+  most common there. Then the nodes outside the region's largest component meet all its nodes, run against run, so
+  that each pair that agrees often enough is confirmed on the full sets or connected already; components are
+  contracted between groups of trees, so that later trees have little left to do. A task holds two runs at most.
 
 A pair of similarity 0.85 shares no region of any tree with a probability below 1e-5. Links are only ever made on
 full sets. Components come from alternating star contractions on the links.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, row_key, stage, text_key, without
@@ -34,13 +36,15 @@ TREES, DEPTH, BASE_DEPTH = 16, 8, 4
 SLOTS = TREES * DEPTH
 SPARSE = 16
 HOT = 4096
+#: Text of a run, in bytes; one longer text is a run of its own.
+RUN_BYTES = 16 << 20
 LEAST_AGREE = 90  # of 128 values
 NUM, DEN = 85, 100  # a link: DEN * intersection >= NUM * union
 SEED = 20240501
 #: Texts that a task cuts into shingles at once, in bytes.
 CHUNK = 4 << 20
 
-_SIGNED = "doc_id long, n_shingles long, fp binary, tkey string, sig binary"
+_SIGNED = "doc_id long, n_shingles long, fp binary, tkey string, sig binary, bytes long"
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -89,7 +93,7 @@ def _sign(batches):
                 n.append(len(s))
                 fps.append(_fingerprint(s) if len(s) else None)
                 sigs.append(signer.signature(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fps, pa.binary()), keys, pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "fp", "tkey", "sig"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fps, pa.binary()), keys, pa.array(sigs, pa.binary()), pa.array(map(len, texts), pa.int64())], names=["doc_id", "n_shingles", "fp", "tkey", "sig", "bytes"])
 
 
 def _groups(batches, key: int = 0):
@@ -148,14 +152,11 @@ def solve(fps: list[bytes], sig: np.ndarray, sets: list[np.ndarray]):
     n, forest = len(fps), Forest(len(fps))
     common = np.array([np.bincount(sig[:, k]).argmax() for k in range(SLOTS)])
     leader = int((sig == common).sum(axis=1).argmax())
-    own = [frozenset(s.tolist()) for s in sets]
 
     def confirm(i: int, j: int):
-        if forest.top(i) != forest.top(j):
-            both = len(own[i] & own[j])
-            if DEN * both >= NUM * (len(own[i]) + len(own[j]) - both):
-                forest.join(i, j)
-                return fps[i], fps[j]
+        if forest.top(i) != forest.top(j) and linked(sets[i], sets[j]):
+            forest.join(i, j)
+            return fps[i], fps[j]
         return None
 
     for j in range(n):
@@ -172,15 +173,13 @@ def solve(fps: list[bytes], sig: np.ndarray, sets: list[np.ndarray]):
 
 
 def _dense_links(batches):
-    """Rows (region, sig, fp, text), sorted -> true links, region by region, in runs of HOT nodes."""
+    """Rows (region, sig, fp, text), sorted -> true links, region by region; a region is within a run's bounds."""
     shingler, out, tops = Shingler(), [], [pa.binary()] * 2
     for _, rows in _groups(batches):
-        for i in range(0, max(1, len(rows) - 1), HOT - 1):
-            run = rows[i : i + HOT]
-            texts = [(r[3] or "").encode() for r in run]
-            sets = [s for part in _chunks(texts) for s in shingler.sets([texts[k] for k in part])]
-            sig = np.frombuffer(b"".join(r[1] for r in run), dtype=">u2").reshape(len(run), SLOTS).astype(np.int64)
-            out += solve([r[2] for r in run], sig, sets)
+        texts = [(r[3] or "").encode() for r in rows]
+        sets = [s for part in _chunks(texts) for s in shingler.sets([texts[k] for k in part])]
+        sig = np.frombuffer(b"".join(r[1] for r in rows), dtype=">u2").reshape(len(rows), SLOTS).astype(np.int64)
+        out += solve([r[2] for r in rows], sig, sets)
         if len(out) > 20_000:
             yield _emit(out, ["a", "b"], tops)
             out = []
@@ -244,6 +243,21 @@ def _leaders(hot: DataFrame) -> DataFrame:
     return held.join(top, "base").where("fp <> leader").select("fp", F.greatest("fp", "leader").alias("b"), F.least("fp", "leader").alias("a")).select(F.xxhash64("fp").alias("key"), "a", "b").distinct()
 
 
+def runs(rows: DataFrame, most: int, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """Adds run: the nodes of each base dealt into runs of about `most` rows and `run_bytes` at most.
+
+    Nodes fall into small buckets by hash; the buckets' running sums of cost give the runs, so that no task reads more
+    of a region than its buckets. Cost is in millionths of a run.
+    """
+    million = 1_000_000
+    costed = rows.withColumn("cost", F.ceil(million * F.greatest(F.col("bytes") / run_bytes, F.lit(1 / most))))
+    total = costed.groupBy("base").agg(F.ceil(F.sum("cost") / million).alias("least_runs"))
+    costed = stage(costed.join(total, "base").withColumn("bucket", F.pmod(F.xxhash64("fp", F.lit("run")), 16 * F.col("least_runs"))), "costed")
+    before = F.sum("cost").over(Window.partitionBy("base").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    start = costed.groupBy("base", "bucket").agg(F.sum("cost").alias("cost")).select("base", "bucket", F.floor(F.coalesce(before, F.lit(0)) / million).alias("run"))
+    return costed.join(start, ["base", "bucket"]).drop("cost", "least_runs", "bucket")
+
+
 def near_duplicates(docs: DataFrame, hot: int = HOT, sparse: int = SPARSE) -> DataFrame:
     """A row for each document row: doc_id, n_shingles, component_id, kept, and tkey, the key of its text."""
     spark = docs.sparkSession
@@ -251,19 +265,25 @@ def near_duplicates(docs: DataFrame, hot: int = HOT, sparse: int = SPARSE) -> Da
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # texts are long
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stage(texts.mapInArrow(_sign, _SIGNED), "signed")
-    nodes = stage(signed.where("fp is not null").groupBy("fp").agg(F.min("tkey").alias("tkey"), F.first("sig").alias("sig")), "nodes")
+    nodes = stage(signed.where("fp is not null").groupBy("fp").agg(F.min(F.struct("tkey", "bytes")).alias("least"), F.first("sig").alias("sig")).select("fp", "least.tkey", "sig", "least.bytes"), "nodes")
 
     part = lambda d: F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, 2 * d)
-    entries = nodes.select("fp", "sig", F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree"))
-    entries = entries.select("fp", "sig", F.xxhash64("tree", part(BASE_DEPTH)).alias("base"), F.xxhash64("tree", part(DEPTH), F.lit("deep")).alias("deep"))
-    shared = stage(entries.groupBy("base").agg(F.count("*").alias("n")).where("n > 1"), "regions")
-    met = stage(entries.join(maybe_broadcast(shared, 24), "base"), "met")
+    entries = nodes.select("fp", "sig", "bytes", F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree"))
+    entries = entries.withColumn("base", F.xxhash64("tree", part(BASE_DEPTH)))
+    shared = entries.groupBy("base").agg(F.count("*").alias("n"), F.sum("bytes").alias("all")).where("n > 1")
+    shared = stage(shared.select("base", "n", ((F.col("n") > sparse) & ((F.col("n") > hot) | (F.col("all") > RUN_BYTES))).alias("hot")), "regions")
+    met = stage(entries.join(maybe_broadcast(shared, 25), "base"), "met")
 
     by_region = lambda df, *order: df.repartition("region").sortWithinPartitions("region", *order)
     few = by_region(met.where(F.col("n") <= sparse).select(F.col("base").alias("region"), "fp", "sig"), "fp")
     pairs = few.mapInArrow(_sparse_pairs, "a binary, b binary").distinct().select(F.xxhash64("a").alias("key"), "a", "b")
-    pairs = stage(pairs.unionByName(_leaders(met.where(F.col("n") > hot))).distinct(), "pairs")
-    dense = met.where(F.col("n") > sparse).select("fp", "sig", F.when(F.col("n") > hot, F.col("deep")).otherwise(F.col("base")).alias("region"))
+    dense = met.where((F.col("n") > sparse) & ~F.col("hot")).select("fp", "sig", F.col("base").alias("region"))
+    dealt = None
+    if not shared.where("hot").isEmpty():
+        dealt = stage(runs(met.where("hot"), hot), "runs")
+        pairs = pairs.unionByName(_leaders(dealt)).distinct()
+        dense = dense.unionByName(dealt.select("fp", "sig", F.xxhash64("base", "run", F.lit("run")).alias("region")))
+    pairs = stage(pairs, "pairs")
 
     # The texts of all nodes that have a candidate, read once more by their keys.
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(dense.select("fp")).distinct()
