@@ -92,6 +92,17 @@ def test_deduplicate_keeps_the_least_of_each(docs):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_near_duplicates_of_a_hot_chain(spark):
+    """All texts share most words, so regions are hot, but each is near only the one before and the one after."""
+    r = random.Random(2)  # a chain with a link that no full-depth run holds
+    new = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    common, own = new(504), [new(43) for _ in range(101)]
+    rows = [(k, f"{common} {own[k]} {own[k + 1]}") for k in range(100)]
+    assert {c for _, _, c in components(rows)} == {0}
+    df = spark.createDataFrame([(i, t, "en", "hot", 0, "x") for i, t in rows], DOCS).repartition(3)
+    assert {x.component_id for x in neardup.near_duplicates(df, hot=4, sparse=2).collect()} == {0}
+
+
 def test_runs_are_bounded_in_rows_and_bytes(spark):
     rows = [(b, bytes([b]) + i.to_bytes(4, "big"), n) for b, n in ((1, 10), (2, 400), (3, 5000)) for i in range(600)]
     got = neardup.runs(spark.createDataFrame(rows, "base long, fp binary, bytes long"), 50, 10_000).collect()

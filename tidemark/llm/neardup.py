@@ -38,6 +38,8 @@ SPARSE = 16
 HOT = 4096
 #: Text of a run, in bytes; one longer text is a run of its own.
 RUN_BYTES = 16 << 20
+#: Trees whose runs meet together, before components are contracted again.
+ROUNDS = ((0,), (1, 2, 3), tuple(range(4, TREES)))
 LEAST_AGREE = 90  # of 128 values
 NUM, DEN = 85, 100  # a link: DEN * intersection >= NUM * union
 SEED = 20240501
@@ -187,6 +189,32 @@ def _dense_links(batches):
         yield _emit(out, ["a", "b"], tops)
 
 
+def _cross_links(batches):
+    """Rows (meeting, side, sig, fp, label, rest, text), side 0 first -> true links that join labels across the sides."""
+    shingler, out, tops = Shingler(), [], [pa.binary()] * 2
+    for _, rows in _groups(batches):
+        texts = [(r[6] or "").encode() for r in rows]
+        sets = [s for part in _chunks(texts) for s in shingler.sets([texts[k] for k in part])]
+        sig = np.frombuffer(b"".join(r[2] for r in rows), dtype=">u2").reshape(len(rows), SLOTS).astype(np.uint16)
+        number = {}
+        mark = [number.setdefault(r[4], len(number)) for r in rows]
+        forest, n = Forest(len(number)), sum(r[1] == 0 for r in rows)
+        for i in range(n):
+            agree = (sig[n:] == sig[i]).sum(axis=1)
+            near = np.flatnonzero(agree >= LEAST_AGREE)
+            for j in (near[np.argsort(-agree[near], kind="stable")] + n).tolist():
+                # Two nodes outside the largest component meet twice.
+                once = not rows[j][5] or rows[i][3] < rows[j][3]
+                if once and forest.top(mark[i]) != forest.top(mark[j]) and linked(sets[i], sets[j]):
+                    forest.join(mark[i], mark[j])
+                    out.append((rows[i][3], rows[j][3]))
+        if len(out) > 20_000:
+            yield _emit(out, ["a", "b"], tops)
+            out = []
+    if out:
+        yield _emit(out, ["a", "b"], tops)
+
+
 def _confirm(batches):
     """Rows (key, kind, fp, other, text), texts of a key (kind 0) before its pairs (kind 1) -> true links."""
     shingler, out = Shingler(), []
@@ -258,6 +286,26 @@ def runs(rows: DataFrame, most: int, run_bytes: int = RUN_BYTES) -> DataFrame:
     return costed.join(start, ["base", "bucket"]).drop("cost", "least_runs", "bucket")
 
 
+def _meet(hot: DataFrame, held: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The labels after each candidate pair of the hot regions (base, tree, fp, sig, bytes, run) is linked or ruled out."""
+    for trees in ROUNDS:
+        at = hot.where(F.col("tree").isin(*trees)).join(labels, F.col("fp") == F.col("node"), "left").select("base", "run", "fp", "sig", "bytes", F.coalesce("label", "fp").alias("label"))
+        at = stage(at, "contracted")
+        top = at.groupBy("base", "label").agg(F.count("*").alias("c")).groupBy("base").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
+        at = stage(at.join(top, "base").withColumn("rest", F.col("label") != F.col("top")).drop("top"), "contracted")
+        rest = at.where("rest").drop("run")
+        if rest.isEmpty():
+            continue
+        rest = stage(runs(rest, most), "rest")
+        x = rest.select("base", F.col("run").alias("x"), F.lit(0).alias("side"), "sig", "fp", "label", "rest").join(at.select("base", F.col("run").alias("y")).distinct(), "base")
+        y = at.select("base", F.col("run").alias("y"), F.lit(1).alias("side"), "sig", "fp", "label", "rest").join(rest.select("base", F.col("run").alias("x")).distinct(), "base")
+        both = x.unionByName(y).join(held, "fp").select(F.xxhash64("base", "x", "y").alias("meeting"), "side", "sig", "fp", "label", "rest", "text")
+        links = stage(both.repartition("meeting").sortWithinPartitions("meeting", "side", "fp").mapInArrow(_cross_links, "a binary, b binary"), "links")
+        if not links.isEmpty():
+            labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    return labels
+
+
 def near_duplicates(docs: DataFrame, hot: int = HOT, sparse: int = SPARSE) -> DataFrame:
     """A row for each document row: doc_id, n_shingles, component_id, kept, and tkey, the key of its text."""
     spark = docs.sparkSession
@@ -296,6 +344,8 @@ def near_duplicates(docs: DataFrame, hot: int = HOT, sparse: int = SPARSE) -> Da
     asked = asked.unionByName(pairs.select("key", F.lit(1).alias("kind"), F.col("a").alias("fp"), F.col("b").alias("other"), F.lit(None).cast("string").alias("text")))
     sure = asked.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_confirm, "a binary, b binary")
     labels = components(found.unionByName(sure))
+    if dealt is not None:
+        labels = _meet(dealt, held, labels, hot)
 
     rows = signed.select("doc_id", "n_shingles", "fp", "tkey").join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
     rows = stage(rows.select("doc_id", "n_shingles", "label", "tkey"), "labelled")
