@@ -312,6 +312,17 @@ def test_pii_learns_contexts(spark):
     assert not got[41].spans and not got[42].spans and got[3].spans == got[3].base
 
 
+def test_pii_spellings_do_not_rule_a_context_out(spark):
+    from pyspark.sql import functions as F
+
+    rows = [f"note {WORDS[i]} reach holder n{i}@mail{i}.example.org {WORDS[i + 20]} more" for i in range(12)]
+    plain = " ".join(f"reach holder {w} {WORDS[i]}" for i, w in enumerate("call call, call. send send, send. ask ask, meet meet;".split()))
+    # a text that samples by the text's hash would hold
+    rows += [spark.range(2000).select(F.concat(F.lit(plain + " v"), "id").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).first().text, "then reach holder user40(at)host soon"]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame([(i, t, "en", "a", 0, "x") for i, t in enumerate(rows)], DOCS), ["doc_id"]).collect()}
+    assert [tuple(x) for x in got[13].spans] == [(18, 0, 32)]
+
+
 def test_language_is_learned(spark, empty):
     r = random.Random(2)
     kinds = {"aa": "tion ing the and of ent", "bb": "keit ung der die sch ich", "cc": "eau oux la le ais tre"}

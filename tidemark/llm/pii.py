@@ -5,8 +5,6 @@ the word before and the word after. Contexts of at least `SEEDS` different seeds
 kind. All words of the corpus that stand in a pattern are its instances; on the graph of patterns and instances the
 scores are iterated: a pattern is worth the mean score of its different instances (smoothed), an instance that is a
 seed is worth 1, one of identifier shape (with a digit or @) what its patterns make likely, any other word 0.
-A context that cannot reach `CONFIDENT`, however its identifiers score, takes no part: its identifiers are known from
-the first pass, and the ordinary words seen in it in one document of `PROBE` bound its score from above already.
 Patterns that end above `CONFIDENT` mark the identifiers in them that overlap no shape, under the pattern's kind.
 
 The expressions below are the contract's with possessive repeats and a guard that a match starts where a run of its
@@ -33,7 +31,6 @@ SHAPES = (EMAIL, IP, CARD, PHONE, TOKEN)
 #: what a text must hold for a shape to be looked for
 HINTS = ("@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", r"\+[0-9]", "[0-9@]")
 SEEDS = 3
-PROBE = 64
 ROUNDS = 3
 CONFIDENT = 0.6
 NEAR = 80  # characters beside a match in which its context is sought
@@ -100,13 +97,6 @@ def patterns(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     candidates = stage(seeds.groupBy("ctx", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= SEEDS).select("ctx", "kind"), "contexts")
     if candidates.isEmpty():
         return None
-    # An upper bound of each candidate's score: all its identifiers at 1, against the ordinary words of a part of the texts.
-    named = _contexts(found.where("kind = 4")).select(F.explode("ctx").alias("ctx"), "inst").unionByName(seeds.select("ctx", "inst"))
-    shaped = named.join(candidates.select("ctx").distinct(), "ctx", "left_semi").distinct().groupBy("ctx").agg(F.count("*").alias("s"))
-    probe = docs.where(F.pmod(F.xxhash64("text"), F.lit(PROBE)) == 0)
-    plain = _instances(probe, candidates).where(~F.rlike("word", F.lit("[0-9@]"))).distinct().groupBy("ctx").agg(F.count("*").alias("p"))
-    bound = shaped.join(plain, "ctx", "left").where(F.col("s") / (F.col("s") + F.coalesce("p", F.lit(0)) + 1) >= CONFIDENT)
-    candidates = stage(candidates.join(bound, "ctx", "left_semi"), "viable")
     edges = _instances(docs, candidates).distinct()
     edges = edges.select("ctx", _plain(F.col("word")).alias("inst"), F.rlike("word", F.lit("[0-9@]")).alias("shaped")).groupBy("ctx", "inst").agg(F.max("shaped").alias("shaped"))
     edges = edges.join(candidates, "ctx").join(seeds.select("kind", "inst").distinct().withColumn("seed", F.lit(True)), ["kind", "inst"], "left")
