@@ -323,6 +323,16 @@ def test_pii_spellings_do_not_rule_a_context_out(spark):
     assert [tuple(x) for x in got[13].spans] == [(18, 0, 32)]
 
 
+def test_pii_learns_phones_and_spaced_cards(spark):
+    digit = lambda n: next(d for d in "0123456789" if [m[1] for m in spans_by_hand(n + d)] == [2])
+    cards = [n + digit(n) for n in (f"4111 1111 1111 {100 + i}" for i in range(12))]
+    rows = [f"note {WORDS[i]} dial desk +1 (555) 123-{4500 + i} {WORDS[i + 20]} more" for i in range(12)]
+    rows += [f"note {WORDS[i]} card held {n} {WORDS[i + 20]} more" for i, n in enumerate(cards)]
+    rows += ["then dial desk ext-77x soon", "then card held acct#9z77 soon", "in room 12 of the house"]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find(spark.createDataFrame([(i, t, "en", "a", 0, "x") for i, t in enumerate(rows)], DOCS), ["doc_id"]).collect()}
+    assert [got[i] for i in (24, 25, 26)] == [[(15, 3, 22)], [(15, 2, 24)], []]
+
+
 def test_language_is_learned(spark, empty):
     r = random.Random(2)
     kinds = {"aa": "tion ing the and of ent", "bb": "keit ung der die sch ich", "cc": "eau oux la le ais tre"}

@@ -2,7 +2,7 @@
 
 The shapes (email, ip, card, phone) give spans and seed entities. A context is the two words before an entity, or
 the word before and the word after. Contexts of at least `SEEDS` different seeds of a kind become patterns of that
-kind. All words of the corpus that stand in a pattern are its instances; on the graph of patterns and instances the
+kind; a phone or card is one word, and the same seed, whatever its separators. All words of the corpus that stand in a pattern are its instances; on the graph of patterns and instances the
 scores are iterated: a pattern is worth the mean score of its different instances (smoothed), an instance that is a
 seed is worth 1, one of identifier shape (with a digit or @) what its patterns make likely, any other word 0.
 Patterns that end above `CONFIDENT` mark the identifiers in them that overlap no shape, under the pattern's kind.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, ascii_lower, maybe_broadcast, stage, words
+from .common import ascii_lower, maybe_broadcast, stage, words
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -67,13 +67,30 @@ def _listed(k: int):
     return lambda m, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(gap(i)).alias("gap"), m.alias("match"), F.right(gap(i), F.lit(NEAR)).alias("left"), F.left(gap(i + 1), F.lit(NEAR)).alias("right"))
 
 
+def _normal(number: Column) -> Column:
+    """A phone or card without its separators."""
+    return F.regexp_replace(number, r"[\x20().-]+", "")
+
+
+def _one_word(df: DataFrame, name: str) -> DataFrame:
+    """The column's texts with each valid phone and card in its normal form, so that it is one word."""
+    for kind, hint in ((3, r"\+[0-9]"), (2, r"[0-9][\x20-][0-9]")):
+        has = F.rlike(name, F.lit(hint))
+        df = df.withColumns({"__m": F.when(has, F.regexp_extract_all(name, F.lit(SHAPES[kind]), F.lit(0))), "__g": F.when(has, F.split(name, SHAPES[kind], -1))})
+        put = lambda m, k=kind: F.coalesce(F.when(_valid(F.lit(k), m), _normal(m)), m, F.lit(""))
+        made = F.array_join(F.transform("__g", lambda x, i: F.concat(x, put(F.get("__m", i)))), "")  # noqa: B023
+        df = df.withColumn(name, F.coalesce(made, name)).drop("__m", "__g")
+    return df
+
+
 def _contexts(df: DataFrame) -> DataFrame:
     """Adds ctx, the hashes of a match's contexts, and inst, the word that stands in them."""
+    df = _one_word(_one_word(df, "left"), "right")
     before = F.reverse(words(ascii_lower(F.col("left"))))
     after = words(ascii_lower(F.col("right")))
     whole = F.rlike(F.col("left"), F.lit(r"[\x20\x09-\x0D]\z"))  # the match starts a word
     made = F.filter(F.array(F.xxhash64(F.lit("2"), F.get(before, F.lit(1)), F.get(before, F.lit(0))), F.when(F.size(after) > 0, F.xxhash64(F.lit("1"), F.get(before, F.lit(0)), F.get(after, F.lit(0))))), lambda x: x.isNotNull())
-    return df.withColumn("ctx", F.when(whole & (F.size(before) > 1), made)).withColumn("inst", _plain(F.get(F.split("match", SPACE_RUN), F.lit(0))))
+    return df.withColumn("ctx", F.when(whole & (F.size(before) > 1), made)).withColumn("inst", F.when(F.col("kind").isin(2, 3), _normal(F.col("match"))).otherwise(_plain(F.col("match"))))
 
 
 def _plain(word: Column) -> Column:
@@ -82,7 +99,8 @@ def _plain(word: Column) -> Column:
 
 def _instances(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """ctx and word: every word of the texts that stands in a candidate context."""
-    w = docs.select(words(ascii_lower(F.col("text"))).alias("w")).withColumn("n", F.size("w"))
+    texts = _one_word(docs.select(F.coalesce("text", F.lit("")).alias("text")), "text")
+    w = texts.select(words(ascii_lower(F.col("text"))).alias("w")).withColumn("n", F.size("w"))
     two = lambda i: F.struct(F.xxhash64(F.lit("2"), F.get("w", i), F.get("w", i + 1)).alias("ctx"), (i + 2).alias("at"))
     around = lambda i: F.struct(F.xxhash64(F.lit("1"), F.get("w", i), F.get("w", i + 2)).alias("ctx"), (i + 1).alias("at"))
     run = F.sequence(F.lit(0), F.col("n") - 3)
