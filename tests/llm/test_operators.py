@@ -391,6 +391,20 @@ def test_main_text(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_classes_around_the_page_do_not_drop_it():
+    tree = html_text.grow(html_text.TABLE[:, :-1], html_text.TABLE[:, -1])
+    r = random.Random(6)
+    a, b, note = sentence(r, 80), sentence(r, 120), sentence(r, 60)
+    for around in ("layout has-sidebar", "no-sidebar", "page header-fixed", "comments-open", "sidebar"):
+        page = f"<body><div class='{around}'><article><p>{a}</p><p>{b}</p></article></div></body>"
+        assert html_text.main_text(page, tree) == f"{a}\n\n{b}", around
+    for around in ("layout has-sidebar", "page header-fixed", "comments-open"):
+        assert html_text.main_text(f"<div class='{around}'><p>{a}</p><p>{b}</p></div>", tree) == f"{a}\n\n{b}", around
+    for around in ("class=sidebar", "class='site-footer'", "style='display:none'"):
+        assert html_text.main_text(f"<div {around}><p>{note}</p></div><p>{a}</p>", tree) == a, around
+    assert html_text.main_text(f"<div hidden><article><p>{note}</p></article></div><p>{a}</p>", tree) == a
+
+
 def test_pipeline_runs_over_odd_rows(spark, docs, tmp_path):
     import corpus_pipeline
 

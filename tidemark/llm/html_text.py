@@ -1,8 +1,10 @@
 """Main text of a web page from flat text blocks.
 
 A page is cut at block-level tags into blocks of text in page order. Each block is described by its words and the
-share of them in links, the same of the block before and after, and two hints from its containers: whether one says
-boilerplate (nav, footer, form, a class such as sidebar or comments) and whether one says article. A decision tree
+share of them in links, the same of the block before and after, and two hints from its containers: how surely one says
+boilerplate (1 for nav, footer, form, a class that is or ends in a word such as sidebar or comments; 0.5 for a class
+with such a word elsewhere; none after has-, no- and the like) and whether one says article. An article container
+clears what containers around it say, unless they are hidden. A decision tree
 (CART on Gini impurity), trained on the small labelled table below, keeps or drops each block.
 
 Markup, scripts, styles, comments and the head are never text. Character references are decoded after the tags are
@@ -91,6 +93,19 @@ TABLE = np.array([row.split() for row in """
 45 0.0 6 0.0 0 0.0 0 0 1
 33 0.0 5 0.0 4 0.0 0 0 1
 3 0.0 45 0.0 40 0.0 0 0 1
+60 0.0 40 0.0 20 0.0 0.5 0 1
+120 0.0 30 0.0 80 0.0 0.5 0 1
+25 0.0 30 0.0 40 0.0 0.5 0 1
+80 0.05 3 1.0 2 1.0 0.5 0 1
+200 0.0 0 0.0 0 0.0 0.5 0 1
+35 0.0 50 0.0 60 0.0 0.5 1 1
+90 0.0 100 0.0 90 0.0 0.5 1 1
+1 1.0 1 1.0 1 1.0 0.5 0 0
+3 0.0 60 0.0 50 0.0 0.5 0 0
+8 0.0 1 1.0 60 0.0 0.5 0 0
+12 0.0 2 1.0 9 0.0 0.5 0 0
+40 0.8 40 0.0 30 0.0 0.5 0 0
+3 0.6 100 0.0 4 0.5 0.5 1 0
 35 0.6 3 1.0 4 1.0 0 0 0
 50 0.7 60 0.0 4 1.0 0 0 0
 """.strip().splitlines()], dtype=float)
@@ -120,31 +135,51 @@ def decide(tree, row) -> bool:
     return tree >= 0.5
 
 
-def _hints(tag: str, attrs: str) -> tuple[bool, bool]:
-    boiler, article = tag in _BOILER_TAGS, tag in _ARTICLE_TAGS
+_MODIFIERS = {"has", "no", "not", "with", "without", "is", "hide", "hides", "show", "shows"}
+WEAK, SURE, HIDDEN = 0.5, 1.0, 2.0
+
+
+def _boiler(token: str) -> float:
+    """How surely one class, id or role says boilerplate: by its last word, or weakly by another."""
+    parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token.split("--")[0]).lower())
+    if not parts or not _MODIFIERS.isdisjoint(parts[:-1]):
+        return 0.0
+    return SURE if parts[-1] in _BOILER else WEAK if not _BOILER.isdisjoint(parts) else 0.0
+
+
+def _hints(tag: str, attrs: str) -> tuple[float, bool]:
+    boiler, article = SURE * (tag in _BOILER_TAGS), tag in _ARTICLE_TAGS
     if attrs and not attrs.isspace():
         for name, value in _ATTR.findall(attrs):
             if name.lower() in ("class", "id", "role"):
                 parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-                boiler |= not parts.isdisjoint(_BOILER)
+                boiler = max([boiler, *map(_boiler, value.strip("\"'").split())])
                 article |= not parts.isdisjoint(_ARTICLE)
             elif name.lower() == "style" and re.search(r"display\s*:\s*none", value):
-                boiler = True
-        boiler |= bool(re.search(r"(?<![\w-])hidden(?![\w=-])", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)))
+                boiler = HIDDEN
+        boiler = max(boiler, HIDDEN * bool(re.search(r"(?<![\w-])hidden(?![\w=-])", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs))))
     return boiler, article
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
+def _within(up: tuple[float, bool], tag: str, boiler: float, article: bool) -> tuple[float, bool]:
+    """The hints in a container: an article's own outranks what is said farther out, by a class only if that is weak."""
+    farther = up[0]
+    if article and not boiler and farther <= (SURE if tag in _ARTICLE_TAGS else WEAK):
+        farther = 0.0
+    return max(boiler, farther), article or up[1]
+
+
+def blocks(page: str) -> list[tuple[str, int, int, float, bool]]:
     """In page order: text, words, words in links, boilerplate hint, article hint."""
-    out, stack, link = [], [], False  # stack: (tag, boilerplate, article), hints added up from the root
+    out, stack, link = [], [], False  # stack: (tag, boilerplate, article), hints of the nearest containers
     plain, linked = [], []
 
     def close():
         text = " ".join("".join(plain).split())
         if text:
             n = len(text.split())
-            boiler, article = stack[-1][1:] if stack else (False, False)
-            out.append((text, n, min(n, len("".join(linked).split())), boiler, article))
+            boiler, article = stack[-1][1:] if stack else (0.0, False)
+            out.append((text, n, min(n, len("".join(linked).split())), min(SURE, boiler), article))
         plain.clear()
         linked.clear()
 
@@ -176,10 +211,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             plain.append(" ")
             linked.append(" ")
         elif tag in _INLINE:
-            boiler, _ = _hints(tag, attrs) if not closing else (False, False)
-            if boiler and tag not in _VOID:  # an inline advert or notice stands apart
+            boiler, _ = _hints(tag, attrs) if not closing else (0.0, False)
+            if boiler >= SURE and tag not in _VOID:  # an inline advert or notice stands apart
                 close()
-                stack.append((tag, True, stack[-1][2] if stack else False))
+                stack.append((tag, *_within(stack[-1][1:] if stack else (0.0, False), tag, boiler, False)))
             elif closing and stack and stack[-1][0] == tag:
                 close()
                 stack.pop()
@@ -193,12 +228,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             elif tag not in _VOID and tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "html"):
                 boiler, article = _hints(tag, attrs)
                 if tag == "body":
-                    boiler = False
-                up = stack[-1][1:] if stack else (False, False)
-                stack.append((tag, boiler or up[0], article or up[1]))
-            elif tag in ("p", "li", "td", "dd") and attrs and _hints(tag, attrs)[0]:
-                up = stack[-1][1:] if stack else (False, False)
-                stack.append((tag, True, up[1]))
+                    boiler = 0.0
+                up = stack[-1][1:] if stack else (0.0, False)
+                stack.append((tag, *_within(up, tag, boiler, article)))
+            elif tag in ("p", "li", "td", "dd") and attrs and (boiler := _hints(tag, attrs)[0]):
+                up = stack[-1][1:] if stack else (0.0, False)
+                stack.append((tag, *_within(up, tag, boiler, False)))
             elif tag in ("p", "li", "td", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()  # a new one ends the open one
     close()
