@@ -216,6 +216,16 @@ def test_mix_meets_targets(spark, docs, empty):
     assert mixing.mix(empty, ["doc_id"]).count() == 0
 
 
+def test_small_sources_meet_targets_in_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 60)  # blocks of 1,024 words as in a corpus of 67 million
+    rows = [(i, sentence(random.Random(i), n), s, s, 0, "x") for i, (s, n) in enumerate([("a", 100)] * 100 + [("b", 1000)] * 100 + [("d", 5)] * 20)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), ["doc_id", "source"]).collect()
+    for s in "abd":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= (2048 if s == "b" else 2)
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+
+
 def test_highest_quotients(spark):
     votes = [("a", 53.0), ("b", 24.0), ("c", 23.0), ("d", 0.0)]
     for seats in (0, 1, 7, 100):

@@ -4,7 +4,9 @@ Weights share all words among the sources; a target stops at `MOST` times its so
 the others by weight. The mix is a number of equal blocks of words: highest quotients target / (2 j + 1) give each
 source its integer quota, and again each shard of a source (documents dealt by a seeded hash) its part of that
 quota by the shard's words. In a shard the documents lie in seeded order, end to end; its blocks are taken from the
-start of that line, going round again where the quota is more than the shard holds, never past `MOST` rounds.
+start of that line, going round again where the quota is more than the shard holds, never past `MOST` rounds. A
+source whose blocks are too coarse for it, so that a shard's quota is past that or the source gets none, is
+apportioned among its shards word by word instead.
 
 Nulls and edges: null text is of size 0; null source is a source, the last; equal rows are taken alike in sum; an
 empty table gives an empty result; other columns are not read. Sources are a dimension table: after the first
@@ -84,6 +86,11 @@ def mix(docs: DataFrame, keep: list[str], weights=WEIGHTS) -> DataFrame:
     goal = stage(sainte_lague(goal.withColumn("all", F.lit(0)), ["all"], "src", "target", "seats").withColumnRenamed("quota", "source_quota").drop("all", "seats"), "targets")
     per = shards.join(maybe_broadcast(goal, F.octet_length("src") + 96), "src")
     quotas = sainte_lague(per, ["src"], "shard", "shard_size", "source_quota")
+    coarse = quotas.groupBy("src").agg(F.bool_or((F.col("quota") * F.col("block") > MOST * F.col("shard_size")) | (F.col("source_quota") == 0)).alias("coarse"))
+    fine = stage(quotas.drop("quota").join(coarse, "src").where("coarse").drop("coarse"), "coarse")
+    fine = fine.withColumn("block", F.lit(1).cast("long")).withColumn("source_quota", F.round("target").cast("long"))
+    fine = sainte_lague(fine, ["src"], "shard", "shard_size", "source_quota")
+    quotas = quotas.join(coarse, "src").where("not coarse").drop("coarse").unionByName(fine)
     quotas = quotas.select(F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "shard_size", "source_size", "target", F.least(F.col("quota") * F.col("block"), MOST * F.col("shard_size")).alias("words"))
     quotas = maybe_broadcast(stage(quotas, "quotas"), F.octet_length("q_src") + 96)
     line = Window.partitionBy("src", "shard").orderBy("draw", "size", *keep)
