@@ -17,10 +17,10 @@ _today = lambda: F.lit(TODAY).cast("date")
 def questions(t):
     """Benchmark items as a queue: dates and states follow from their ids."""
     i = F.col("item_id")
-    normal = T.normal_question(F.left("text", F.lit(60)))
+    normal = T.normal_question(F.col("text"))
     asked = F.transform(F.sequence(F.lit(0), (i % 4).cast("int")), lambda k: F.date_add(F.lit("2024-05-01").cast("date"), k))
     return t("benchmark").select(
-        F.concat(F.lit("q-"), F.lpad(i.cast("string"), 8, "0")).alias("id"), F.left("text", F.lit(60)).alias("text"), normal.alias("normalized"), F.date_add(F.lit("2024-01-01").cast("date"), i.cast("int")).alias("created_on"),
+        F.concat(F.lit("q-"), F.lpad(i.cast("string"), 8, "0")).alias("id"), "text", normal.alias("normalized"), F.date_add(F.lit("2024-01-01").cast("date"), i.cast("int")).alias("created_on"),
         F.when(i % 4 == 0, F.array().cast("array<date>")).otherwise(asked).alias("asked_on"), F.when(i % 3 == 0, "answered").otherwise("open").alias("status"),
         F.when(i % 3 == 0, F.date_add(F.lit("2024-06-01").cast("date"), (i % 30).cast("int"))).alias("answered_on"), F.lit(None).cast("date").alias("archived_on"), F.lit(None).cast("string").alias("archived_reason"),
     )
@@ -31,7 +31,7 @@ known AS (SELECT DISTINCT n FROM q WHERE NOT answered OR DATE '{TODAY}' - answer
 x AS (SELECT DISTINCT {_N} AS n FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)) SELECT 'q-' || substr(sha256(n), 1, 8) AS id, n AS normalized FROM x WHERE n <> '' AND n NOT IN (SELECT n FROM known)""")
 def add(t):
     """New texts that are neither open nor answered of late, one a key."""
-    texts = t("documents").select(F.left("text", F.lit(60)).alias("text"), F.col("doc_id").alias("seq")).unionByName(t("benchmark").select(F.left("text", F.lit(60)).alias("text"), F.col("item_id").alias("seq")))
+    texts = t("documents").select("text", F.col("doc_id").alias("seq")).unionByName(t("benchmark").select("text", F.col("item_id").alias("seq")))
     out = Q.add(questions(t), texts, _today(), 10)
     return out.where(F.col("created_on") == _today()).where(~F.startswith("id", F.lit("q-0000"))).select("id", "normalized")
 
