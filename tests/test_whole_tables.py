@@ -9,3 +9,9 @@ def test_questions_are_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, same + "a"), (2, same + "b"), (3, same + "b"), (4, same + "c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["T16_add"](spark, str(tmp_path)).collect()
     assert sorted(r.normalized for r in got) == [same + "b", same + "c"]
+
+
+def test_orphans_follow_all_links(spark, tmp_path):
+    rows = [(2, 1, "error", '{"k": 3}'), (3, 10, "click", '{"k": 1}'), (4, 71, "view", "{}"), (5, 80, "view", None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id for r in registry.QUERIES["R21_orphans"](spark, str(tmp_path)).collect()} == {80}

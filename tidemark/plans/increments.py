@@ -388,6 +388,6 @@ _EDGES = "SELECT DISTINCT user_id AS src, CAST((user_id * 7 + CAST(json_extract(
 def orphans(t):
     """Nodes that no path of links from the root reaches."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
-    edges = stage(t("events").where("event_type in ('error', 'signup') and event_id % 31 = 0").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + k) % 150).alias("dst")).distinct(), "links")
+    edges = stage(t("events").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + k) % 150).alias("dst")).distinct(), "links")
     root = t.spark.range(1, 2, numPartitions=1).select(F.col("id").alias("node"))
     return t("events").select("user_id").distinct().join(I.reached(edges, root, stage), F.col("user_id") == F.col("node"), "left_anti")
