@@ -248,18 +248,6 @@ def test_shards_keep_the_law(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_weights_move_only_their_own(spark):
-    from pyspark.sql import functions as F
-
-    keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
-    t = sharding.tree(8)
-    heavier = sharding.tree(8, weights={5: 3.0})
-    moved = sharding.with_shards(keys, F.col("k"), {"a": t, "b": heavier}).where("a <> b").collect()
-    assert moved and {r.b for r in moved} == {5}
-    share = sharding.with_shards(keys, F.col("k"), {"a": heavier}).where("a = 5").count() / 4000
-    assert abs(share - 0.3) < 0.03
-
-
 CONV = "conv_id long, turn long, role string, text string, extra int"
 
 
@@ -402,7 +390,7 @@ def test_main_text(spark):
 
 
 def test_classes_around_the_page_do_not_drop_it():
-    tree = html_text.grow(html_text.TABLE[:, :-1], html_text.TABLE[:, -1])
+    tree = html_text.trained()
     r = random.Random(6)
     a, b, note = sentence(r, 80), sentence(r, 120), sentence(r, 60)
     for around in ("layout has-sidebar", "no-sidebar", "page header-fixed", "comments-open", "sidebar"):
