@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_risk_controlled_quality": quality.ORACLE,
     "op2_sainte_lague_mix": mixing.ORACLE,
+    "op4_hash_tree_shards": sharding.ORACLE,
     "op8_budgeted_windows": chat.ORACLE,
     "op10_winnowing_decontamination": decontam.ORACLE,
 }
