@@ -70,8 +70,14 @@ def maybe_broadcast(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     return F.broadcast(df) if small(df, row_bytes) else df
 
 
+def packed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """The rows of docs as one column ``doc``, so that no column of theirs can clash with those added here."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(whole.alias("doc"), *(made.alias(name) for name, made in extra.items()))
+
+
 def without(docs: DataFrame, key: Column, drop: DataFrame) -> DataFrame:
     """Rows of docs whose key is not in the one column ``drop_key`` of drop."""
     gone = maybe_broadcast(stage(drop.select("drop_key").distinct(), "dropped"), 64)
-    held = docs.withColumn("__drop_key", key)
-    return held.join(gone, held["__drop_key"] == gone["drop_key"], "left_anti").drop("__drop_key")
+    held = packed(docs, held_key=key)
+    return held.join(gone, held["held_key"] == gone["drop_key"], "left_anti").select("doc.*")

@@ -9,6 +9,9 @@ its own length, met through k-grams of that length.
 Nulls and edges: a null or empty text has no words, so a document has zero counts and an item no window; an
 item without an id still marks words but adds nothing to the item list; equal item rows count once; each
 document row gives one result row, repeated ids and null ids included; columns besides id and text are not read.
+
+Windows go to all executors where their measured size allows that; else only fingerprints are shuffled, never the
+words of a document.
 """
 
 from __future__ import annotations
@@ -32,8 +35,13 @@ def match_words(text: Column) -> Column:
 
 def _grams(hashes: Column, n: Column, k: int) -> Column:
     """A long for each k-gram: 36 bits of its hash, then its place."""
-    place = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*(F.get(hashes, i + j) for j in range(k))), 64 - 63 + POS_BITS), POS_BITS).bitwiseOR(i.cast("long"))
-    return F.transform(F.sequence(F.lit(0), n - k), place)
+
+
+    def one(i: Column) -> Column:
+        gram = F.xxhash64(*(F.get(hashes, i + j) for j in range(k)))
+        return F.shiftleft(F.shiftrightunsigned(gram, 64 - 63 + POS_BITS), POS_BITS).bitwiseOR(i.cast("long"))
+
+    return F.transform(F.sequence(F.lit(0), n - k), one)
 
 
 def _least(grams: Column, i: Column) -> Column:
@@ -54,14 +62,26 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, len, hash, off (place of the kept k-gram in the window) and the window's words joined by spaces."""
-    items = _hashed(benchmark.select(F.col(id_col).cast("string").alias("item_id"), match_words(F.col(text_col)).alias("words"))).where("n > 0")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), match_words(F.col(text_col)).alias("words"))
+    items = _hashed(items).where("n > 0")
     full = items.where(F.col("n") >= WINDOW).withColumn("g", _grams(F.col("wh"), F.col("n"), GRAM))
     full = full.select("item_id", "words", "g", F.explode(F.sequence(F.lit(0), F.col("n") - WINDOW)).alias("i"))
     full = full.withColumn("kept", _least(F.col("g"), F.col("i")))
-    full = full.select("item_id", F.lit(WINDOW).alias("len"), _hash(F.col("kept")).alias("hash"), (_place(F.col("kept")) - F.col("i")).alias("off"), F.array_join(F.slice("words", F.col("i") + 1, WINDOW), " ").alias("window"))
+    full = full.select(
+        "item_id",
+        F.lit(WINDOW).alias("len"),
+        _hash(F.col("kept")).alias("hash"),
+        (_place(F.col("kept")) - F.col("i")).alias("off"),
+        F.array_join(F.slice("words", F.col("i") + 1, WINDOW), " ").alias("window"),
+    )
     for m in range(1, WINDOW):
-        part = items.where(F.col("n") == m)
-        part = part.select("item_id", F.lit(m).alias("len"), _hash(F.get(_grams(F.col("wh"), F.col("n"), m), F.lit(0))).alias("hash"), F.lit(0).alias("off"), F.array_join("words", " ").alias("window"))
+        part = items.where(F.col("n") == m).select(
+            "item_id",
+            F.lit(m).alias("len"),
+            _hash(F.get(_grams(F.col("wh"), F.col("n"), m), F.lit(0))).alias("hash"),
+            F.lit(0).alias("off"),
+            F.array_join("words", " ").alias("window"),
+        )
         full = full.unionByName(part)
     return full.distinct()
 
@@ -83,33 +103,74 @@ def _fingerprints(lengths: list[int]) -> Column:
     return F.concat(*parts) if parts else F.array().cast("array<struct<len:int,kept:bigint>>")
 
 
+def _met_in_place(base: DataFrame, held: list[str], windows: DataFrame) -> DataFrame:
+    """uid, held columns, n, spans and found of each document; the windows fit a broadcast."""
+    # One row without a fingerprint stands for the document itself, so that the texts are read and cut once.
+    # The array is made before inline() so that the exploding join stays in one generated stage, which hands on
+    # the document's words by reference instead of copying them for each fingerprint.
+    alone = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).cast("long").alias("kept")))
+    base = base.withColumn("kept_all", F.concat(alone, F.col("kept_all")))
+    rows = base.select("uid", *held, "n", "words", F.inline_outer("kept_all"))
+    rows = rows.withColumn("hash", F.when(F.col("kept") < 0, -1 - F.col("uid")).otherwise(_hash(F.col("kept"))))
+    met = rows.join(F.broadcast(windows), ["len", "hash"], "left")
+    met = met.withColumn("s", _place(F.col("kept")) - F.col("off"))
+    met = met.where((F.col("kept") < 0) | _same(F.col("s"), F.col("len"), F.col("window")))
+    span = F.when(F.col("kept") >= 0, F.struct("s", (F.col("s") + F.col("len")).alias("e")))
+    found = F.collect_set(F.when(F.col("kept") >= 0, F.col("window")))
+    return met.groupBy("uid", *held, "n").agg(F.sort_array(F.collect_set(span)).alias("spans"), found.alias("found"))
+
+
+def _met_by_fingerprint(base: DataFrame, held: list[str], windows: DataFrame) -> DataFrame:
+    """The same where the windows do not fit: fingerprints alone are shuffled, once for equal texts, and those that
+    met a window come back to the words of their text as one list."""
+    keys = maybe_broadcast(stage(windows.select("len", "hash").distinct(), "window_keys"), 20)
+    slim = base.select("tkey", F.inline("kept_all"))
+    slim = slim.select("tkey", "len", _hash(F.col("kept")).alias("hash"), _place(F.col("kept")).alias("place"))
+    slim = slim.join(keys, ["len", "hash"]).distinct()
+    met = slim.join(windows, ["len", "hash"]).select("tkey", (F.col("place") - F.col("off")).alias("s"), "len", "window")
+    claims = met.where("s >= 0").groupBy(F.col("tkey").alias("c_tkey"))
+    claims = stage(claims.agg(F.collect_list(F.struct("s", "len", "window")).alias("claims")), "claims")
+    claims = maybe_broadcast(claims, F.size("claims") * (WINDOW * 16) + 48)
+    df = base.join(claims, F.col("tkey") == F.col("c_tkey"), "left")
+    sure = F.filter(F.coalesce("claims", F.array()), lambda c: _same(c["s"], c["len"], c["window"]))
+    df = df.select("uid", *held, "n", sure.alias("sure"))
+    span = lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"]).alias("e"))
+    spans = F.sort_array(F.array_distinct(F.transform("sure", span)))
+    return df.select("uid", *held, "n", spans.alias("spans"), F.array_distinct("sure.window").alias("found"))
+
+
+def _same(s: Column, m: Column, window: Column) -> Column:
+    """Whether the document's words from s on are the window's."""
+    here = F.array_join(F.slice("words", F.greatest(s, F.lit(0)) + 1, m), " ")
+    return (s >= 0) & (s + m <= F.col("n")) & (here == window)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """A row for each document row: the key columns, n_words, n_hit and items (item ids as strings, sorted)."""
     listed = stage(item_windows(benchmark), "windows")
     lengths = sorted(r[0] for r in listed.select("len").distinct().collect())  # 10 at most
-    windows = listed.select("len", "hash", "off", "window").distinct()
-    if small(windows, F.octet_length("window") + 64, BROADCAST_BYTES):
-        windows = F.broadcast(windows)
+    windows = stage(listed.select("len", "hash", "off", "window").distinct(), "places")
+    fits = small(windows, F.octet_length("window") + 64, BROADCAST_BYTES)
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]
     held = [f"k{i}" for i in range(len(keys))]
-    base = _hashed(docs.select(*own, match_words(F.col(text_col)).alias("words"))).withColumn("uid", F.monotonically_increasing_id())
+    told = [] if fits else [text_key(F.col(text_col)).alias("tkey")]
+    base = _hashed(docs.select(*own, *told, match_words(F.col(text_col)).alias("words")))
+    base = base.withColumn("uid", F.monotonically_increasing_id())
     base = base.withColumn("g", F.when(F.col("n") >= WINDOW, _grams(F.col("wh"), F.col("n"), GRAM)))
-    # One row without a fingerprint stands for the document itself, so that the texts are read and cut once.
-    alone = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).cast("long").alias("kept")))
-    # The array is made before inline() so that the exploding join stays in one generated stage, which hands on
-    # the document's words by reference instead of copying them for each fingerprint.
-    base = base.withColumn("kept_all", F.concat(alone, _fingerprints(lengths)))
-    rows = base.select("uid", *held, "n", "words", F.inline_outer("kept_all"))
-    rows = rows.withColumn("hash", F.when(F.col("kept") < 0, -1 - F.col("uid")).otherwise(_hash(F.col("kept"))))
-    met = rows.join(windows, ["len", "hash"], "left").withColumn("s", _place(F.col("kept")) - F.col("off"))
-    same = (F.col("s") >= 0) & (F.col("s") + F.col("len") <= F.col("n")) & (F.array_join(F.slice("words", F.greatest("s", F.lit(0)) + 1, F.col("len")), " ") == F.col("window"))
-    met = met.where((F.col("kept") < 0) | same)
-    span = F.when(F.col("kept") >= 0, F.struct("s", (F.col("s") + F.col("len")).alias("e")))
-    per = met.groupBy("uid", *held, "n").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set(F.when(F.col("kept") >= 0, F.col("window"))).alias("found"))
-    covered = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("hit")), lambda a, x: F.struct(F.greatest(a["to"], x["e"]).alias("to"), (a["hit"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["to"], x["s"]))).alias("hit")), lambda a: a["hit"])
-    per = per.select("uid", *held, F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), F.explode_outer("found").alias("window"))
+    base = base.withColumn("kept_all", _fingerprints(lengths))
+    per = (_met_in_place if fits else _met_by_fingerprint)(base, held, windows)
+
+    def further(a: Column, x: Column) -> Column:
+        fresh = F.greatest(F.lit(0), x["e"] - F.greatest(a["to"], x["s"]))
+        return F.struct(F.greatest(a["to"], x["e"]).alias("to"), (a["hit"] + fresh).alias("hit"))
+
+    nothing = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("hit"))
+    covered = F.aggregate("spans", nothing, further, lambda a: a["hit"])
+    each = F.explode_outer("found").alias("window")
+    per = per.select("uid", *held, F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), each)
     owners = maybe_broadcast(listed.select("window", "item_id").distinct(), F.octet_length("window") + 48)
-    out = per.join(owners, "window", "left").groupBy("uid", *held, "n_words", "n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = F.array_sort(F.collect_set("item_id")).alias("items")
+    out = per.join(owners, "window", "left").groupBy("uid", *held, "n_words", "n_hit").agg(items)
     return out.select(*(F.col(h).alias(c) for h, c in zip(held, keys, strict=True)), "n_words", "n_hit", "items")
 
 

@@ -9,33 +9,37 @@ source whose blocks are too coarse for it, so that a shard's quota is past that
 apportioned among its shards word by word instead.
 
 Nulls and edges: null text is of size 0; null source is a source, the last; equal rows are taken alike in sum; an
-empty table gives an empty result; other columns are not read. Sources are a dimension table: after the first
+empty table gives an empty result; other columns are not read and may have any name. Sources are a dimension table: after the first
 grouping there is one small row for each, ranked in one task. Shards keep rows of one source apart, so that a
 source with a third of all rows is as many tasks as its size needs.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage, text_key, words
+from .common import maybe_broadcast, packed, stage, text_key, words
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 #: A block is 1/65536 of all words, 1 at least and BLOCK at most.
 BLOCK, BLOCKS = 1024, 65536
-#: Rows of a shard, beyond which shards are 16 times as many.
-SHARD_ROWS = 4_000_000
+#: A source has 16 ** SHARD_DIGITS shards. Its rows lie in order within a shard, one task each: 2 digits are for
+#: sources of up to some billion rows, 3 for more. Another number takes other documents, so no input size changes it.
+SHARD_DIGITS = 2
 
 
 def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns, src (a source's key; null has one of its own), size and the seeded draw."""
-    draw = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_key(F.col("text"))))
-    return docs.select(*keep, F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("none")).alias("src"), F.size(words(F.col("text"))).cast("long").alias("size"), draw.alias("draw"))
+    """The kept columns as k0.., src (a source's key; null has one of its own), size and the seeded draw."""
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return docs.select(
+        *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)),
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("none")).alias("src"),
+        F.size(words(F.col("text"))).cast("long").alias("size"),
+        F.md5(F.concat_ws("|", F.lit(SEED), doc_id, text_key(F.col("text")))).alias("draw"),
+    )
 
 
 def targets(totals: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -73,43 +77,54 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     return df.join(won, [*group, party], "left").withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("n_parties", "all_votes", "low", "high", "open", "won")
 
 
-def mix(docs: DataFrame, keep: list[str], weights=WEIGHTS) -> DataFrame:
-    """The kept columns with size, source_size, target and taken, for each document row."""
-    base = stage(sized(docs, keep), "sizes")
-    rows = base.count()
-    digits = 2 + max(0, math.ceil(math.log(max(1.0, rows / 256 / SHARD_ROWS), 16)))
-    base = base.withColumn("shard", F.substring("draw", 1, digits))
+def mix(docs: DataFrame, keep: list[str], weights=WEIGHTS, shard_digits: int = SHARD_DIGITS) -> DataFrame:
+    """The kept columns with draw, size, source_size, target and taken, for each document row."""
+    held = [f"k{i}" for i in range(len(keep))]
+    base = stage(sized(docs, keep).withColumn("shard", F.substring("draw", 1, shard_digits)), "sizes")
     shards = stage(base.groupBy("src", "shard").agg(F.sum("size").alias("shard_size")), "shards")
     goal = targets(shards.groupBy("src").agg(F.sum("shard_size").alias("source_size")), weights)
     block = F.greatest(F.lit(1).cast("long"), F.least(F.lit(BLOCK).cast("long"), F.floor(F.col("total") / BLOCKS)))
-    goal = goal.withColumn("block", block).withColumn("seats", F.floor((2 * F.col("total") + F.col("block")) / (2 * F.col("block"))))
-    goal = stage(sainte_lague(goal.withColumn("all", F.lit(0)), ["all"], "src", "target", "seats").withColumnRenamed("quota", "source_quota").drop("all", "seats"), "targets")
+    goal = goal.withColumn("block", block)
+    goal = goal.withColumn("seats", F.floor((2 * F.col("total") + F.col("block")) / (2 * F.col("block"))))
+    goal = sainte_lague(goal.withColumn("all", F.lit(0)), ["all"], "src", "target", "seats")
+    goal = stage(goal.withColumnRenamed("quota", "source_quota").drop("all", "seats"), "targets")
     per = shards.join(maybe_broadcast(goal, F.octet_length("src") + 96), "src")
     quotas = sainte_lague(per, ["src"], "shard", "shard_size", "source_quota")
-    coarse = quotas.groupBy("src").agg(F.bool_or((F.col("quota") * F.col("block") > MOST * F.col("shard_size")) | (F.col("source_quota") == 0)).alias("coarse"))
+    past = F.col("quota") * F.col("block") > MOST * F.col("shard_size")
+    coarse = quotas.groupBy("src").agg(F.bool_or(past | (F.col("source_quota") == 0)).alias("coarse"))
     fine = stage(quotas.drop("quota").join(coarse, "src").where("coarse").drop("coarse"), "coarse")
     fine = fine.withColumn("block", F.lit(1).cast("long")).withColumn("source_quota", F.round("target").cast("long"))
     fine = sainte_lague(fine, ["src"], "shard", "shard_size", "source_quota")
     quotas = quotas.join(coarse, "src").where("not coarse").drop("coarse").unionByName(fine)
-    quotas = quotas.select(F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "shard_size", "source_size", "target", F.least(F.col("quota") * F.col("block"), MOST * F.col("shard_size")).alias("words"))
-    quotas = maybe_broadcast(stage(quotas, "quotas"), F.octet_length("q_src") + 96)
-    line = Window.partitionBy("src", "shard").orderBy("draw", "size", *keep)
-    held = base.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    held = held.join(quotas, (F.col("src") == F.col("q_src")) & (F.col("shard") == F.col("q_shard")))
-    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0).cast("long"))
+    got = F.least(F.col("quota") * F.col("block"), MOST * F.col("shard_size")).alias("words")
+    at = (F.col("src").alias("q_src"), F.col("shard").alias("q_shard"))
+    quotas = stage(quotas.select(*at, "shard_size", "source_size", "target", got), "quotas")
+    quotas = maybe_broadcast(quotas, F.octet_length("q_src") + 96)
+    line = Window.partitionBy("src", "shard").orderBy("draw", "size", *held)
+    upto = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = base.withColumn("start", upto - F.col("size"))
+    rows = rows.join(quotas, (F.col("src") == F.col("q_src")) & (F.col("shard") == F.col("q_shard")))
+    zero = F.lit(0).cast("long")
+    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(zero)
     rest = F.col("words") - rounds * F.col("shard_size")
-    taken = F.col("size") * rounds + F.greatest(F.lit(0).cast("long"), F.least(F.col("start") + F.col("size"), rest) - F.col("start"))
-    return held.select(*keep, "draw", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    again = F.greatest(zero, F.least(F.col("start") + F.col("size"), rest) - F.col("start"))
+    taken = (F.col("size") * rounds + again).cast("long").alias("taken")
+    kept = (F.col(h).alias(c) for h, c in zip(held, keep, strict=True))
+    return rows.select(*kept, "draw", "size", "source_size", "target", taken)
 
 
 def repeated(docs: DataFrame, key: Column) -> DataFrame:
     """The documents as the mix takes them: whole, as often as the taken words come nearest to."""
-    times = mix(docs.withColumn("mix_key", key), ["mix_key"]).select("mix_key", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1)))).alias("times"))
-    times = stage(times.groupBy("mix_key").agg(F.sum("times").alias("times"), F.count("*").alias("rows")), "times")
-    held = docs.withColumn("__key", key).join(maybe_broadcast(times, F.octet_length("mix_key") + 48), F.col("__key") == F.col("mix_key"))
+    own = docs.select("doc_id", "source", "text", key.alias("mix_key"))
+    nearest = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1)))).alias("times")
+    times = mix(own, ["mix_key"]).select("mix_key", nearest)
+    times = times.groupBy("mix_key").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    times = maybe_broadcast(stage(times, "times"), F.octet_length("mix_key") + 48)
+    held = packed(docs, held_key=key).join(times, F.col("held_key") == F.col("mix_key"))
     # Equal rows share what was taken of them.
     each = F.floor((2 * F.col("times") + F.col("rows")) / (2 * F.col("rows")))
-    return held.withColumn("__n", F.explode(F.when(each > 0, F.sequence(F.lit(1).cast("long"), each)).otherwise(F.array().cast("array<bigint>")))).select(*docs.columns)
+    copies = F.when(each > 0, F.sequence(F.lit(1).cast("long"), each)).otherwise(F.array().cast("array<bigint>"))
+    return held.select("doc", F.explode(copies).alias("copy")).select("doc.*")
 
 
 def op2_sainte_lague_mix(spark, sf_dir: str) -> DataFrame:
