@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 #: Built-in credential shapes that a scanner of this kind must know.
 BUILT_IN = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    r"ghp_[A-Za-z0-9]{36}",
-    r"github_pat_[A-Za-z0-9_]{22,}",
-    r"sk-[A-Za-z0-9_-]{20,}",
-    r"AKIA[0-9A-Z]{16}",
-    r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "-----BEGIN (RSA |OPENSSH |EC |DSA |PGP )?PRIVATE KEY-----",
+    "ghp_[A-Za-z0-9]{20,}",
+    "github_pat_[A-Za-z0-9_]{20,}",
+    "sk-ant-[A-Za-z0-9_-]{10,}",
+    "AKIA[0-9A-Z]{16}",
+    "xox[baprs]-[A-Za-z0-9-]{10,}",
 )
+#: Letters that match an ASCII letter when case is ignored.
+ODD_CASE = "\u017f\u0130\u0131\u212a"
 SIDE = 20  # characters kept on each side of a match
 SPANS = 200  # more spans on a line than this mask the whole line
 
@@ -40,6 +42,46 @@ def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.posexplode(parts).alias("at", "raw")).select(key, (F.col("at") + 1).alias("line"), "raw")
 
 
+def literal_of(pattern: str) -> str | None:
+    """The longest run of plain characters that every match must hold; None if none can be told."""
+    runs, run, at, depth = [""], "", 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            run, at = "", at + 1
+        elif c == "[":
+            run, at = "", re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*").match(pattern, at).end()
+        elif c == "|" and not depth:
+            return None
+        elif c in "()":
+            run, depth = "", depth + (1 if c == "(" else -1)
+        elif c in "*?{":
+            runs[-1], run = (runs[-1][:-1] if run else runs[-1]), ""
+            at = pattern.index("}", at) if c == "{" else at
+        elif c in ".^$+|" or depth:
+            run = ""
+        elif run:
+            run += c
+            runs[-1] = run
+        else:
+            run = c
+            runs.append(c)
+        at += 1
+    return max(runs, key=len) or None
+
+
+def may_match(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    """Whether a whole text may hold a match: a cheap test of the literals in the patterns, never false for a match."""
+    literals = [literal_of(p) for p, _ in patterns]
+    if None in literals:
+        return F.lit(True)
+    folded = F.lower(F.replace(text, F.lit("\0"), F.lit("")))
+    test = F.rlike(text, F.lit(f"[{ODD_CASE}]"))
+    for x in dict.fromkeys(literals):
+        test = F.contains(folded, F.lit(x.lower())) | test
+    return test
+
+
 def any_match(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     """The prefilter: exact, since a line matches a pattern only if it matches their union."""
     return F.rlike(text, F.lit("(?iu)" + "|".join(f"(?:{p})" for p, _ in patterns)))
@@ -47,7 +89,10 @@ def any_match(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
 
 def matches(df: DataFrame, key: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
     """From lines: key, line, pattern, origin, match; every non-overlapping match of every pattern, in the JVM."""
-    found = [F.transform(F.regexp_extract_all("raw", F.lit("(?iu)" + p), F.lit(0)), _as_match(p, origin)) for p, origin in patterns]
+    found = [
+        F.transform(F.regexp_extract_all("raw", F.lit("(?iu)" + p), F.lit(0)), _as_match(p, origin))
+        for p, origin in patterns
+    ]
     held = df.where(any_match(F.col("raw"), patterns)).withColumn("found", F.concat(*found))
     return held.select(key, "line", F.inline("found"))
 
@@ -103,9 +148,10 @@ def redacted(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
 
 def first_of_each(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     """The first rows of each key with its total and whether some are left out."""
-    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    totals = df.groupBy(key).agg(F.count("*").alias("total"))
-    return ranked.where(F.col("place") <= most).join(totals, key).withColumn("truncated", F.col("total") > most)
+    each = Window.partitionBy(key)
+    ranked = df.withColumn("place", F.row_number().over(each.orderBy(*order)))
+    ranked = ranked.withColumn("total", F.count("*").over(each))
+    return ranked.where(F.col("place") <= most).withColumn("truncated", F.col("total") > most)
 
 
 def shown_pattern(pattern: Column, origin: Column) -> Column:

@@ -381,7 +381,7 @@ def three_way(t):
     return d.select("doc_id", F.when(F.col("doc_id") % 9 == 0, "missing").when(F.col("now") == F.col("shipped"), "current").when(F.col("now") == F.col("seeded"), "refresh").when(F.col("shipped") == F.col("seeded"), "kept").otherwise("offer").alias("class"))
 
 
-_EDGES = "SELECT DISTINCT user_id AS src, CAST((user_id * 7 + CAST(json_extract(props, '$.k') AS BIGINT)) % 150 AS BIGINT) AS dst FROM events WHERE event_type IN ('error', 'signup') AND event_id % 31 = 0"
+_EDGES = "SELECT DISTINCT user_id AS src, CAST((user_id * 7 + CAST(json_extract(props, '$.k') AS BIGINT)) % 150 AS BIGINT) AS dst FROM events WHERE json_extract(props, '$.k') IS NOT NULL"
 
 
 @query("R21_orphans", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM e JOIN r ON e.src = r.node) SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT node FROM r)")

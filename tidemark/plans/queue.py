@@ -10,7 +10,7 @@ from tidemark.operators import queue as Q
 from .tables import query
 
 TODAY = "2024-06-30"
-_N = r"trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_N = r"trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g'))"
 _today = lambda: F.lit(TODAY).cast("date")
 
 

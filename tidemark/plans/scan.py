@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -9,19 +11,25 @@ from tidemark.operators import scan as S
 
 from .tables import Tables, query
 
-CONFIGURED = (r'token = "[0-9a-f]{40}"', r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+")
+#: A run of name characters is taken whole or not at all, so that a long one is read once.
+CONFIGURED = (r'token = "[0-9a-f]{40}"', r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]+")
 PATTERNS = S.pattern_table(CONFIGURED)
-#: the patterns that the SQL side needs: the others match nothing in these tables, and the prefilter keeps them cheap
-_SQL = [(p.replace("'", "''"), o) for p, o in PATTERNS]
+#: SQL's expressions have neither lookbehind nor possessive repeats; the matches are the same.
+_SQL = [(p.replace("'", "''"), o, re.sub(r"\(\?<![^)]*\)|(?<=\+)\+", "", p).replace("'", "''")) for p, o in PATTERNS]
 _LINES = r"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line, raw FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS raw FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS x FROM documents))"
-_FOUND = " UNION ALL ".join(f"SELECT doc_id, line, '{p}' AS pattern, '{o}' AS origin, unnest(regexp_extract_all(raw, '(?i){p}')) AS match FROM l" for p, o in _SQL)
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, line, '{p}' AS pattern, '{o}' AS origin, unnest(regexp_extract_all(raw, '(?i){q}')) AS match FROM l" for p, o, q in _SQL)
 
 
 def document_lines(t: Tables):
     return S.lines(t("documents"), "doc_id")
 
 
-@query("L01_pattern_table", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{p}', '{o}')" for i, (p, o) in enumerate(_SQL)) + ") AS v(place, pattern, origin)")
+def suspect_lines(t: Tables):
+    """The lines of the documents that may hold a match at all: the others are not cut."""
+    return S.lines(t("documents").where(S.may_match(F.col("text"), PATTERNS)), "doc_id")
+
+
+@query("L01_pattern_table", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{p}', '{o}')" for i, (p, o, _) in enumerate(_SQL)) + ") AS v(place, pattern, origin)")
 def pattern_table(t):
     return t.spark.range(1).select(F.posexplode(F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(o).alias("origin")) for p, o in PATTERNS))).alias("place", "x")).select(F.col("place").cast("long").alias("place"), "x.*")
 
@@ -33,37 +41,42 @@ def count_lines(t):
 
 @query("L03_matches", f"WITH l AS ({_LINES}) SELECT doc_id, line, pattern, origin, match FROM ({_FOUND})")
 def matches(t):
-    found = S.matches(document_lines(t), "doc_id", PATTERNS)
+    found = S.matches(suspect_lines(t), "doc_id", PATTERNS)
     return found.select("doc_id", F.col("line").cast("long").alias("line"), "pattern", "origin", "match")
 
 
 @query("L04_first_matches", f"WITH l AS ({_LINES}), f AS ({_FOUND}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, pattern, match) AS place, count(*) OVER (PARTITION BY doc_id) AS total FROM f) SELECT doc_id, line, pattern, match, place, total, total > 5 AS truncated FROM r WHERE place <= 5")
 def first_matches(t):
     """The first five of each document, the true total beside them."""
-    found = S.first_of_each(S.matches(document_lines(t), "doc_id", PATTERNS), "doc_id", ["line", "pattern", "match"], 5)
+    found = S.first_of_each(S.matches(suspect_lines(t), "doc_id", PATTERNS), "doc_id", ["line", "pattern", "match"], 5)
     return found.select("doc_id", F.col("line").cast("long").alias("line"), "pattern", "match", F.col("place").cast("long").alias("place"), "total", "truncated")
 
 
 @query("L05_excerpts")
 def excerpts(t):
     """Matches with their columns and masked excerpts."""
-    return S.located(document_lines(t), "doc_id", PATTERNS)
+    return S.located(suspect_lines(t), "doc_id", PATTERNS)
 
 
-@query("L05_redacted_lines", f"""WITH l AS ({_LINES}) SELECT doc_id, line, regexp_replace(regexp_replace(raw, '(?i){_SQL[-2][0]}', '[REDACTED]', 'g'), '(?i){_SQL[-1][0]}', '[REDACTED]', 'g') AS shown FROM l WHERE regexp_matches(raw, '(?i){_SQL[-2][0]}') OR regexp_matches(raw, '(?i){_SQL[-1][0]}')""")
+@query("L05_redacted_lines", f"""WITH l AS ({_LINES}) SELECT doc_id, line, regexp_replace(regexp_replace(raw, '(?i){_SQL[-2][2]}', '[REDACTED]', 'g'), '(?i){_SQL[-1][2]}', '[REDACTED]', 'g') AS shown FROM l WHERE regexp_matches(raw, '(?i){_SQL[-2][2]}') OR regexp_matches(raw, '(?i){_SQL[-1][2]}')""")
 def redacted_lines(t):
-    held = document_lines(t).where(S.any_match(F.col("raw"), PATTERNS))
+    held = suspect_lines(t).where(S.any_match(F.col("raw"), PATTERNS))
     return held.select("doc_id", F.col("line").cast("long").alias("line"), S.redacted(F.col("raw"), PATTERNS).alias("shown"))
 
 
-@query("L06_prefilter", f"WITH l AS ({_LINES}) SELECT count(*) AS lines, count(*) FILTER (WHERE regexp_matches(raw, '(?i){_SQL[-2][0]}') OR regexp_matches(raw, '(?i){_SQL[-1][0]}')) AS passed FROM l")
+@query("L06_prefilter", f"WITH l AS ({_LINES}) SELECT count(*) AS lines, count(*) FILTER (WHERE regexp_matches(raw, '(?i){_SQL[-2][2]}') OR regexp_matches(raw, '(?i){_SQL[-1][2]}')) AS passed FROM l")
 def prefilter(t):
-    return document_lines(t).agg(F.count("*").alias("lines"), F.count_if(S.any_match(F.col("raw"), PATTERNS)).alias("passed"))
+    parts = F.split(F.translate(F.coalesce("text", F.lit("")), "\0", ""), "\r\n|\r|\n")
+    passed = F.filter(parts, lambda x: S.any_match(x, PATTERNS))
+    some = F.when(S.may_match(F.col("text"), PATTERNS), F.size(passed)).otherwise(0)
+    return t("documents").agg(
+        F.coalesce(F.sum(F.size(parts)), F.lit(0)).alias("lines"), F.coalesce(F.sum(some), F.lit(0)).alias("passed")
+    )
 
 
 @query("L08_display", f"WITH l AS ({_LINES}) SELECT CASE WHEN origin = 'generic' THEN pattern ELSE '[' || origin || ']' END AS shown, count(*) AS n FROM ({_FOUND}) GROUP BY 1")
 def display(t):
-    found = S.matches(document_lines(t), "doc_id", PATTERNS)
+    found = S.matches(suspect_lines(t), "doc_id", PATTERNS)
     return found.groupBy(S.shown_pattern(F.col("pattern"), F.col("origin")).alias("shown")).agg(F.count("*").alias("n"))
 
 
@@ -88,7 +101,7 @@ def style(t):
 
 def findings(t: Tables):
     """The lines' matches and style marks as one set of findings with the severity that the settings give."""
-    found = S.first_of_each(S.matches(document_lines(t), "doc_id", PATTERNS), "doc_id", ["line", "pattern", "match"], 5)
+    found = S.first_of_each(S.matches(suspect_lines(t), "doc_id", PATTERNS), "doc_id", ["line", "pattern", "match"], 5)
     secrets = found.select(F.lit("secrets").alias("id"), F.col("doc_id").alias("file"), F.col("line").cast("long").alias("line"), F.col("origin").alias("check"))
     marks = style(t).select(F.lit("style").alias("id"), F.col("doc_id").alias("file"), "line", F.col("mark").alias("check"))
     settings = F.create_map(F.lit("secrets"), F.lit("error"), F.lit("style"), F.lit("loud"))
