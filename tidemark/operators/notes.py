@@ -158,6 +158,65 @@ def fields(notes: DataFrame) -> DataFrame:
     return notes.select("path", "text").mapInArrow(run, FIELDS_SCHEMA)
 
 
+def dangling_of(text: str) -> list[tuple[str, int, str | None]]:
+    """(key, line, owner) of each list item under a key with a scalar of its own.
+
+    The owner is the earlier list most of whose items' fields the item shares, then one with the same first field;
+    of plain items the nearest earlier plain list; None if there is none.
+    """
+    header = header_of(text)
+    if header is None:
+        return []
+    out, lists, key, scalar = [], [], None, False
+    lines = header.split("\n")
+    for i, line in enumerate(lines):
+        m = _KEY.match(line)
+        if m and line[:1] not in " \t-":
+            key, value = m[1] or m[2] or m[3], _bare(m[4] or "")
+            scalar = value not in ("",) and value[:1] not in "[{|>"
+            if not scalar:
+                lists.append((key, []))
+            continue
+        item = re.match(r"^(\s*)-(?:\s+(.*)|)$", line)
+        if key is None or not item:
+            continue
+        names, deep = [], len(item[1]) + 1
+        if m2 := _KEY.match((item[2] or "").strip()):
+            names.append(m2[1] or m2[2] or m2[3])
+            for later in lines[i + 1 :]:
+                if len(later) - len(later.lstrip()) < deep or later.lstrip().startswith("-"):
+                    break
+                if m3 := _KEY.match(later.strip()):
+                    names.append(m3[1] or m3[2] or m3[3])
+        if not scalar:
+            lists[-1][1].append(names)
+            continue
+        best = None
+        for at, (owner, items) in enumerate(lists):
+            shared = max((len(set(x) & set(names)) for x in items), default=0)
+            first = any(x[:1] == names[:1] for x in items)
+            if items and (shared or (not names and not any(items))):
+                best = max(best or (0, False, -1, ""), (shared, first, at, owner))
+        out.append((key, i + 2, best[3] if best else None))
+    return out
+
+
+def dangling_items(notes: DataFrame) -> DataFrame:
+    """path, key, line, owner of the list items of notes that hang under a scalar."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(path, *x) for x in dangling_of(text or "")]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            types = [pa.string(), pa.string(), pa.int32(), pa.string()]
+            arrays = [pa.array(c, x) for c, x in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["path", "key", "line", "owner"])
+
+    return notes.select("path", "text").mapInArrow(run, "path string, key string, line int, owner string")
+
+
 def strip_code(text: str) -> str:
     """Fenced and indented code and inline spans blanked; the number of lines stays."""
     out, fence, blank, in_list = [], None, True, False

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dates, increments, queue, rules, scan, text  # noqa: F401
+from . import dates, increments, queue, rules, scan, shapes, text  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 FLAGSHIP = scan.flagship

@@ -157,16 +157,6 @@ def log_format(t):
     return out.groupBy(F.substring_index("file", "/", 1).cast("long").alias("o_custkey")).agg(F.count("*").alias("n"))
 
 
-@query("R24_duplicate_rows", "SELECT l_orderkey, l_partkey, l_suppkey, first, count(*) AS n FROM (SELECT l_orderkey, l_partkey % 5 AS l_partkey, l_suppkey % 3 AS l_suppkey, l_linenumber, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_partkey % 5, l_suppkey % 3) AS first FROM lineitem) WHERE l_linenumber > first GROUP BY ALL")
-def duplicate_rows(t):
-    """Rows of a table equal to an earlier one, which is named."""
-    from pyspark.sql import Window
-
-    rows = t("lineitem").select("l_orderkey", (F.col("l_partkey") % 5).alias("l_partkey"), (F.col("l_suppkey") % 3).alias("l_suppkey"), "l_linenumber")
-    first = F.min("l_linenumber").over(Window.partitionBy("l_orderkey", "l_partkey", "l_suppkey"))
-    return rows.withColumn("first", first).where("l_linenumber > first").groupBy("l_orderkey", "l_partkey", "l_suppkey", "first").agg(F.count("*").alias("n"))
-
-
 @query("A09_infer_kinds", "SELECT * FROM (VALUES ('o_custkey', 'number'), ('o_orderdate', 'date'), ('o_orderpriority', 'enum'), ('o_comment', 'string')) AS v(field, kind)")
 def infer_kinds(t):
     """The strictest kind that all values of a field have; few repeated tokens are an enum."""
