@@ -91,19 +91,3 @@ def sections(t):
     along = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     body = lines.withColumn("section", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(along)).where(head == "")
     return body.groupBy("conv_id", F.col("section").cast("long").alias("section")).agg(F.count("*").alias("lines"))
-
-
-@query("X33_section_checks", "SELECT doc_id % 50 AS version, count(*) AS n, count(*) = 1 AS once FROM documents GROUP BY 1")
-def section_checks(t):
-    return t("documents").groupBy((F.col("doc_id") % 50).alias("version")).agg(F.count("*").alias("n")).withColumn("once", F.col("n") == 1)
-
-
-@query("X27_added_lines", "SELECT o_custkey, count(*) AS added, max(r) AS last_line FROM (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE o_orderstatus = 'O' GROUP BY 1")
-def added_lines(t):
-    """Added lines of a diff with their numbers in the new file: the hunk's start and the kept lines since."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.col("o_orderstatus") == "O", "+").otherwise(" ")
-    lines = t("orders").withColumn("mark", mark).withColumn("number", F.count_if(F.col("mark").isin("+", " ")).over(w))
-    return lines.where("mark = '+'").groupBy("o_custkey").agg(F.count("*").alias("added"), F.max("number").alias("last_line"))
