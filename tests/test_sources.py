@@ -42,8 +42,7 @@ def test_transcript_keeps_what_people_said(spark, tmp_path):
 def test_push_records(spark, tmp_path):
     path = tmp_path / "records"
     path.write_bytes(b"commit\0abc\0blob\0abc\x00100644\0a.md\0what\0x\0")
-    spark.dataSource.register(readers.PushRecords)
-    got = spark.read.format("push_records").option("path", str(path)).load().orderBy("seq").collect()
+    got = readers.push_records(spark.read.format("binaryFile").load(str(path))).orderBy("seq").collect()
     assert [(r.kind, list(r.fields), r.problem) for r in got] == [("commit", ["abc"], None), ("blob", ["abc", "100644", "a.md"], None), ("what", [], "unknown kind")]
 
 
@@ -68,3 +67,41 @@ def test_state_and_reports_are_written(spark, tmp_path):
 def test_sources_are_checked():
     assert readers.problems_of({"id": "a", "kind": "local", "collect": len, "read_evidence": len}) == []
     assert len(readers.problems_of({"kind": "other", "collect": 3})) == 4
+
+
+def test_the_highest_whole_state_is_read(spark, tmp_path):
+    for version in (1, 2, 10):
+        readers.write_state(spark.range(version).select("id"), f"{tmp_path}/state", version)
+    (tmp_path / "state" / "version=11").mkdir()
+    assert readers.read_state(spark, f"{tmp_path}/state").count() == 10
+
+
+def test_marks_move_batch_by_batch(spark, tmp_path):
+    schema = "source_id string, day date, exit_code int, evidence_ok boolean, state string, listed int, read int"
+    told = [("a", "2026-01-01", 0, True), ("b", "2026-01-01", 1, True)], [("a", "2026-01-02", 0, False), ("b", "2026-01-02", 0, True)]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+    for i, rows in enumerate(told):
+        made = [(s, d, e, ok, "ok", 1, 1) for s, d, e, ok in rows]
+        made = spark.createDataFrame(made, schema.replace("day date", "day string")).coalesce(1)
+        made.write.mode("append").json(f"{tmp_path}/in")
+        jobs.commit_rounds(stream, f"{tmp_path}/marks", "2026-02-01", f"{tmp_path}/at").awaitTermination(120)
+        assert i in jobs.written_batches(spark, f"{tmp_path}/marks")
+    last = max(jobs.written_batches(spark, f"{tmp_path}/marks"))
+    got = {r.source_id: str(r.mark) for r in spark.read.parquet(f"{tmp_path}/marks/batch={last}").collect()}
+    assert got == {"a": "2026-01-01", "b": "2026-01-02"}
+
+
+def test_reminders_and_sessions_stream(spark, tmp_path):
+    rows = [("s", "p", "2026-01-01 10:00:00"), ("s", "p", "2026-01-01 11:00:00"), ("s", "q", "2026-01-01 12:00:00"), ("t", "p", "2026-01-01 23:30:00")]
+    spark.createDataFrame(rows, "session string, path string, at string").coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session string, path string, at timestamp").json(f"{tmp_path}/in")
+
+    def run(df, name, mode):
+        query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted((r.session, r.path) for r in run(jobs.remind_once(stream, "session", "path", "at"), "reminded", "append")) == [("s", "p"), ("s", "q"), ("t", "p")]
+    got = {(r.session, str(r.day)): (str(r.first)[11:16], str(r.last)[11:16]) for r in run(jobs.day_sessions(stream, "session", "at", "Europe/Paris"), "days", "update")}
+    assert got == {("s", "2026-01-01"): ("10:00", "12:00"), ("t", "2026-01-02"): ("23:30", "23:30")}

@@ -135,3 +135,15 @@ def kind_of(values: Column) -> Column:
     """boolean, number, date or string: the strictest shape that all values of a list have."""
     every = lambda shape: F.forall(values, lambda x: F.rlike(x, F.lit(shape)))
     return F.when(every(r"\A(true|false)\z"), "boolean").when(every(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), "date").when(every(r"\A-?[0-9]+(\.[0-9]+)?\z"), "number").otherwise("string")
+
+
+def deletions(word: Column) -> Column:
+    """The word and what is left of it after one or two deletions, each once."""
+
+    def one(w: Column) -> Column:
+        places = F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>"))
+        rest = lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
+        return F.transform(places, rest)
+
+    once = one(word)
+    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, one))))

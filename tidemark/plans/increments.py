@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import text as T
 from tidemark.operators import increments as I
-from tidemark.operators.staging import stage
+from tidemark.operators.staging import numbered, stage
 
 from .tables import query
 
@@ -85,8 +85,8 @@ def session_days(t):
 def session_rollup(t):
     """Sessions over the covered days in the order of O02: last first, then by name."""
     s = I.sessions(local_events(t).where("day between '2024-01-05' and '2024-01-11'"), "user_id", "day", "ts").groupBy("user_id").agg(F.min("first").alias("a"), F.max("last").alias("b"))
-    place = F.row_number().over(Window.orderBy(F.desc("b"), "user_id"))
-    return s.select("user_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format("b", "yyyy-MM-dd HH:mm:ss").alias("last"), place.cast("long").alias("place"))
+    s = numbered(s, "place", F.desc("b"), "user_id")
+    return s.select("user_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format("b", "yyyy-MM-dd HH:mm:ss").alias("last"), "place")
 
 
 @query("A04_drop_reasons", f"SELECT CASE WHEN user_id % 10 = 3 THEN 'excludedPath' WHEN {_LD} < DATE '2024-01-05' THEN 'modifiedBeforeWindow' WHEN {_LD} > DATE '2024-01-11' THEN 'outOfWindow' WHEN event_type = 'view' THEN 'selfTrace' WHEN value IS NULL THEN 'unreadable' ELSE 'kept' END AS reason, count(*) AS n FROM events GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P
 from tidemark.functions import text as T
+from tidemark.operators.staging import numbered
 
 from .tables import query
 
@@ -39,12 +40,20 @@ def edit_distance(t):
 d AS (SELECT p_partkey, typed, name, levenshtein(typed, name) AS e FROM t, n WHERE levenshtein(typed, name) <= CASE WHEN length(typed) <= 4 THEN 1 ELSE 2 END)
 SELECT p_partkey, typed, string_agg(name, ',' ORDER BY name) AS nearest FROM (SELECT *, rank() OVER (PARTITION BY p_partkey ORDER BY e) AS r FROM d) WHERE r = 1 GROUP BY ALL""")
 def nearest_names(t):
-    """Names at the least distance within the allowance; ties stay. The names are a small dimension, typed words distinct."""
+    """Names at the least distance within the allowance; ties stay.
+
+    Words within two edits share one of the forms that up to two deletions leave of each, so pairs are met by these
+    forms and only they are compared.
+    """
     typed = t("part").select("p_partkey", F.concat(F.lower(F.substring("p_brand", 1, 4)), F.substring("p_brand", 6, 100)).alias("typed"))
     names = t("part").select(F.lower("p_brand").alias("name")).distinct()
-    near = typed.select("typed").distinct().join(names, F.levenshtein(F.col("typed"), F.col("name")) <= T.allowed_edits(F.col("typed")))
-    near = near.withColumn("r", F.rank().over(Window.partitionBy("typed").orderBy(F.levenshtein("typed", "name")))).where("r = 1")
-    return typed.join(near.groupBy("typed").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("nearest")), "typed").select("p_partkey", "typed", "nearest")
+    ours = typed.select("typed").distinct().select("typed", F.explode(T.deletions(F.col("typed"))).alias("form"))
+    theirs = names.select("name", F.explode(T.deletions(F.col("name"))).alias("form"))
+    pairs = ours.join(theirs, "form").select("typed", "name").distinct()
+    near = pairs.withColumn("edits", F.levenshtein("typed", "name")).where(F.col("edits") <= T.allowed_edits(F.col("typed")))
+    near = near.withColumn("r", F.rank().over(Window.partitionBy("typed").orderBy("edits"))).where("r = 1")
+    near = near.groupBy("typed").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("nearest"))
+    return typed.join(near, "typed").select("p_partkey", "typed", "nearest")
 
 
 @query("X05_comparable", r"SELECT doc_id, md5(lower(regexp_replace(translate(text, '’ʼ‘', ''''''''), '\s+', ' ', 'g'))) AS folded FROM documents")
@@ -119,9 +128,9 @@ def compare_versions(t):
 
 @query("X31_version_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS place FROM part")
 def version_order(t):
-    """The order of releases x.y.z as numbers, by range-partitioned sort and per-partition ranks over a small table."""
+    """The order of releases x.y.z as numbers, by ranges of the order."""
     key = T.version_key(F.concat_ws(".", F.lit("0"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")))
-    return t("part").select("p_partkey", F.row_number().over(Window.orderBy(key)).cast("long").alias("place"))
+    return numbered(t("part").select("p_partkey", key.alias("key")), "place", "key").select("p_partkey", "place")
 
 
 @query("X18_url_forms", r"SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^/]+/[^/?#]+)$', 1) AS repo, url AS clean FROM pages WHERE regexp_matches(url, '^https?://[^/]+/[^/]+/[^/?#]+$')")

@@ -6,11 +6,13 @@ import os
 import subprocess
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
 
+from tidemark.operators.gates import schema_problems
+
 MAX_BYTES = 100 << 20
 MAX_LINE = 32 << 20
 
@@ -123,31 +125,22 @@ def page(content: str | Column) -> Column:
 ARITY = {"blob": 3, "commit": 1, "tip": 1, "ref": 2}
 
 
-class PushRecords(DataSource):
-    """NUL-framed push records (kind, then its fields) as rows; an unknown kind or a short record is an error row."""
-
-    @classmethod
-    def name(cls):
-        return "push_records"
-
-    def schema(self):
-        return "file string, seq int, kind string, fields array<string>, problem string"
-
-    def reader(self, schema):
-        return PushRecordReader(self.options["path"].split(","))
-
+def push_records(files: DataFrame) -> DataFrame:
+    """file, seq, kind, fields, problem of NUL-framed push records in binary files (path, content).
 
-class PushRecordReader(DataSourceReader):
-    def __init__(self, paths):
-        self.paths = paths
+    A record is a kind and its fields; an unknown kind or a short record is an error row.
+    """
 
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                parts = [x.decode("utf-8", "replace") for x in bytes(content).split(b"\0")]
+                rows += parse_records(path, parts[:-1] if parts[-1:] == [""] else parts)
+            yield pd.DataFrame(rows, columns=["file", "seq", "kind", "fields", "problem"])
 
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            parts = [x.decode("utf-8", "replace") for x in f.read().split(b"\0")]
-        yield from parse_records(partition.value, parts[:-1] if parts[-1:] == [""] else parts)
+    schema = "file string, seq int, kind string, fields array<string>, problem string"
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def parse_records(file: str, parts: list[str]):
@@ -187,6 +180,22 @@ def write_state(df: DataFrame, path: str, version: int) -> str:
     return out
 
 
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state of the highest version that has been written whole."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    version = F.regexp_extract("path", r"/version=(\d+)/[^/]*\z", 1).try_cast("long")
+    highest = files.load(path).agg(F.max(version)).first()[0]
+    return spark.read.parquet(f"{path}/version={highest}")
+
+
+def read_config(spark: SparkSession, path: str, schema: dict) -> DataFrame:
+    """file, config (a variant, null if it is not JSON) and problems of configuration files under a schema."""
+    files = spark.read.option("wholetext", True).text(path)
+    read = files.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("config"))
+    wrong = F.when(F.col("config").isNull(), F.array(F.lit("$: not JSON")))
+    return read.withColumn("problems", F.coalesce(wrong, schema_problems(F.col("config"), schema)))
+
+
 def write_digests(messages: DataFrame, path: str) -> None:
     """One folder of text a session, its lines in time order."""
     lines = messages.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "role", "text"))), lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("value"))

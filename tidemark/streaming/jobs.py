@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,35 +25,53 @@ def day_sessions(stream: DataFrame, session: str, at: str, zone: str, late: str
 def commit_rounds(stream: DataFrame, marks_dir: str, today: str, checkpoint: str):
     """Starts a query that moves the marks after each batch of outcomes.
 
-    A batch writes marks under its own number from those of the batch before, so a batch that is run again after a
-    failure writes the same rows to the same place.
+    A batch writes marks under its own number from those of the last batch before it that was written whole, so a batch
+    that is run again after a failure writes the same rows to the same place.
     """
+    empty = "source_id string, mark date"
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        marks = spark.read.parquet(f"{marks_dir}/batch={number - 1}") if number else spark.createDataFrame([], "source_id string, mark date")
-        last = batch.groupBy("source_id").agg(F.max_by(F.struct("day", "exit_code", "evidence_ok", "state", "listed", "read"), "day").alias("x")).select("source_id", "x.*")
-        I.commit(marks, last, F.lit(today).cast("date")).select("source_id", "mark").write.mode("overwrite").parquet(f"{marks_dir}/batch={number}")
+        before = [n for n in written_batches(spark, marks_dir) if n < number]
+        marks = spark.createDataFrame([], empty)
+        if before:
+            marks = spark.read.schema(empty).parquet(f"{marks_dir}/batch={max(before)}")
+        told = F.struct("day", "exit_code", "evidence_ok", "state", "listed", "read")
+        last = batch.groupBy("source_id").agg(F.max_by(told, "day").alias("x")).select("source_id", "x.*")
+        moved = I.commit(marks, last, F.lit(today).cast("date")).select("source_id", "mark")
+        moved.write.mode("overwrite").parquet(f"{marks_dir}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def written_batches(spark: SparkSession, marks_dir: str) -> list[int]:
+    """The numbers of the batches that have marks, as Spark's reader lists them: a row a batch."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    try:
+        found = files.load(marks_dir).select(F.regexp_extract("path", r"/batch=(\d+)/[^/]*\z", 1).alias("n"))
+        return [int(r.n) for r in found.where("n <> ''").distinct().collect()]
+    except AnalysisException:  # there is no folder yet
+        return []
+
+
 def question_queue(stream: DataFrame) -> DataFrame:
     """One state a normalized question over commands (normalized, text, day, action): added once, asked once a day, answered."""
 
     def step(key, frames, state: GroupState):
-        text, asked, status = state.get if state.exists else (None, 0, None)
-        last = ""
+        text, asked, status, last = state.get if state.exists else (None, 0, None, "")
         for frame in frames:
             for r in frame.sort_values("day").itertuples():
                 if r.action == "add" and status != "open":
-                    text, asked, status = r.text, 0, "open"
+                    text, asked, status, last = r.text, 0, "open", ""
                 elif r.action == "asked" and status == "open" and r.day != last:
                     asked, last = asked + 1, r.day
                 elif r.action == "answer" and status == "open":
                     status = "answered"
         if status is not None:
-            state.update((text, asked, status))
+            state.update((text, asked, status, last))
             yield pd.DataFrame({"normalized": [key[0]], "text": [text], "asked": [asked], "status": [status]})
 
-    return stream.groupBy("normalized").applyInPandasWithState(step, "normalized string, text string, asked int, status string", "text string, asked int, status string", "update", GroupStateTimeout.NoTimeout)
+    told, kept = "text string, asked int, status string", "text string, asked int, status string, last string"
+    return stream.groupBy("normalized").applyInPandasWithState(
+        step, f"normalized string, {told}", kept, "update", GroupStateTimeout.NoTimeout
+    )
