@@ -6,6 +6,10 @@ stride and none is cut. Each span becomes a window: the leading system turn agai
 `HISTORY` before the span, then the span's own turns. Only own assistant turns are under the loss mask; repeated
 turns are marked as such and masked, so each assistant text is a target once.
 
+A window holds a stride's tokens and its last turn beyond it, the history and the system turn. Turns are never cut,
+so one with a very long turn is over any budget: windows of more than `BUDGET` tokens are marked as such, for the
+trainer to leave out or to give room.
+
 Every marker starts with ``<|``. In roles and texts a backslash goes in after the first character of each control
 string (the markers and the usual ones of other templates), after whatever backslashes stand there already, and
 comes out again on reading; so the escape is reversible and no text can look like a marker.
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 STRIDE = 512
 HISTORY = 128  # under the stride, so that a turn is history of one span at most
+BUDGET = 1024  # tokens of a window, beyond which it is told to be over
 START, NEW, LOSS, OLD, BODY, END = "<|window|>", "<|new|>", "<|loss|>", "<|old|>", "<|body|>", "<|end|>"
 _HIDE = r"(<|\[)(\\*)(\||/?s>|/?INST\])"
 _SHOW = r"(<|\[)\\(\\*)(\||/?s>|/?INST\])"
@@ -36,33 +41,87 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _SHOW, "$1$2$3")
 
 
-def format_windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
-    """conv_id and windows: in order, each with its string and its loss spans (start, length in code points)."""
-    conv = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def format_windows(
+    conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY, budget: int = BUDGET
+) -> DataFrame:
+    """conv_id and windows: in order, each with its string, its loss spans (start, length in code points), its tokens
+    and whether these are over the budget."""
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    conv = conversations.select("conv_id", "turn", role, text)
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     t = conv.withColumn("ord", F.row_number().over(order) - 1)
     lead = (F.col("ord") == 0) & (F.col("role") == "system")
-    t = t.withColumn("lead", lead).withColumn("cost", F.when(lead, 0).otherwise(4 + F.ceil((F.octet_length("role") + F.octet_length("text")) / 4)).cast("long"))
+    tokens = 4 + F.ceil((F.octet_length("role") + F.octet_length("text")) / 4)
+    t = t.withColumn("lead", lead).withColumn("tokens", tokens.cast("long"))
+    t = t.withColumn("cost", F.when(F.col("lead"), 0).otherwise(F.col("tokens")))
     by_ord = Window.partitionBy("conv_id").orderBy("ord")
-    t = t.withColumn("before", F.sum("cost").over(by_ord.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cost")).withColumn("span", F.floor(F.col("before") / stride))
-    t = t.withColumn("opens", ~F.col("lead") & F.coalesce((F.lag("span").over(by_ord) != F.col("span")) | F.lag("lead").over(by_ord), F.lit(True)))
-    t = t.withColumn("system", F.first(F.when(F.col("lead"), F.concat(escape(F.col("role")), F.lit(BODY), escape(F.col("text")), F.lit(END)))).over(by_ord.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = by_ord.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("before", F.sum("cost").over(so_far) - F.col("cost"))
+    t = t.withColumn("span", F.floor(F.col("before") / stride))
+    other = (F.lag("span").over(by_ord) != F.col("span")) | F.lag("lead").over(by_ord)
+    t = t.withColumn("opens", ~F.col("lead") & F.coalesce(other, F.lit(True)))
+    said = F.concat(escape(F.col("role")), F.lit(BODY), escape(F.col("text")), F.lit(END))
+    t = t.withColumn("system", F.first(F.when(F.col("lead"), F.struct(said.alias("piece"), "tokens"))).over(so_far))
     backwards = Window.partitionBy("conv_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("next", F.last(F.when(F.col("opens"), F.struct("before", "span")), ignorenulls=True).over(backwards))
     # `next` is the nearest span that opens after the turn.
-    again = ~F.col("lead") & (F.col("next.span") != F.col("span")) & (F.col("next.before") - F.col("before") <= history)
+    near = F.col("next.before") - F.col("before") <= history
+    again = ~F.col("lead") & (F.col("next.span") != F.col("span")) & near
     body = F.concat(escape(F.col("role")), F.lit(BODY))
     shown = escape(F.col("text"))
-    own = F.struct("span", F.lit(1).alias("own"), F.col("ord"), F.concat(F.when(F.col("role") == "assistant", LOSS).otherwise(NEW), body, shown, F.lit(END)).alias("piece"), F.when(F.col("role") == "assistant", F.length(F.lit(LOSS)) + F.length(body)).alias("at"), F.length(shown).alias("len"))
-    old = F.struct(F.col("next.span").alias("span"), F.lit(0).alias("own"), F.col("ord"), F.concat(F.lit(OLD), body, shown, F.lit(END)).alias("piece"), F.lit(None).cast("int").alias("at"), F.lit(0).alias("len"))
-    rows = t.select("conv_id", "system", F.explode(F.when(again, F.array(own, old)).otherwise(F.array(own))).alias("x")).select("conv_id", "system", "x.*")
-    spans = rows.groupBy("conv_id", "span").agg(F.first("system", ignorenulls=True).alias("system"), F.min(F.when(F.col("own") == 1, F.col("ord"))).alias("first"), F.array_sort(F.collect_list(F.struct("own", "ord", "piece", "at", "len"))).alias("pieces"))
-    head = F.concat(F.lit(START), F.when((F.col("first") > 0) & F.col("system").isNotNull() & (F.col("span") > 0), F.concat(F.lit(OLD), F.col("system"))).otherwise(""))
+    is_target = F.col("role") == "assistant"
+    own = F.struct(
+        "span",
+        F.lit(1).alias("own"),
+        "ord",
+        F.concat(F.when(is_target, LOSS).otherwise(NEW), body, shown, F.lit(END)).alias("piece"),
+        F.when(is_target, F.length(F.lit(LOSS)) + F.length(body)).alias("at"),
+        F.length(shown).alias("len"),
+        "tokens",
+    )
+    old = F.struct(
+        F.col("next.span").alias("span"),
+        F.lit(0).alias("own"),
+        "ord",
+        F.concat(F.lit(OLD), body, shown, F.lit(END)).alias("piece"),
+        F.lit(None).cast("int").alias("at"),
+        F.lit(0).alias("len"),
+        "tokens",
+    )
+    rows = t.select("conv_id", "system", F.explode(F.when(again, F.array(own, old)).otherwise(F.array(own))).alias("x"))
+    rows = rows.select("conv_id", "system", "x.*")
+    spans = rows.groupBy("conv_id", "span").agg(
+        F.first("system", ignorenulls=True).alias("system"),
+        F.min(F.when(F.col("own") == 1, F.col("ord"))).alias("first"),
+        F.array_sort(F.collect_list(F.struct("own", "ord", "piece", "at", "len", "tokens"))).alias("pieces"),
+    )
+    repeats = (F.col("first") > 0) & F.col("system").isNotNull() & (F.col("span") > 0)
+    head = F.concat(F.lit(START), F.when(repeats, F.concat(F.lit(OLD), F.col("system.piece"))).otherwise(""))
+    cost = F.aggregate("pieces", F.when(repeats, F.col("system.tokens")).otherwise(F.lit(0).cast("long")), _plus_tokens)
+    spans = spans.withColumn("head", head).withColumn("tokens", cost)
     none = F.array().cast("array<struct<start:int,len:int>>")
-    place = lambda a, p: F.struct((a["to"] + F.length(p["piece"])).alias("to"), F.when(p["at"].isNotNull(), F.concat(a["loss"], F.array(F.struct((a["to"] + p["at"]).alias("start"), p["len"].alias("len"))))).otherwise(a["loss"]).alias("loss"))
-    spans = spans.withColumn("head", head)
-    spans = spans.select("conv_id", "span", F.concat("head", F.array_join(F.transform("pieces", lambda p: p["piece"]), "")).alias("text"), F.aggregate("pieces", F.struct(F.length("head").alias("to"), none.alias("loss")), place, lambda a: a["loss"]).alias("loss"))
-    return spans.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("span", "text", "loss"))).alias("windows"))
+    opening = F.struct(F.length("head").alias("to"), none.alias("loss"))
+    spans = spans.select(
+        "conv_id",
+        "span",
+        F.concat("head", F.array_join(F.transform("pieces", lambda p: p["piece"]), "")).alias("text"),
+        F.aggregate("pieces", opening, _place, lambda a: a["loss"]).alias("loss"),
+        "tokens",
+        (F.col("tokens") > budget).alias("over"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("span", "text", "loss", "tokens", "over")))
+    return spans.groupBy("conv_id").agg(listed.alias("windows"))
+
+
+def _plus_tokens(a: Column, p: Column) -> Column:
+    return a + p["tokens"]
+
+
+def _place(a: Column, p: Column) -> Column:
+    """One more piece of a window: where the next starts, and the loss spans so far."""
+    target = F.struct((a["to"] + p["at"]).alias("start"), p["len"].alias("len"))
+    loss = F.when(p["at"].isNotNull(), F.concat(a["loss"], F.array(target))).otherwise(a["loss"])
+    return F.struct((a["to"] + F.length(p["piece"])).alias("to"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -75,10 +134,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def op8_budgeted_windows(spark, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    extra = spark.range(2, numPartitions=1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    extra = spark.range(2, numPartitions=1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
     back = read_back(format_windows(conversations.unionByName(extra)))
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
 
 
 ORACLE = rf"""
