@@ -169,28 +169,37 @@ def score(model: dict | None, text: str | None) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and classes of a bounded sample of the labelled rows outside the held-out fold."""
-    told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    """Texts and classes of a bounded sample of the labelled rows outside the held-out fold; equal texts count once."""
+    told = F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2)
+    told = labels.where(told).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r[0]: r[1] for r in told.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return [], []
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1e6
-    picked = told.where(F.when(F.col("toxic") == 1, draw < POSITIVE / sizes[1]).otherwise(draw < NEGATIVE / sizes[0]))
-    picked = maybe_broadcast(stage(picked.withColumnRenamed("doc_id", "labelled"), "picked"), 16)
-    got = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("labelled")).where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    share = F.when(F.col("toxic") == 1, POSITIVE / sizes[1]).otherwise(NEGATIVE / sizes[0])
+    picked = told.where(draw < share).withColumnRenamed("doc_id", "labelled")
+    picked = maybe_broadcast(stage(picked, "picked"), 16)
+    got = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("labelled"))
+    got = got.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "toxic").distinct()
+    got = got.orderBy(F.xxhash64("doc_id", "text")).limit(2 * (POSITIVE + NEGATIVE)).toPandas()
+    got = got.sort_values(["doc_id", "text"])
     return got["text"].tolist(), got["toxic"].tolist()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document row."""
     model = train(*sample(docs, labels))
+    names = ["doc_id", "held_out", "score", "predicted"]
 
     def run(batches):
         for batch in batches:
             s = [score(model, t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= CUT) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+            made = [pa.array(s, pa.float64()), pa.array([int(x >= CUT) for x in s], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    doc_id, held_out = F.col("doc_id").cast("long").alias("doc_id"), in_fold(F.col("doc_id"), 4, 2).alias("held_out")
+    schema = "doc_id long, held_out boolean, score double, predicted int"
+    return docs.select(doc_id, held_out, "text").mapInArrow(run, schema)
 
 
 def op3_subword_toxicity(spark, sf_dir: str) -> DataFrame:
