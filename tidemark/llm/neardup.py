@@ -308,9 +308,17 @@ def _meet(hot: DataFrame, held: DataFrame, labels: DataFrame, most: int) -> Data
 
 def near_duplicates(docs: DataFrame, hot: int = HOT, sparse: int = SPARSE) -> DataFrame:
     """A row for each document row: doc_id, n_shingles, component_id, kept, and tkey, the key of its text."""
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # texts are long
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, min(int(before), 1000) if int(before) > 0 else 1000)  # texts are long
+    try:
+        return _near_duplicates(docs, hot, sparse)
+    finally:
+        conf.set(name, before)
+
+
+def _near_duplicates(docs: DataFrame, hot: int, sparse: int) -> DataFrame:
+    """All that runs in Arrow batches is written before this returns."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stage(texts.mapInArrow(_sign, _SIGNED), "signed")
     nodes = stage(signed.where("fp is not null").groupBy("fp").agg(F.min(F.struct("tkey", "bytes")).alias("least"), F.first("sig").alias("sig")).select("fp", "least.tkey", "sig", "least.bytes"), "nodes")
