@@ -20,9 +20,11 @@ def words(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, all else as it is; null is empty."""
+    """A-Z in lower case, all else as it is; null is empty. Text that is ASCII throughout takes the shorter way."""
     upper = "".join(map(chr, range(65, 91)))
-    return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
 def text_key(text: Column) -> Column:
