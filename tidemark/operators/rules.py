@@ -1,6 +1,6 @@
 """Rules over notes: each takes a context of relations and returns findings (id, check, level, file, line).
 
-Notes are parsed once into fields, lines and links; a rule is projections and joins over these and never collects.
+Notes are parsed into fields, lines and links; a rule is projections and joins over these and never collects.
 An unreadable field is always a `should`. Rules are registered by id, so that a restricted run builds only theirs.
 """
 
@@ -16,6 +16,7 @@ from tidemark.functions import dates as D
 from tidemark.functions import paths as P
 
 from . import notes as N
+from .staging import stage
 
 RULES: dict[str, Callable[[Context], DataFrame]] = {}
 STATUSES = ("draft", "stable", "deprecated")
@@ -34,6 +35,12 @@ class Context:
         self.fields = N.fields(self.markdown)
         self.first = self.fields.where("occurrence = 1")
 
+    def staged(self) -> Context:
+        """The same with the parsed headers written once, for several rules that read them."""
+        self.fields = stage(self.fields, "fields")
+        self.first = self.fields.where("occurrence = 1")
+        return self
+
     def lines(self) -> DataFrame:
         return self.markdown.select("path", F.posexplode(F.split("text", "\n")).alias("at", "raw")).select("path", (F.col("at") + 1).alias("line"), "raw")
 
@@ -56,8 +63,10 @@ def found(df: DataFrame, rule_id: str, check: Column | str, level: Column | str,
 
 
 def run(ctx: Context, only: list[str] | None = None) -> DataFrame:
-    """The findings of the chosen rules, in order of file, line, id and check."""
+    """The findings of the chosen rules, in order of file, line, id and check; headers are parsed once for all."""
     out = None
+    if only is None or len(only) > 1:
+        ctx = ctx.staged()
     for name, f in RULES.items():
         if only is None or name in only:
             out = f(ctx) if out is None else out.unionByName(f(ctx))

@@ -358,14 +358,6 @@ def pattern_union(t):
     return rows.groupBy("pattern").agg(F.bool_or("failed").alias("failed"))
 
 
-@query("J17_push_tips", "SELECT s_nationkey AS id, min(s_suppkey) AS first FROM supplier WHERE s_nationkey <> 0 GROUP BY 1")
-def push_tips(t):
-    """The third word from the end of each line, where it is an object id; the first line of each id."""
-    line = F.concat_ws(" ", F.col("s_name"), F.col("s_nationkey").cast("string"), F.lit("refs/heads/x"), F.lit("0"))
-    rows = t("supplier").select(F.element_at(F.split(line, " "), -3).try_cast("int").alias("id"), "s_suppkey")
-    return rows.where("id <> 0").groupBy("id").agg(F.min("s_suppkey").alias("first"))
-
-
 @query("A17_project_verdict", "SELECT o_custkey, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') = 0 THEN 'missing' WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN 'waiting' ELSE 'found' END AS verdict FROM orders GROUP BY 1")
 def project_verdict(t):
     n = lambda s: F.count_if(F.col("o_orderstatus") == s)

@@ -72,13 +72,6 @@ def prune(t):
     return readers.pruned(t.events().where("event_type = 'error'"), "ts", F.lit("2024-01-20").cast("timestamp"), 7).select("event_id")
 
 
-@query("S18_pull_requests", "SELECT o_custkey, CASE WHEN bool_and(o_totalprice > 2000) THEN string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) END AS numbers FROM orders GROUP BY 1")
-def pull_requests(t):
-    """A listing is taken whole or not at all, in the order of its numbers."""
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return t("orders").groupBy("o_custkey").agg(F.when(F.bool_and(F.col("o_totalprice") > 2000), listed).alias("numbers"))
-
-
 @query("X32_sections", "SELECT conv_id, turn AS section, CAST(greatest(length(text) - length(replace(text, chr(10), '')), 0) + 1 AS BIGINT) AS lines FROM conversations WHERE role = 'user'")
 def sections(t):
     """Change-log sections: a heading starts one, the lines until the next are its body."""

@@ -104,19 +104,6 @@ def entries(t):
     return f.select("path", F.explode("entries.v").alias("e")).select("path", F.col("e")["id"].alias("source"))
 
 
-@query("P10_strip_code", "SELECT p_type || '/' || CAST(p_partkey AS VARCHAR) || '.md' AS path, false AS code FROM part")
-def strip_code(t):
-    return vault(t).select("path", F.contains(N.code_stripped("text"), F.lit("[[code]]")).alias("code"))
-
-
-@query("P12_table_rows", f"SELECT {_P} AS path, CAST(1 AS BIGINT) AS headers, CAST(2 AS BIGINT) AS data_rows FROM part")
-def table_rows(t):
-    """Headers and data rows of all tables."""
-    lines = vault(t).select("path", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = N.table_rows(lines, "path")
-    return rows.groupBy("path").agg(F.count_if(F.col("kind") == "header").alias("headers"), F.count_if(F.col("kind") == "row").alias("data_rows"))
-
-
 @query("P13_links", f"SELECT {_P} AS path, 'next' AS label, '../' || p_type || '/' || CAST(p_partkey + 1 AS VARCHAR) || '.md' AS raw FROM part")
 def links(t):
     return N.links(vault(t)).select("path", "label", "raw")
@@ -132,15 +119,6 @@ def footnotes(t):
     return vault(t).select("path", F.explode(N.footnotes(F.col("text"))).alias("id"))
 
 
-@query("P18_section", "SELECT o_orderkey, CAST(3 AS BIGINT) AS n FROM orders")
-def section(t):
-    """Lines under a heading, up to the next one of its level."""
-    k = F.col("o_orderkey").cast("string")
-    text = F.concat(F.lit("# Top\n## Open\n| a |\n### sub\n| b |\n## Done\n| "), k, F.lit(" |"))
-    lines = t("orders").select("o_orderkey", F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    return N.sections(lines, "o_orderkey", "## Open").groupBy("o_orderkey").agg(F.count("*").alias("n"))
-
-
 @query("P19_target_state", f"SELECT {_P} AS path, CASE WHEN EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = part.p_partkey + 1 AND b.p_type = part.p_type) THEN 'in-walk' ELSE 'absent' END AS state FROM part")
 def target_state(t):
     """Links joined to files and to the folders of files."""
@@ -157,37 +135,6 @@ def log_format(t):
     return out.groupBy(F.substring_index("file", "/", 1).cast("long").alias("o_custkey")).agg(F.count("*").alias("n"))
 
 
-@query("A09_infer_kinds", "SELECT * FROM (VALUES ('o_custkey', 'number'), ('o_orderdate', 'date'), ('o_orderpriority', 'enum'), ('o_comment', 'string')) AS v(field, kind)")
-def infer_kinds(t):
-    """The strictest kind that all values of a field have; few repeated tokens are an enum."""
-    o = t("orders").select(F.expr("stack(4, 'o_custkey', cast(o_custkey as string), 'o_orderdate', date_format(o_orderdate, 'yyyy-MM-dd'), 'o_orderpriority', replace(o_orderpriority, ' ', '_'), 'o_comment', concat('order ', o_orderkey)) as (field, value)"))
-    every = lambda shape: F.bool_and(F.rlike("value", F.lit(shape)))
-    stats = o.groupBy("field").agg(every(r"\A(true|false)\z").alias("b"), every(r"\A\d{4}-\d{2}-\d{2}\z").alias("d"), every(r"\A-?\d+(\.\d+)?\z").alias("n"), every(r"\A[A-Za-z0-9_-]+\z").alias("t"), F.count("*").alias("rows"), F.countDistinct("value").alias("distinct"))
-    return stats.select("field", F.when(F.col("b"), "boolean").when(F.col("d"), "date").when(F.col("n"), "number").when((F.col("distinct") <= 12) & (F.col("rows") > F.col("distinct")) & F.col("t"), "enum").otherwise("string").alias("kind"))
-
-
-@query("A10_infer_collections", "SELECT p_brand AS dir, CASE WHEN count(DISTINCT p_type) = 1 AND count(*) FILTER (WHERE p_type IS NULL) = 0 THEN 'collection' ELSE 'domain' END AS role FROM part GROUP BY 1")
-def infer_collections(t):
-    one = (F.countDistinct("p_type") == 1) & (F.count_if(F.col("p_type").isNull()) == 0)
-    return t("part").groupBy(F.col("p_brand").alias("dir")).agg(F.when(one, "collection").otherwise("domain").alias("role"))
-
-
-@query("A11_infer_enums", "SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS options FROM part GROUP BY 1")
-def infer_enums(t):
-    return t("part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("options"))
-
-
-@query("A13_infer_confidential", "SELECT DISTINCT split_part(p_name, ' ', 1) AS dir FROM part WHERE p_size > 45 UNION SELECT DISTINCT split_part(p_name, ' ', 1) || '/' || split_part(p_name, ' ', 2) FROM part WHERE p_size = 1 AND split_part(p_name, ' ', 1) NOT IN (SELECT split_part(p_name, ' ', 1) FROM part WHERE p_size > 45)")
-def infer_confidential(t):
-    """Folders of marked notes; those inside another one are dropped by an equi-join on their ancestors."""
-    from tidemark.functions import paths as P
-
-    p = t("part").select(F.split("p_name", " ").alias("s"), "p_size")
-    dirs = p.where("p_size > 45").select(F.get("s", F.lit(0)).alias("dir")).union(p.where("p_size = 1").select(F.concat_ws("/", F.get("s", F.lit(0)), F.get("s", F.lit(1))))).distinct()
-    nested = dirs.select("dir", F.explode(P.ancestors(F.col("dir"))).alias("up")).join(dirs.select(F.col("dir").alias("up")), "up").select("dir").distinct()
-    return dirs.join(nested, "dir", "left_anti")
-
-
 @query("A07_distinct_paths", "SELECT DISTINCT source FROM documents")
 def distinct_paths(t):
     return t("documents").select("source").distinct().orderBy("source")

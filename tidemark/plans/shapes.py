@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import adopt as A
 from tidemark.operators import notes as N
 from tidemark.operators import rules as R
 
@@ -329,3 +330,158 @@ def log_order(t):
     path = F.concat(F.col("o_custkey").cast("string"), F.lit("/log.md"))
     found = R.RULES["log-format"](R.Context(logs.select(path.alias("path"), "text")))
     return found.where("check = 'ordering'").select("file", "line")
+
+
+def _cased(t, texts) -> DataFrame:
+    return t("orders").select(F.col("o_orderkey").cast("string").alias("path"), _pick(F.col("o_orderkey"), *texts).alias("text"))
+
+
+CODE = (
+    ("a MARK b", True),
+    ("a `MARK` b", False),
+    ("a ``x ` MARK`` b", False),
+    ("a `open MARK", True),
+    ("```\nMARK\n```", False),
+    ("~~~ md\nMARK\n~~~\nend", False),
+    ("```\nMARK", False),
+    ("````\n```\nMARK\n````", False),
+    ("para\n\n    MARK", False),
+    ("- item\n\n    MARK", True),
+    ("> ```\n> MARK\n> ```", False),
+    ("```\nx\n```\nMARK", True),
+)
+
+
+@query("P10_strip_code", "SELECT CAST(o_orderkey AS VARCHAR) AS path, value AS text_left, lines FROM orders JOIN (VALUES " + ", ".join(f"({i}, {v}, {x.count(chr(10)) + 1})" for i, (x, v) in enumerate(CODE)) + f") AS v(r, value, lines) ON o_orderkey % {len(CODE)} = r")
+def strip_code(t):
+    """Whether a word is left once fences, indented code and spans are blanked; the number of lines stays."""
+    bare = N.code_stripped("text")
+    rows = _cased(t, [x for x, _ in CODE]).withColumn("bare", bare)
+    return rows.select("path", F.contains("bare", F.lit("MARK")).alias("text_left"), F.size(F.split("bare", "\n")).alias("lines"))
+
+
+TABLES = (
+    ("| a |\n|---|\n| 1 |\n| 2 |", "1:2"),
+    ("a | b\n---|---\n1 | 2", "1:1"),
+    ("no table\n| a |", ""),
+    ("| a |\n|---|\n\n| b |\n|---|\n| 1 |", "1:0,4:1"),
+    ("| a |\n|---|\n| 1 |\ntext\n| 2 |", "1:1"),
+    ("|---|\n|---|", ""),
+)
+
+
+@query("P12_table_rows", "SELECT CAST(o_orderkey AS VARCHAR) AS path, value AS found FROM orders JOIN " + _values(*(_quoted(v) for _, v in TABLES)) + f" ON o_orderkey % {len(TABLES)} = r WHERE value <> ''")
+def table_rows(t):
+    """Every table with its header's line and how many data rows it has."""
+    lines = _cased(t, [x for x, _ in TABLES]).select("path", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    rows = N.table_rows(lines.select("path", (F.col("at") + 1).alias("line"), "raw"), "path")
+    per = rows.groupBy("path", "table").agg(F.count_if(F.col("kind") == "row").alias("n"))
+    one = F.concat_ws(":", F.col("table").cast("string"), F.col("n").cast("string"))
+    return per.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("found"))
+
+
+SECTIONS = (
+    ("# T\n## Open\na\n### sub\nb\n## Done\nc", "a|### sub|b"),
+    ("## Open\n", ""),
+    ("## Opened\na", None),
+    ("# Open\na\n## Open\nb\n# End\nc", "b"),
+    ("## Open\na\n## Open\nb", "a"),
+    ("x\n ## Open \na", "a"),
+)
+
+
+@query("P18_section", "SELECT CAST(o_orderkey AS VARCHAR) AS path, value AS body FROM orders JOIN " + _values(*(_quoted(v) for _, v in SECTIONS)) + f" ON o_orderkey % {len(SECTIONS)} = r WHERE value IS NOT NULL")
+def section(t):
+    """The lines under a heading, up to the next of its level or above; only the first such heading counts."""
+    lines = _cased(t, [x for x, _ in SECTIONS]).select("path", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    rows = N.sections(lines, "path", "## Open")
+    told = F.array_join(F.array_sort(F.collect_list(F.struct("line", "raw")))["raw"], "|")
+    return rows.groupBy("path").agg(told.alias("body"))
+
+
+_FIELDS = {
+    "orders": ("o_custkey", "strftime(o_orderdate, '%Y-%m-%d')", "replace(o_orderpriority, ' ', '_')", "o_orderstatus", "CAST(o_totalprice > 100 AS VARCHAR)"),
+    "part": ("p_name", "p_size", "p_brand", "p_type"),
+    "customer": ("c_name", "c_acctbal", "c_mktsegment"),
+}
+_VALUES = " UNION ALL ".join(f"SELECT '{table}.{i}' AS field, CAST({x} AS VARCHAR) AS value FROM {table}" for table, xs in _FIELDS.items() for i, x in enumerate(xs))
+_DATE = "try_cast(value AS DATE) IS NOT NULL AND regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}')"
+
+
+@query(
+    "A09_infer_kinds",
+    f"SELECT field, CASE WHEN bool_and(value IN ('true', 'false')) THEN 'boolean' WHEN bool_and({_DATE}) THEN 'date' WHEN bool_and(regexp_full_match(value, '-?[0-9]+([.][0-9]+)?')) THEN 'number' "
+    f"WHEN count(DISTINCT value) <= 12 AND count(*) > count(DISTINCT value) AND bool_and(regexp_full_match(value, '[A-Za-z0-9_-]+')) THEN 'enum' ELSE 'string' END AS kind FROM ({_VALUES}) WHERE value IS NOT NULL GROUP BY 1",
+)
+def infer_kinds(t):
+    """The strictest kind that all values of a field have."""
+    out = None
+    for table, xs in _FIELDS.items():
+        made = [F.date_format("o_orderdate", "yyyy-MM-dd") if x.startswith("strftime") else F.expr(x.replace("VARCHAR", "STRING")).cast("string") for x in xs]
+        each = F.explode(F.array(*(F.struct(F.lit(f"{table}.{i}").alias("field"), c.alias("value")) for i, c in enumerate(made)))).alias("x")
+        one = t(table).select(each).select("x.*")
+        out = one if out is None else out.unionByName(one)
+    return A.kinds(out, "field", "value")
+
+
+@query("A10_infer_collections", "SELECT p_brand || '-' || p_size % 3 AS dir, CASE WHEN count(DISTINCT p_type) = 1 THEN 'collection' ELSE 'domain' END AS role FROM part GROUP BY 1")
+def infer_collections(t):
+    """First-level folders of notes, told apart by whether their notes share one type."""
+    path = F.concat("p_brand", F.lit("-"), (F.col("p_size") % 3).cast("string"), F.lit("/"), F.col("p_partkey").cast("string"))
+    return A.collections(t("part").select(path.alias("path"), "p_type"), "path", "p_type")
+
+
+@query("A11_infer_enums", "SELECT 'brand' AS field, p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS options FROM part GROUP BY 2 UNION ALL SELECT 'size', p_type, string_agg(DISTINCT CAST(p_size % 4 AS VARCHAR), ',' ORDER BY CAST(p_size % 4 AS VARCHAR)) FROM part GROUP BY 2")
+def infer_enums(t):
+    """The values of each field for each type of note."""
+    pair = lambda name, c: F.struct(F.lit(name).alias("field"), c.alias("value"))
+    each = F.explode(F.array(pair("brand", F.col("p_brand")), pair("size", (F.col("p_size") % 4).cast("string"))))
+    values = t("part").select("p_type", each.alias("x")).select("p_type", "x.*")
+    return A.choices(values, "field", "p_type", "value").withColumn("options", F.array_join("options", ","))
+
+
+@query(
+    "A13_infer_confidential",
+    "WITH d AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_type || '/' || p_brand END AS dir FROM part WHERE p_size < 4), k AS (SELECT dir FROM d WHERE dir <> 'PROMO' AND NOT starts_with(dir, 'PROMO/')) "
+    "SELECT dir FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE starts_with(k.dir, o.dir || '/'))",
+)
+def infer_confidential(t):
+    """Folders of marked notes outside the known ones, nested ones dropped."""
+    folder = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.concat_ws("/", "p_type", "p_brand"))
+    marked = t("part").where("p_size < 4").select(F.concat(folder, F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
+    return A.confidential_folders(marked, "path", ["PROMO"])
+
+
+@query(
+    "S18_pull_requests",
+    "SELECT o_custkey, CASE WHEN bool_and(o_orderkey % 17 <> 0) THEN string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) END AS numbers FROM orders GROUP BY 1",
+)
+def pull_requests(t):
+    """A listing's JSON lines, taken whole in the order of their numbers or, if one has the wrong shape, not at all."""
+    k = F.col("o_orderkey")
+    good = F.to_json(F.struct(k.alias("number"), F.lit("t").alias("title"), F.array("o_orderstatus").alias("labels")))
+    wrong = F.when(k % 2 == 0, F.lit('{"number": "x"}')).otherwise(F.lit('{"title": 3'))
+    lines = t("orders").select("o_custkey", F.when(k % 17 == 0, wrong).otherwise(good).alias("value"))
+    valid = F.col("x.number").isNotNull() & F.col("x.title").isNotNull() & F.col("x.labels").isNotNull()
+    listed = A.whole_listing(lines, "o_custkey", "value", "number long, title string, labels array<string>", "number", valid)
+    return listed.select("o_custkey", F.array_join(F.col("items.number").cast("array<string>"), ",").alias("numbers"))
+
+
+@query(
+    "J17_push_tips",
+    "SELECT sha1(CAST(o_custkey AS VARCHAR)) AS tip, min(o_orderkey) AS at FROM orders WHERE o_orderkey % 5 NOT IN (1, 2, 3) GROUP BY 1",
+)
+def push_tips(t):
+    """The object third from last in each line of a push, the first line of each; null objects and short lines are none."""
+    k, tip = F.col("o_orderkey"), F.sha1(F.col("o_custkey").cast("string"))
+    lines = F.element_at(
+        F.array(
+            F.concat(F.lit("refs/heads/a "), tip, F.lit(" refs/heads/a "), F.repeat(F.lit("0"), 40)),
+            F.concat(F.lit("refs/heads/a "), F.repeat(F.lit("0"), 40), F.lit(" refs/heads/a x")),
+            F.lit("two words"),
+            F.lit("(delete) nothex refs/heads/b y"),
+            F.concat(F.lit("  odd name with spaces "), tip, F.lit("  refs/heads/c  z ")),
+        ),
+        (k % 5 + 1).cast("int"),
+    )
+    return A.pushed_tips(t("orders").select(k, lines.alias("line")), "o_orderkey", "line")
