@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dates, gates, increments, queue, rules, scan, shapes, sources, text  # noqa: F401
+from . import dates, gates, increments, orders, queue, rules, scan, shapes, sources, text  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 FLAGSHIP = scan.flagship
