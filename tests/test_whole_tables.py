@@ -12,6 +12,6 @@ def test_questions_are_whole_texts(spark, tmp_path):
 
 
 def test_orphans_follow_all_links(spark, tmp_path):
-    rows = [(2, 1, "error", '{"k": 3}'), (3, 10, "click", '{"k": 1}'), (4, 71, "view", "{}"), (5, 80, "view", None)]
+    rows = [(2, 1, "error", '{"k": 3}'), (3, 4, "click", '{"k": 2}'), (4, 8, "view", "{}"), (5, 80, "view", None), (6, 80, "view", '{"k": 1}')]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.user_id for r in registry.QUERIES["R21_orphans"](spark, str(tmp_path)).collect()} == {80}

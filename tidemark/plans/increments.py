@@ -373,13 +373,13 @@ def three_way(t):
     return d.select("doc_id", F.when(F.col("doc_id") % 9 == 0, "missing").when(F.col("now") == F.col("shipped"), "current").when(F.col("now") == F.col("seeded"), "refresh").when(F.col("shipped") == F.col("seeded"), "kept").otherwise("offer").alias("class"))
 
 
-_EDGES = "SELECT DISTINCT user_id AS src, CAST((user_id * 7 + CAST(json_extract(props, '$.k') AS BIGINT)) % 150 AS BIGINT) AS dst FROM events WHERE json_extract(props, '$.k') IS NOT NULL"
+_EDGES = "SELECT DISTINCT user_id AS src, CAST(2 * (user_id + CAST(json_extract(props, '$.k') AS BIGINT) % 2) AS BIGINT) AS dst FROM events WHERE json_extract(props, '$.k') IS NOT NULL"
 
 
 @query("R21_orphans", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM e JOIN r ON e.src = r.node) SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT node FROM r)")
 def orphans(t):
-    """Nodes that no path of links from the root reaches."""
+    """Nodes that no path of links from the root reaches: each event links its user to the double of it or of the next."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
-    edges = stage(t("events").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + k) % 150).alias("dst")).distinct(), "links")
+    edges = stage(t("events").select(F.col("user_id").alias("src"), (2 * (F.col("user_id") + k % 2)).alias("dst")).distinct(), "links")
     root = t.spark.range(1, 2, numPartitions=1).select(F.col("id").alias("node"))
     return t("events").select("user_id").distinct().join(I.reached(edges, root, stage), F.col("user_id") == F.col("node"), "left_anti")
