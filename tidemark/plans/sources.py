@@ -237,7 +237,7 @@ def checks(t):
     """Named checks, each on its own: one that raises is told as an error and does not stop the others."""
     told = {
         "prices": lambda: t("orders").agg(F.bool_and(F.col("o_totalprice") >= 0).alias("ok")),
-        "crashes": lambda: t("orders").agg(F.bool_and(F.col("no_such_column")).alias("ok")),
+        "crashes": lambda: t("orders").agg({}["no such check"]),
         "empty": lambda: t("nation").agg((F.count("*") > 0).alias("ok")),
     }
     out = None
