@@ -85,7 +85,9 @@ def train(texts: list[str], langs: list[str]) -> dict:
     names = sorted(set(langs))
     if len(names) < 2:
         return {"names": names}
-    x, code = np.stack([features(t) for t in texts]), codewords(len(names))
+    x, code = np.empty((len(texts), len(ORDERS) * BUCKETS), dtype=np.float32), codewords(len(names))
+    for row, text in zip(x, texts, strict=True):
+        row[:] = features(text)
     y = code[[names.index(v) for v in langs]]
     share = np.array([1.0 / langs.count(v) for v in langs])
     share = (share / share.sum())[:, None]
@@ -101,7 +103,9 @@ def train(texts: list[str], langs: list[str]) -> dict:
             pull = part * y[rows] / (1 + np.exp(np.clip(y[rows] * (own @ a + b), -30, 30)))
             a += (RATE * (pull - DECAY * a)).astype(np.float32)
             b += (RATE * 0.1 * pull.sum(axis=0)).astype(np.float32)
-        return x[rows].T @ a, b
+        whole = np.zeros((len(x), a.shape[1]), dtype=np.float32)
+        whole[rows] = a
+        return x.T @ whole, b
 
     left = np.arange(len(texts)) % 5 == 0
     w, b = fit(~left)

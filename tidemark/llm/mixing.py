@@ -89,10 +89,11 @@ def mix(docs: DataFrame, keep: list[str], weights=WEIGHTS, shard_digits: int = S
     goal = sainte_lague(goal.withColumn("all", F.lit(0)), ["all"], "src", "target", "seats")
     goal = stage(goal.withColumnRenamed("quota", "source_quota").drop("all", "seats"), "targets")
     per = shards.join(maybe_broadcast(goal, F.octet_length("src") + 96), "src")
-    quotas = sainte_lague(per, ["src"], "shard", "shard_size", "source_quota")
+    quotas = stage(sainte_lague(per, ["src"], "shard", "shard_size", "source_quota"), "shard_quotas")
     past = F.col("quota") * F.col("block") > MOST * F.col("shard_size")
     coarse = quotas.groupBy("src").agg(F.bool_or(past | (F.col("source_quota") == 0)).alias("coarse"))
-    fine = stage(quotas.drop("quota").join(coarse, "src").where("coarse").drop("coarse"), "coarse")
+    coarse = maybe_broadcast(stage(coarse, "coarse"), F.octet_length("src") + 8)
+    fine = stage(quotas.drop("quota").join(coarse, "src").where("coarse").drop("coarse"), "fine")
     fine = fine.withColumn("block", F.lit(1).cast("long")).withColumn("source_quota", F.round("target").cast("long"))
     fine = sainte_lague(fine, ["src"], "shard", "shard_size", "source_quota")
     quotas = quotas.join(coarse, "src").where("not coarse").drop("coarse").unionByName(fine)
