@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from tidemark.llm import pii
 
 from .test_operators import spans_by_hand
@@ -76,7 +78,10 @@ def by_hand(texts):
     return out
 
 
-def test_bootstrap_is_that_of_plain_python(spark):
+@pytest.mark.parametrize("way", ["listed", "broadcast", "shuffled"])
+def test_bootstrap_is_that_of_plain_python(spark, monkeypatch, way):
+    monkeypatch.setattr(pii, "LISTED", pii.LISTED if way == "listed" else -1)
+    monkeypatch.setattr(pii, "small", lambda *a: way != "shuffled")
     r = random.Random(4)
     digit = lambda n: next(d for d in "0123456789" if [m[1] for m in spans_by_hand(n + d)] == [2])
     words = [f"w{chr(97 + i)}" for i in range(12)] + ["call,", "Call", "x" * 100, "id7", "a@b", "--", "é1", "(see"]
