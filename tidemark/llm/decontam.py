@@ -124,7 +124,8 @@ def _met_by_fingerprint(base: DataFrame, held: list[str], windows: DataFrame) ->
     """The same where the windows do not fit: fingerprints alone are shuffled, once for equal texts, and those that
     met a window come back to the words of their text as one list."""
     keys = maybe_broadcast(stage(windows.select("len", "hash").distinct(), "window_keys"), 20)
-    slim = base.select("tkey", F.inline("kept_all"))
+    # inline() would let the optimizer ask for the list's size below every projection, and make it anew inside lambdas.
+    slim = base.select("tkey", F.inline_outer("kept_all")).where("kept is not null")
     slim = slim.select("tkey", "len", _hash(F.col("kept")).alias("hash"), _place(F.col("kept")).alias("place"))
     slim = slim.join(keys, ["len", "hash"]).distinct()
     met = slim.join(windows, ["len", "hash"]).select("tkey", (F.col("place") - F.col("off")).alias("s"), "len", "window")
