@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, langid, mixing, neardup, pii, quality, sharding, toxicity
+from . import chat, decontam, html_text, langid, mixing, neardup, pii, quality, sharding, stream_dedup, toxicity
 
 QUERIES = {
     "op1_risk_controlled_quality": quality.op1_risk_controlled_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_budgeted_windows": chat.op8_budgeted_windows,
     "op9_bootstrapped_pii": pii.op9_bootstrapped_pii,
     "op10_winnowing_decontamination": decontam.op10_winnowing_decontamination,
+    "op12_streaming_exact_dedup": stream_dedup.op12_streaming_exact_dedup,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_hash_tree_shards": sharding.ORACLE,
     "op8_budgeted_windows": chat.ORACLE,
     "op10_winnowing_decontamination": decontam.ORACLE,
+    "op12_streaming_exact_dedup": stream_dedup.ORACLE,
 }
