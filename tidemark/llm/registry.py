@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, langid, mixing, neardup, pii, quality, sharding, stream_dedup, toxicity
+from . import chat, decontam, html_text, langid, maxscore, mixing, neardup, pii, quality, sharding, stream_dedup, toxicity
 
 QUERIES = {
     "op1_risk_controlled_quality": quality.op1_risk_controlled_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bootstrapped_pii": pii.op9_bootstrapped_pii,
     "op10_winnowing_decontamination": decontam.op10_winnowing_decontamination,
     "op12_streaming_exact_dedup": stream_dedup.op12_streaming_exact_dedup,
+    "op13_maxscore_search": maxscore.op13_maxscore_search,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_budgeted_windows": chat.ORACLE,
     "op10_winnowing_decontamination": decontam.ORACLE,
     "op12_streaming_exact_dedup": stream_dedup.ORACLE,
+    "op13_maxscore_search": maxscore.ORACLE,
 }
