@@ -35,6 +35,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    # Small stores would each reserve 4 MB for a manifest.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -53,9 +55,10 @@ def _keyed(docs: DataFrame, digits: int, *more: Column) -> DataFrame:
 
 
 def _session(spark: SparkSession) -> SparkSession:
-    """A session of its own, so that no other query's settings change."""
-    own = spark.newSession()
-    for name, value in STATE.items():
+    """A session of its own, so that no other query's settings change. A new state has as many partitions as a shuffle
+    of the caller's session."""
+    own, partitions = spark.newSession(), "spark.sql.shuffle.partitions"
+    for name, value in (STATE | {partitions: spark.conf.get(partitions)}).items():
         own.conf.set(name, value)
     return own
 
