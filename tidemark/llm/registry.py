@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, langid, maxscore, mixing, neardup, pii, quality, sharding, stream_dedup, toxicity
+from . import chat, decontam, html_text, langid, maxscore, mixing, neardup, pii, quality, sharding, stream_dedup, toxicity, va_file
 
 QUERIES = {
     "op1_risk_controlled_quality": quality.op1_risk_controlled_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_budgeted_windows": chat.op8_budgeted_windows,
     "op9_bootstrapped_pii": pii.op9_bootstrapped_pii,
     "op10_winnowing_decontamination": decontam.op10_winnowing_decontamination,
+    "op11_va_file_hard_negatives": va_file.op11_va_file_hard_negatives,
     "op12_streaming_exact_dedup": stream_dedup.op12_streaming_exact_dedup,
     "op13_maxscore_search": maxscore.op13_maxscore_search,
 }
@@ -25,6 +26,7 @@ ORACLES = {
     "op4_hash_tree_shards": sharding.ORACLE,
     "op8_budgeted_windows": chat.ORACLE,
     "op10_winnowing_decontamination": decontam.ORACLE,
+    "op11_va_file_hard_negatives": va_file.ORACLE,
     "op12_streaming_exact_dedup": stream_dedup.ORACLE,
     "op13_maxscore_search": maxscore.ORACLE,
 }
