@@ -105,3 +105,39 @@ def test_reminders_and_sessions_stream(spark, tmp_path):
     assert sorted((r.session, r.path) for r in run(jobs.remind_once(stream, "session", "path", "at"), "reminded", "append")) == [("s", "p"), ("s", "q"), ("t", "p")]
     got = {(r.session, str(r.day)): (str(r.first)[11:16], str(r.last)[11:16]) for r in run(jobs.day_sessions(stream, "session", "at", "Europe/Paris"), "days", "update")}
     assert got == {("s", "2026-01-01"): ("10:00", "12:00"), ("t", "2026-01-02"): ("23:30", "23:30")}
+
+
+def test_the_expiring_queue(spark, tmp_path):
+    """Escalation, duplicates, expiry by event time, and a state that holds only what can still matter."""
+    schema = "normalized string, text string, at timestamp, action string"
+    own = jobs.keyed_session(spark)
+    (tmp_path / "in").mkdir()
+
+    def run(rows):
+        own.createDataFrame(rows, "normalized string, text string, at string, action string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = own.readStream.schema(schema).json(f"{tmp_path}/in")
+        out = jobs.expiring_queue(stream, max_age_days=30, dedup_days=10, escalate_after=2)
+        query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert query.exception() is None
+        got = own.read.parquet(f"{tmp_path}/out").collect()
+        keys = {r["key"]["normalized"] for r in own.read.format("statestore").option("stateVarName", "question").load(f"{tmp_path}/at").collect()}
+        return [(r.normalized, r.said, r.asked, r.status, r.escalated) for r in got], keys
+
+    first = [
+        ("q", " Q? ", "2026-01-01 08:00:00", "add"), ("q", "Q", "2026-01-01 09:00:00", "add"), ("q", None, "2026-01-02 08:00:00", "asked"), ("q", None, "2026-01-02 09:00:00", "asked"),
+        ("q", None, "2026-01-03 08:00:00", "asked"), ("r", "R?", "2026-01-01 08:00:00", "add"), ("r", None, "2026-01-04 08:00:00", "answer"), ("r", "R!", "2026-01-04 09:00:00", "add"),
+        ("s", None, "2026-01-04 08:00:00", "answer"), ("z", "Z?", "2026-01-03 08:00:00", "add"), ("z", None, "2026-01-04 08:00:00", "archive"),
+    ]
+    want = [
+        ("q", "added", 0, "open", False), ("q", "already", 1, "open", False), ("q", "duplicate_open", 0, "open", False), ("q", "marked", 1, "open", False), ("q", "marked", 2, "open", True),
+        ("r", "added", 0, "open", False), ("r", "answered", 0, "answered", False), ("r", "duplicate_answered", 0, "answered", False), ("s", "unknown", 0, None, False), ("z", "added", 0, "open", False), ("z", "archived", 0, "archived", False),
+    ]
+    got, keys = run(first)
+    assert sorted(got, key=str) == sorted(want, key=str) and keys == {"q", "r"}
+    # Time passes: r is forgotten after ten days and may be added anew, q is archived after thirty.
+    got, keys = run([("t", "T?", "2026-01-20 08:00:00", "add")])
+    assert keys == {"q", "t"}
+    got, keys = run([("t", None, "2026-02-10 08:00:00", "asked"), ("r", "R?", "2026-02-10 08:00:00", "add")])
+    assert ("q", "expired", 2, "archived", False) in got and keys == {"r", "t"}
+    assert ("r", "added", 0, "open", False) in got and sum(x[:2] == ("r", "added") for x in got) == 2

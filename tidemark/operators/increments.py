@@ -87,16 +87,6 @@ def open_incidents(log: DataFrame, key: str) -> DataFrame:
     return log.withColumn("closed_at", last).where((F.col("exit_code") != 0) & (F.col("closed_at").isNull() | (F.col("seq") > F.col("closed_at")))).drop("closed_at")
 
 
-def reached(edges: DataFrame, roots: DataFrame, stage) -> DataFrame:
-    """Nodes that the roots reach over edges (src, dst): a frontier of new nodes a round, each round written and reread."""
-    seen = frontier = stage(roots.select("node").distinct(), "roots")
-    while not frontier.isEmpty():
-        step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = stage(step.join(seen, "node", "left_anti"), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def change_of_state(history: DataFrame, key: str, order: str, state: str) -> DataFrame:
     """Rows whose state differs from the key's row before."""
     before = F.lag(state).over(Window.partitionBy(key).orderBy(order))

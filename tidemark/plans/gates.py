@@ -458,20 +458,6 @@ def problem_attachment(t):
     return problems.join(shown, "l_orderkey", "left").fillna({"place": "loose"})
 
 
-@query(
-    "C01_change_base",
-    "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'all' WHEN c_custkey % 5 = 1 THEN 'worktree' WHEN c_custkey % 5 = 2 AND c_custkey % 3 = 0 THEN 'none' WHEN c_custkey % 5 = 2 THEN 'merge-base' "
-    "WHEN c_custkey % 3 <> 0 THEN 'merge-base' ELSE 'worktree' END AS base, CASE WHEN c_custkey % 5 = 2 AND c_custkey % 3 = 0 THEN 'no_merge_base' WHEN c_custkey % 5 > 2 AND c_custkey % 3 = 0 THEN 'fell_back' END AS reason FROM customer",
-)
-def change_base(t):
-    """What a run compares with: all, the work tree, the merge base, or the best of these, with the reason."""
-    k = F.col("c_custkey")
-    asked, merged = _pick(k, ("all", "worktree", "merge-base", "auto", "auto")), k % 3 != 0
-    base = F.when(asked.isin("all", "worktree"), asked).when(merged, "merge-base").when(asked == "auto", "worktree").otherwise("none")
-    reason = F.when(merged | asked.isin("all", "worktree"), None).when(asked == "auto", "fell_back").otherwise("no_merge_base")
-    return t("customer").select("c_custkey", base.alias("base"), reason.alias("reason"))
-
-
 @query("F10_severity", f"SELECT s_suppkey, severity FROM supplier JOIN {_cases('severity', [('error',), ('off',), ('warn',), ('error',), ('warn',)])} ON s_suppkey % 5 = r")
 def severity(t):
     """A rule's severity: the setting as a word or in an object; what is invalid falls to the rule's own, then to warn."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import text as T
 from tidemark.operators import increments as I
+from tidemark.operators.graph import reached
 from tidemark.operators.staging import numbered, stage
 
 from .tables import query
@@ -382,4 +383,4 @@ def orphans(t):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
     edges = stage(t("events").select(F.col("user_id").alias("src"), (2 * (F.col("user_id") + k % 2)).alias("dst")).distinct(), "links")
     root = t.spark.range(1, 2, numPartitions=1).select(F.col("id").alias("node"))
-    return t("events").select("user_id").distinct().join(I.reached(edges, root, stage), F.col("user_id") == F.col("node"), "left_anti")
+    return t("events").select("user_id").distinct().join(reached(edges, root, stage), F.col("user_id") == F.col("node"), "left_anti")

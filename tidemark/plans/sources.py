@@ -3,14 +3,17 @@ to the folder that all executors share, then read back by the readers."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import rules as R
+from tidemark.operators.checks import run_checks
 from tidemark.operators.staging import shared_folder
-from tidemark.sources import readers
+from tidemark.sources import formats, readers
+from tidemark.streaming import jobs
 
 from .gates import DOCUMENTS, SCHEMA
 from .tables import query
@@ -232,19 +235,91 @@ def facts(t):
     return out.unionByName(text("open_orders", t("orders"), F.count_if(F.col("o_orderstatus") == "O")))
 
 
-@query("E07_checks", "SELECT 'prices' AS name, CASE WHEN bool_and(o_totalprice >= 0) THEN 'ok' ELSE 'fail' END AS result FROM orders UNION ALL SELECT 'crashes', 'error' UNION ALL SELECT 'empty', CASE WHEN count(*) = 0 THEN 'fail' ELSE 'ok' END FROM nation")
+@query("E07_checks", """SELECT 'prices' AS id, 'ok' AS status, NULL AS code, CAST(count(*) AS VARCHAR) AS detail FROM orders WHERE o_totalprice >= 0
+UNION ALL SELECT 'segments', CASE WHEN count(*) > 30 THEN 'warn' ELSE 'ok' END, NULL, c_mktsegment FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'plan', 'fail', 'crashed', NULL UNION ALL SELECT 'run', 'fail', 'crashed', NULL UNION ALL SELECT 'none', 'fail', 'empty', 'the check returned no result'
+UNION ALL SELECT 'nations', CASE WHEN count(*) = 25 THEN 'ok' ELSE 'fail' END, NULL, CAST(count(*) AS VARCHAR) FROM nation""")
 def checks(t):
-    """Named checks, each on its own: one that raises is told as an error and does not stop the others."""
+    """Named checks, each a job: one that fails when planned or while it runs, or gives nothing, stops no other."""
+    count = F.count("*").cast("string").alias("detail")
     told = {
-        "prices": lambda: t("orders").agg(F.bool_and(F.col("o_totalprice") >= 0).alias("ok")),
-        "crashes": lambda: t("orders").agg({}["no such check"]),
-        "empty": lambda: t("nation").agg((F.count("*") > 0).alias("ok")),
+        "prices": lambda s: t("orders").where("o_totalprice >= 0").agg(count).select(F.lit("ok").alias("status"), "detail"),
+        "segments": lambda s: t("customer").groupBy(F.col("c_mktsegment").alias("detail")).agg(F.when(F.count("*") > 30, "warn").otherwise("ok").alias("status")),
+        "plan": lambda s: t("orders").select("no_such_column"),
+        "run": lambda s: t("orders").select(F.lit("ok").alias("status"), F.raise_error(F.col("o_orderpriority")).cast("string").alias("detail")),
+        "none": lambda s: t("nation").where("n_nationkey < 0").select(F.lit("ok").alias("status"), F.lit("").alias("detail")),
+        "nations": lambda s: t("nation").agg(count).select(F.when(F.col("detail") == "25", "ok").otherwise("fail").alias("status"), "detail"),
     }
-    out = None
-    for name, check in told.items():
-        try:
-            one = check().select(F.lit(name).alias("name"), F.when(F.col("ok"), "ok").otherwise("fail").alias("result"))
-        except Exception:  # noqa: BLE001
-            one = t.spark.range(1).select(F.lit(name).alias("name"), F.lit("error").alias("result"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = run_checks(t.spark, told)
+    return out.select("id", "status", "code", F.when(~F.coalesce(F.col("code") == "crashed", F.lit(False)), F.col("detail")).alias("detail"))
+
+
+@query("S11_source_formats", """SELECT 'lines' AS source, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders WHERE length(o_orderpriority) < 9
+UNION ALL SELECT 'windows', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier, nation WHERE n_regionkey = s_suppkey % 5""")
+def source_formats(t):
+    """A line format read by byte ranges, long lines passed over, and a source of windows, both by name."""
+    formats.register(t.spark)
+    path = _folder(t, "lines")
+    # Lines of more than 40 characters are over the limit.
+    line = F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.when(F.length("o_orderpriority") >= 9, F.repeat(F.col("o_orderpriority"), F.lit(9))).otherwise(F.col("o_orderpriority")).alias("p")))
+    t("orders").select(line.alias("value")).write.text(path)
+    read = t.spark.read.format("json_lines").option("limit", 60).option("rangeBytes", 10_000).load(path)
+    lines = read.agg(F.count("*").alias("n"), F.sum(F.get_json_object("value", "$.k").cast("long")).alias("total"))
+
+    names = {str(r.n_regionkey): r.names for r in t("nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names")).collect()}  # a dimension: its five regions
+    formats.register(t.spark, CALENDARS)
+    plan = t.spark.read.format("tidemark_calendars").option("from", "2024-01-01").option("to", "2024-01-08").option("config", json.dumps(names)).load()
+    asked = t("supplier").join(plan, (F.col("s_suppkey") % 5).cast("string") == F.col("account"))
+    windows = asked.agg(F.count("*").alias("n"), F.sum("s_suppkey").cast("long").alias("total"))
+    return lines.select(F.lit("lines").alias("source"), "n", "total").unionByName(windows.select(F.lit("windows").alias("source"), "n", "total"))
+
+
+def _plan(window: tuple[str, str], config: dict) -> list[list[tuple]]:
+    """A part for each account: its calendars in the window."""
+    return [[(account, name, *window) for name in names] for account, names in sorted(config.items())]
+
+
+CALENDARS = formats.Source(
+    id="tidemark_calendars", kind="connector", required=False, collect=_plan, read_evidence=lambda record, plan: {}, schema="account string, calendar string, starts string, ends string",
+    server_spec=lambda config: {}, tool_rules=lambda config: {"allow": [], "deny": []},
+)
+
+
+@query("E02_source_stream", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY event_type")
+def source_stream(t):
+    """The line format as a stream, stopped and started again while files are added: each line once."""
+    formats.register(t.spark)
+    path, out, at = (_folder(t, x) for x in ("grown", "taken", "offsets"))
+    for half in (0, 1):
+        rows = t("events").where(F.crc32(F.col("event_id").cast("string").cast("binary")) % 2 == half)
+        rows.select(F.to_json(F.struct("event_id", "event_type")).alias("value")).write.mode("append").text(path)
+        stream = t.spark.readStream.format("json_lines").load(path)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    read = t.spark.read.parquet(out).select(F.from_json("value", "event_id long, event_type string").alias("e")).select("e.*")
+    return read.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+@query("T17_expiring_queue", """WITH f AS (SELECT user_id, min(ts) AS first FROM events GROUP BY user_id),
+a AS (SELECT e.user_id, count(DISTINCT CAST(ts AS DATE)) AS asked FROM events e JOIN f USING (user_id) WHERE ts > first AND CAST(ts AS DATE) - CAST(first AS DATE) <= 7 GROUP BY e.user_id)
+SELECT f.user_id, 'archived' AS status, coalesce(asked, 0) AS asked, CAST(CAST(first AS DATE) + 8 AS VARCHAR) AS closed FROM f LEFT JOIN a USING (user_id)""")
+def expiring_queue(t):
+    """A question of each user, asked at each later event until its age archives it by a timer of event time."""
+    path = _folder(t, "commands")
+    own = jobs.keyed_session(t.spark)
+    first = t.events().groupBy("user_id").agg(F.min("ts").alias("first"))
+    rows = t.events().join(first, "user_id")
+    key = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    age = F.datediff("ts", "first")
+    commands = rows.where((F.col("ts") == F.col("first")) | (age <= 7)).groupBy("user_id", "ts").agg(F.first("first").alias("first"))
+    commands = commands.select(key.alias("normalized"), F.lit("Still here?").alias("text"), F.col("ts").alias("at"), F.when(F.col("ts") == F.col("first"), "add").otherwise("asked").alias("action"))
+    commands.write.parquet(f"{path}/in")
+    # Later on a command of another key moves the time on for all.
+    for folder, late in (("in", 0), ("in", 60)):
+        if late:
+            last = commands.agg((F.max("at") + F.expr(f"INTERVAL {late} DAYS")).alias("at"))
+            last.select(F.lit("clock").alias("normalized"), F.lit("?").alias("text"), "at", F.lit("answer").alias("action")).write.mode("append").parquet(f"{path}/{folder}")
+        stream = own.readStream.schema(commands.schema).parquet(f"{path}/{folder}")
+        out = jobs.expiring_queue(stream, max_age_days=7, dedup_days=1, escalate_after=3)
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/at").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    expired = t.spark.read.parquet(f"{path}/out").where("said = 'expired'")
+    return expired.select(F.substring_index("normalized", " ", -1).cast("long").alias("user_id"), "status", F.col("asked").cast("long").alias("asked"), F.col("closed").cast("string").alias("closed"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.operators.gates import schema_problems
+from tidemark.sources.state import read_state, write_state  # noqa: F401  written and read here until now
 
 MAX_BYTES = 100 << 20
 MAX_LINE = 32 << 20
@@ -173,21 +174,6 @@ def register_source(source: dict) -> None:
     SOURCES[source["id"]] = source
 
 
-def write_state(df: DataFrame, path: str, version: int) -> str:
-    """A state table under its version number; readers take the highest complete one, so a failed write changes nothing."""
-    out = f"{path}/version={version}"
-    df.write.mode("overwrite").parquet(out)
-    return out
-
-
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The state of the highest version that has been written whole."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
-    version = F.regexp_extract("path", r"/version=(\d+)/[^/]*\z", 1).try_cast("long")
-    highest = files.load(path).agg(F.max(version)).first()[0]
-    return spark.read.parquet(f"{path}/version={highest}")
-
-
 def read_config(spark: SparkSession, path: str, schema: dict) -> DataFrame:
     """file, config (a variant, null if it is not JSON) and problems of configuration files under a schema."""
     files = spark.read.option("wholetext", True).text(path)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import UTC, date, datetime, timedelta
+
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidemark.operators import increments as I
+from tidemark.sources.state import read_state, versions, write_state
 
 
 def remind_once(stream: DataFrame, session: str, path: str, at: str, late: str = "1 day") -> DataFrame:
@@ -28,34 +31,29 @@ def commit_rounds(stream: DataFrame, marks_dir: str, today: str, checkpoint: str
     A batch writes marks under its own number from those of the last batch before it that was written whole, so a batch
     that is run again after a failure writes the same rows to the same place.
     """
-    empty = "source_id string, mark date"
+    marked = "source_id string, mark date"
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [n for n in written_batches(spark, marks_dir) if n < number]
-        marks = spark.createDataFrame([], empty)
-        if before:
-            marks = spark.read.schema(empty).parquet(f"{marks_dir}/batch={max(before)}")
+        marks = read_state(spark, marks_dir, marked, below=number)
+        marks = spark.createDataFrame([], marked) if marks is None else marks
         told = F.struct("day", "exit_code", "evidence_ok", "state", "listed", "read")
         last = batch.groupBy("source_id").agg(F.max_by(told, "day").alias("x")).select("source_id", "x.*")
         moved = I.commit(marks, last, F.lit(today).cast("date")).select("source_id", "mark")
-        moved.write.mode("overwrite").parquet(f"{marks_dir}/batch={number}")
+        write_state(moved, marks_dir, number, name="batch")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def written_batches(spark: SparkSession, marks_dir: str) -> list[int]:
-    """The numbers of the batches that have marks, as Spark's reader lists them: a row a batch."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
-    try:
-        found = files.load(marks_dir).select(F.regexp_extract("path", r"/batch=(\d+)/[^/]*\z", 1).alias("n"))
-        return [int(r.n) for r in found.where("n <> ''").distinct().collect()]
-    except AnalysisException:  # there is no folder yet
-        return []
+    """The numbers of the last batches whose marks are whole, a few at most."""
+    return [version for version, _, whole in versions(spark, marks_dir) if whole]
 
 
 def question_queue(stream: DataFrame) -> DataFrame:
-    """One state a normalized question over commands (normalized, text, day, action): added once, asked once a day, answered."""
+    """One state a normalized question over commands (normalized, text, day, action): added once, asked once a day, answered.
+
+    Nothing is let go; `expiring_queue` is the form for a stream without an end."""
 
     def step(key, frames, state: GroupState):
         text, asked, status, last = state.get if state.exists else (None, 0, None, "")
@@ -75,3 +73,97 @@ def question_queue(stream: DataFrame) -> DataFrame:
     return stream.groupBy("normalized").applyInPandasWithState(
         step, f"normalized string, {told}", kept, "update", GroupStateTimeout.NoTimeout
     )
+
+
+def keyed_session(spark: SparkSession) -> SparkSession:
+    """A session whose streams keep their state on disk (RocksDB), as `expiring_queue` needs."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
+
+
+class QuestionProcessor(StatefulProcessor):
+    """One normalized question: added once, asked once a day, answered, archived, and let go.
+
+    Three variables of state: the open question, the days it was asked on, and how it was closed. A timer at the
+    end of an open question's age archives it; one at the end of the days in which an answered question counts as a
+    duplicate forgets it. Archived ones are forgotten at once, so the state holds only what can still matter.
+    """
+
+    def __init__(self, max_age_days: int, dedup_days: int, escalate_after: int):
+        self.max_age_days, self.dedup_days, self.escalate_after = max_age_days, dedup_days, escalate_after
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.question = handle.getValueState("question", "text string, created date")
+        self.asked = handle.getMapState("asked", "day date", "times int")
+        self.closed = handle.getValueState("closed", "status string, day date")
+
+    def _timer(self, day: date) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(datetime(day.year, day.month, day.day, tzinfo=UTC).timestamp() * 1000))
+
+    def _forget(self) -> None:
+        self.question.clear()
+        self.asked.clear()
+        self.closed.clear()
+
+    def _told(self, key, status: str, said: str, closed: date | None = None) -> Row:
+        text, created = self.question.get()
+        times = sum(1 for _ in self.asked.keys()) if self.asked.exists() else 0
+        escalated = status == "open" and times >= self.escalate_after
+        return Row(normalized=key[0], text=text, created=created, asked=times, status=status, escalated=escalated, said=said, closed=closed)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for r in sorted(rows, key=lambda x: x["at"]):
+            day = r["at"].date()
+            held = self.question.exists()
+            closed = self.closed.get() if self.closed.exists() else None
+            is_open = held and closed is None
+            if r["action"] == "add":
+                if is_open:
+                    yield self._told(key, "open", "duplicate_open")
+                elif closed and (day - closed[1]).days <= self.dedup_days:
+                    yield self._told(key, "answered", "duplicate_answered", closed[1])
+                else:
+                    self._forget()
+                    self.question.update((r["text"].strip(), day))
+                    self._timer(day + timedelta(days=self.max_age_days + 1))
+                    yield self._told(key, "open", "added")
+            elif not is_open:
+                if held:
+                    yield self._told(key, closed[0], "not_open", closed[1])
+                else:
+                    yield Row(normalized=key[0], text=None, created=None, asked=0, status=None, escalated=False, said="unknown", closed=None)
+            elif r["action"] == "asked":
+                again = self.asked.exists() and self.asked.containsKey((day,))
+                if not again:
+                    self.asked.updateValue((day,), (1,))
+                yield self._told(key, "open", "already" if again else "marked")
+            elif r["action"] == "answer":
+                self.closed.update(("answered", day))
+                self._timer(day + timedelta(days=self.dedup_days + 1))
+                yield self._told(key, "answered", "answered", day)
+            elif r["action"] == "archive":
+                yield self._told(key, "archived", "archived", day)
+                self._forget()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.question.exists() and not self.closed.exists():
+            day = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, tz=UTC).date()
+            yield self._told(key, "archived", "expired", day)
+        self._forget()
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
+
+
+def expiring_queue(stream: DataFrame, max_age_days: int, dedup_days: int, escalate_after: int, late: str = "1 day") -> DataFrame:
+    """A row for each command and each expiry of the queue, from commands (normalized, text, at, action)."""
+    told = "normalized string, text string, created date, asked int, status string, escalated boolean, said string, closed date"
+    keyed = stream.withWatermark("at", late).groupBy("normalized")
+    return keyed.transformWithState(QuestionProcessor(max_age_days, dedup_days, escalate_after), told, "Append", "EventTime")
