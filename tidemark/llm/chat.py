@@ -1,14 +1,16 @@
 """Chat formatting in budgeted windows.
 
 A turn costs its tokens (a quarter of its UTF-8 bytes, rounded up, and the markers). Prefix sums of the costs choose
-turn-aligned spans: a turn belongs to span floor(cost before it / stride), so a span's turns all start within one
-stride and none is cut. Each span becomes a window: the leading system turn again, then the turns that start within
-`HISTORY` before the span, then the span's own turns. Only own assistant turns are under the loss mask; repeated
-turns are marked as such and masked, so each assistant text is a target once.
+turn-aligned spans. Of a conversation's budget, what its system turn and the history leave is the room for a span's
+own turns; half of it, `STRIDE` at most, is the conversation's stride. A turn of up to a stride belongs to span
+floor(cost before it / stride), so that such turns take no more than the room together; a longer one is a span of its
+own. Each span becomes a window: the leading system turn again, then the turns of the span before that start within
+`HISTORY` of this one (within what is left, where the span is a long turn), then the span's own turns. Only own
+assistant turns are under the loss mask; repeated turns are marked as such and masked, so each assistant text is a
+target once.
 
-A window holds a stride's tokens and its last turn beyond it, the history and the system turn. Turns are never cut,
-so one with a very long turn is over any budget: windows of more than `BUDGET` tokens are marked as such, for the
-trainer to leave out or to give room.
+Turns are never cut, so the budget bounds every window but those of one turn that, with the system turn, is more than
+`BUDGET` by itself: those are marked as over it, for the trainer to leave out or to give room.
 
 Every marker starts with ``<|``. In roles and texts a backslash goes in after the first character of each control
 string (the markers and the usual ones of other templates), after whatever backslashes stand there already, and
@@ -25,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRIDE = 512
-HISTORY = 128  # under the stride, so that a turn is history of one span at most
-BUDGET = 1024  # tokens of a window, beyond which it is told to be over
+HISTORY = 128
+BUDGET = 1024  # tokens of a window
 START, NEW, LOSS, OLD, BODY, END = "<|window|>", "<|new|>", "<|loss|>", "<|old|>", "<|body|>", "<|end|>"
 _HIDE = r"(<|\[)(\\*)(\||/?s>|/?INST\])"
 _SHOW = r"(<|\[)\\(\\*)(\||/?s>|/?INST\])"
@@ -57,15 +59,22 @@ def format_windows(
     by_ord = Window.partitionBy("conv_id").orderBy("ord")
     so_far = by_ord.rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("before", F.sum("cost").over(so_far) - F.col("cost"))
-    t = t.withColumn("span", F.floor(F.col("before") / stride))
-    other = (F.lag("span").over(by_ord) != F.col("span")) | F.lag("lead").over(by_ord)
-    t = t.withColumn("opens", ~F.col("lead") & F.coalesce(other, F.lit(True)))
+    whole = Window.partitionBy("conv_id")
+    t = t.withColumn("kept", F.coalesce(F.max(F.when(F.col("lead"), F.col("tokens"))).over(whole), F.lit(0)))
+    # Half the room of the conversation's windows, a token at least.
+    step = F.least(F.lit(stride), F.floor(F.greatest(budget - F.col("kept") - history, F.lit(2)) / 2))
+    t = t.withColumn("at_step", F.floor(F.col("before") / step)).withColumn("long", ~F.col("lead") & (F.col("cost") > step))
+    other = (F.lag("at_step").over(by_ord) != F.col("at_step")) | F.lag("lead").over(by_ord) | F.lag("long").over(by_ord)
+    t = t.withColumn("opens", ~F.col("lead") & (F.col("long") | F.coalesce(other, F.lit(True))))
+    t = t.withColumn("span", F.greatest(F.lit(1), F.sum(F.col("opens").cast("long")).over(so_far)))
+    left = F.greatest(F.lit(0), F.least(F.lit(history), budget - F.col("kept") - F.col("cost")))
+    t = t.withColumn("reach", F.when(F.col("long"), left).otherwise(F.lit(history)))
     said = F.concat(escape(F.col("role")), F.lit(BODY), escape(F.col("text")), F.lit(END))
     t = t.withColumn("system", F.first(F.when(F.col("lead"), F.struct(said.alias("piece"), "tokens"))).over(so_far))
     backwards = Window.partitionBy("conv_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("next", F.last(F.when(F.col("opens"), F.struct("before", "span")), ignorenulls=True).over(backwards))
+    t = t.withColumn("next", F.last(F.when(F.col("opens"), F.struct("before", "span", "reach")), ignorenulls=True).over(backwards))
     # `next` is the nearest span that opens after the turn.
-    near = F.col("next.before") - F.col("before") <= history
+    near = F.col("next.before") - F.col("before") <= F.col("next.reach")
     again = ~F.col("lead") & (F.col("next.span") != F.col("span")) & near
     body = F.concat(escape(F.col("role")), F.lit(BODY))
     shown = escape(F.col("text"))
@@ -95,7 +104,7 @@ def format_windows(
         F.min(F.when(F.col("own") == 1, F.col("ord"))).alias("first"),
         F.array_sort(F.collect_list(F.struct("own", "ord", "piece", "at", "len", "tokens"))).alias("pieces"),
     )
-    repeats = (F.col("first") > 0) & F.col("system").isNotNull() & (F.col("span") > 0)
+    repeats = (F.col("first") > 0) & F.col("system").isNotNull() & (F.col("span") > 1)
     head = F.concat(F.lit(START), F.when(repeats, F.concat(F.lit(OLD), F.col("system.piece"))).otherwise(""))
     cost = F.aggregate("pieces", F.when(repeats, F.col("system.tokens")).otherwise(F.lit(0).cast("long")), _plus_tokens)
     spans = spans.withColumn("head", head).withColumn("tokens", cost)
@@ -157,11 +166,15 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS ord FROM c),
 l AS (SELECT *, ord = 0 AND role = 'system' AS lead FROM o),
 k AS (SELECT *, CASE WHEN lead THEN 0 ELSE 4 + CAST(ceil((strlen(role) + strlen(text)) / 4.0) AS BIGINT) END AS cost FROM l),
-b AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY conv_id ORDER BY ord) AS BIGINT) - cost AS before FROM k),
-e AS (SELECT *, before // {STRIDE} AS span, regexp_replace(role, '(<|\[)(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') AS erole, regexp_replace(text, '(<|\[)(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') AS etext FROM b),
-s AS (SELECT conv_id, span, min(ord) AS first, min(before) AS start, sum(length(erole) + length(etext) + CASE WHEN role = 'assistant' THEN {len(LOSS)} ELSE {len(NEW)} END + {len(BODY) + len(END)}) + {len(START)} AS own FROM e GROUP BY conv_id, span),
-h AS (SELECT s.conv_id, s.span, sum(length(erole) + length(etext) + {len(OLD) + len(BODY) + len(END)}) AS old FROM s JOIN e ON e.conv_id = s.conv_id AND e.ord < s.first AND s.start - e.before <= {HISTORY} AND NOT e.lead AND s.span > e.span GROUP BY s.conv_id, s.span),
-y AS (SELECT s.conv_id, sum(length(erole) + length(etext) + {len(OLD) + len(BODY) + len(END)}) AS sys FROM s JOIN e ON e.conv_id = s.conv_id AND e.lead AND s.span > 0 GROUP BY s.conv_id),
+b AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY conv_id ORDER BY ord) AS BIGINT) - cost AS before, max(CASE WHEN lead THEN 4 + CAST(ceil((strlen(role) + strlen(text)) / 4.0) AS BIGINT) ELSE 0 END) OVER (PARTITION BY conv_id) AS kept FROM k),
+p AS (SELECT *, least({STRIDE}, greatest({BUDGET} - kept - {HISTORY}, 2) // 2) AS step FROM b),
+r AS (SELECT *, before // step AS at_step, NOT lead AND cost > step AS long FROM p),
+w AS (SELECT *, NOT lead AND (long OR coalesce(lag(at_step) OVER v <> at_step OR lag(lead) OVER v OR lag(long) OVER v, true)) AS opens FROM r WINDOW v AS (PARTITION BY conv_id ORDER BY ord)),
+e AS (SELECT *, greatest(1, sum(CAST(opens AS INT)) OVER (PARTITION BY conv_id ORDER BY ord)) AS span, CASE WHEN long THEN greatest(0, least({HISTORY}, {BUDGET} - kept - cost)) ELSE {HISTORY} END AS reach,
+  regexp_replace(role, '(<|\[)(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') AS erole, regexp_replace(text, '(<|\[)(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') AS etext FROM w),
+s AS (SELECT conv_id, span, min(ord) AS first, arg_min(before, ord) FILTER (NOT lead) AS start, arg_min(reach, ord) FILTER (NOT lead) AS reach, sum(length(erole) + length(etext) + CASE WHEN role = 'assistant' THEN {len(LOSS)} ELSE {len(NEW)} END + {len(BODY) + len(END)}) + {len(START)} AS own FROM e GROUP BY conv_id, span),
+h AS (SELECT s.conv_id, s.span, sum(length(erole) + length(etext) + {len(OLD) + len(BODY) + len(END)}) AS old FROM s JOIN e ON e.conv_id = s.conv_id AND e.span = s.span - 1 AND s.start - e.before <= s.reach AND NOT e.lead GROUP BY s.conv_id, s.span),
+y AS (SELECT s.conv_id, sum(length(erole) + length(etext) + {len(OLD) + len(BODY) + len(END)}) AS sys FROM s JOIN e ON e.conv_id = s.conv_id AND e.lead AND s.span > 1 GROUP BY s.conv_id),
 f AS (SELECT conv_id, CAST(sum(own) + coalesce(sum(old), 0) AS BIGINT) AS n FROM s LEFT JOIN h USING (conv_id, span) GROUP BY conv_id),
 t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY ord) FILTER (WHERE role = 'assistant'), '') AS loss FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n + coalesce(sys, 0) AS BIGINT) AS formatted_chars FROM t JOIN f USING (conv_id) LEFT JOIN y USING (conv_id)

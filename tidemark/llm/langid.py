@@ -7,7 +7,8 @@ that bit did on training rows left out of its fit. The score is the softmax of t
 codewords are closer than `AMBIGUOUS` is flagged.
 
 The model is fitted on a bounded sample: of the `LANGUAGES` most frequent lang values, about `PER_LANGUAGE` rows each,
-of texts up to `SAMPLE_CHARS` characters, chosen by a hash of the row. Predictions read whole texts and nothing else.
+`SAMPLE_ROWS` at most in all, of texts up to `SAMPLE_CHARS` characters, chosen by a hash of the row. So the driver
+holds `SAMPLE_ROWS` rows of features and their products at most, whatever the number of languages. Predictions read whole texts and nothing else.
 
 Nulls and edges: a null text or one without a letter (Unicode category L) is ``und`` with score 0; null lang teaches
 nothing; without any learned language every text is ``und``, with one each text with a letter is of it; equal rows
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import row_key, without
 
 LANGUAGES, PER_LANGUAGE = 200, 250
+SAMPLE_ROWS = 5000
 SAMPLE_CHARS = 20_000
 ORDERS, BUCKETS = (2, 3, 4), 4096
 STEPS, RATE, DECAY = 250, 8.0, 1e-5
@@ -96,7 +98,7 @@ def train(texts: list[str], langs: list[str]) -> dict:
     products = x @ x.T
 
     def fit(rows):
-        own = products[np.ix_(rows, rows)]
+        own = products if rows.all() else products[np.ix_(rows, rows)]
         a, b = np.zeros((rows.sum(), y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
         part = share[rows] / share[rows].sum()
         for _ in range(STEPS):
@@ -135,9 +137,10 @@ def sample(docs: DataFrame, held_out: Column) -> tuple[list[str], list[str]]:
     if not sizes:
         return [], []
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
-    shares = F.create_map(*(x for v, n in sizes.items() for x in (F.lit(v), F.lit(PER_LANGUAGE / n))))
+    each = min(PER_LANGUAGE, SAMPLE_ROWS // len(sizes))
+    shares = F.create_map(*(x for v, n in sizes.items() for x in (F.lit(v), F.lit(each / n))))
     got = rows.where(draw < F.element_at(shares, F.col("lang"))).select("lang", "text").distinct()
-    got = got.orderBy(F.xxhash64("text", "lang")).limit(2 * PER_LANGUAGE * len(sizes)).toPandas()
+    got = got.orderBy(F.xxhash64("text", "lang")).limit(min(2 * each * len(sizes), SAMPLE_ROWS)).toPandas()
     got = got.sort_values(["text", "lang"])
     return got["text"].tolist(), got["lang"].tolist()
 

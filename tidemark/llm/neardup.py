@@ -1,21 +1,26 @@
 """Near-duplicate documents by an LSH forest.
 
 Each text is its set of distinct 5-word shingles; equal sets are one node. A node has a signature of 128 minhash
-values, 8 for each of 16 trees. A tree sorts the nodes by its values; neighbours that share the first `BASE_DEPTH`
-are a region. Depth follows density:
-
-* a region of at most `SPARSE` nodes gives its pairs whose signatures agree often enough (`LEAST_AGREE`, 4.5 standard
-  deviations below the threshold), which are then confirmed on the full sets;
-* a larger one is solved in its own task on the full sets of its nodes, best pairs first, leaving out pairs that are
-  connected already, so that it gives a spanning forest of true links instead of all pairs;
+values, 8 for each of 16 trees. A tree is an order: the nodes sorted by its 8 values. Nodes with a common prefix of
+`BASE_DEPTH` values are a region of the tree; a pair of similarity 0.85 meets in some region but for a chance of 7e-6.
+Within a region the depth follows its density. Rows come in the tree's order, and the common prefix length of each
+with the row before it tells where the region splits:
+
+* a region, or a part of one, of at most `LEAF` nodes is a leaf: its pairs are candidates at the depth it has. A
+  denser one is split by its next value, down to the last, so that the longest common prefixes come first;
+* then the search steps to shorter prefixes: what two parts of a node of the tree may still link is a candidate there,
+  unless it is connected already, up to the region's own prefix. So depth orders the work and saves none of the pairs
+  that the recall bound needs;
+* a region of at most `SPARSE` nodes gives its pairs for confirmation elsewhere; a larger one is solved in its own task
+  on the full sets of its nodes, and gives a spanning forest of true links instead of all pairs;
 * one of more than `HOT` nodes or `RUN_BYTES` of text is dealt into runs within these bounds. Each run is solved in its
   own task, and each node is held against the region's leader, the node whose signature agrees best with the values
   most common there. Then the nodes outside the region's largest component meet all its nodes, run against run, so
   that each pair that agrees often enough is confirmed on the full sets or connected already; components are
   contracted between groups of trees, so that later trees have little left to do. A task holds two runs at most.
 
-A pair of similarity 0.85 shares no region of any tree with a probability below 1e-5. Links are only ever made on
-full sets. Components come from alternating star contractions on the links.
+A candidate is a pair whose signatures agree in `LEAST_AGREE` values, 4.5 standard deviations below the threshold.
+Links are only ever made on full sets. Components come from alternating star contractions on the links.
 
 Nulls and edges: a text without words is linked with nothing; with fewer than 5 words its word sequence is its only
 shingle; rows with null doc_id take part, their component has the least doc_id that there is, or null; a row whose
@@ -35,6 +40,7 @@ from .shingles import Shingler, mix
 TREES, DEPTH, BASE_DEPTH = 16, 8, 4
 SLOTS = TREES * DEPTH
 SPARSE = 16
+LEAF = 64
 HOT = 4096
 #: Text of a run, in bytes; one longer text is a run of its own.
 RUN_BYTES = 16 << 20
@@ -149,8 +155,29 @@ class Forest:
         return x != y
 
 
-def solve(fps: list[bytes], sig: np.ndarray, sets: list[np.ndarray]):
-    """A spanning forest of the true links among the nodes: candidates by agreement, most agreement first."""
+def common_prefixes(order: np.ndarray) -> np.ndarray:
+    """How many leading values each row of a sorted order shares with the row before it; 0 for the first."""
+    same = np.zeros(len(order), dtype=np.int64)
+    same[1:] = np.cumprod(order[1:] == order[:-1], axis=1).sum(axis=1)
+    return same
+
+
+def parts(prefix: np.ndarray, lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
+    """Where rows lo to hi, alike in `depth` values, split by the next value."""
+    cuts = [lo, *(np.flatnonzero(prefix[lo + 1 : hi] <= depth) + lo + 1).tolist(), hi]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def visits(prefix: np.ndarray, lo: int, hi: int, depth: int, leaf: int = LEAF):
+    """(depth, lo, hi, parts) of a region's nodes in the tree, children before their parents; a leaf is one part."""
+    inner = [] if hi - lo <= leaf or depth >= DEPTH else parts(prefix, lo, hi, depth)
+    for a, b in inner:
+        yield from visits(prefix, a, b, depth + 1, leaf)
+    yield depth, lo, hi, inner
+
+
+def solve(fps: list[bytes], sig: np.ndarray, sets: list[np.ndarray], tree: int):
+    """A spanning forest of the true links among a region's nodes, which are in the tree's order."""
     n, forest = len(fps), Forest(len(fps))
     common = np.array([np.bincount(sig[:, k]).argmax() for k in range(SLOTS)])
     leader = int((sig == common).sum(axis=1).argmax())
@@ -161,27 +188,34 @@ def solve(fps: list[bytes], sig: np.ndarray, sets: list[np.ndarray]):
             return fps[i], fps[j]
         return None
 
+    def among(i: int, lo: int, hi: int):
+        agree = (sig[lo:hi] == sig[i]).sum(axis=1)
+        near = np.flatnonzero(agree >= LEAST_AGREE)
+        for j in (near[np.argsort(-agree[near], kind="stable")] + lo).tolist():
+            if link := confirm(i, j):
+                yield link
+
     for j in range(n):
         if j != leader and (link := confirm(leader, j)):
             yield link
-    agree = [((sig[i + 1 :] == sig[i]).sum(axis=1).astype(np.int16)) for i in range(n - 1)]
-    for least in (120, 112, 104, 97, LEAST_AGREE):
-        for i in range(n - 1):
-            for j in np.flatnonzero(agree[i] >= least) + i + 1:
-                if link := confirm(i, int(j)):
-                    yield link
-            if least == LEAST_AGREE:
-                agree[i] = agree[i][:0]
+    prefix = common_prefixes(sig[:, tree * DEPTH : (tree + 1) * DEPTH])
+    for _, lo, hi, inner in visits(prefix, 0, n, BASE_DEPTH):
+        if not inner:
+            for i in range(lo, hi - 1):
+                yield from among(i, i + 1, hi)
+        for a, b in inner[:-1]:
+            for i in range(a, b):
+                yield from among(i, b, hi)
 
 
 def _dense_links(batches):
-    """Rows (region, sig, fp, text), sorted -> true links, region by region; a region is within a run's bounds."""
+    """Rows (region, sig, fp, text, tree), in each tree's order -> true links; a region is within a run's bounds."""
     shingler, out, tops = Shingler(), [], [pa.binary()] * 2
     for _, rows in _groups(batches):
         texts = [(r[3] or "").encode() for r in rows]
         sets = [s for part in _chunks(texts) for s in shingler.sets([texts[k] for k in part])]
         sig = np.frombuffer(b"".join(r[1] for r in rows), dtype=">u2").reshape(len(rows), SLOTS).astype(np.int64)
-        out += solve([r[2] for r in rows], sig, sets)
+        out += solve([r[2] for r in rows], sig, sets, rows[0][4])
         if len(out) > 20_000:
             yield _emit(out, ["a", "b"], tops)
             out = []
@@ -333,12 +367,12 @@ def _near_duplicates(docs: DataFrame, hot: int, sparse: int) -> DataFrame:
     by_region = lambda df, *order: df.repartition("region").sortWithinPartitions("region", *order)
     few = by_region(met.where(F.col("n") <= sparse).select(F.col("base").alias("region"), "fp", "sig"), "fp")
     pairs = few.mapInArrow(_sparse_pairs, "a binary, b binary").distinct().select(F.xxhash64("a").alias("key"), "a", "b")
-    dense = met.where((F.col("n") > sparse) & ~F.col("hot")).select("fp", "sig", F.col("base").alias("region"))
+    dense = met.where((F.col("n") > sparse) & ~F.col("hot")).select("fp", "sig", "tree", F.col("base").alias("region"))
     dealt = None
     if not shared.where("hot").isEmpty():
         dealt = stage(runs(met.where("hot"), hot), "runs")
         pairs = pairs.unionByName(_leaders(dealt)).distinct()
-        dense = dense.unionByName(dealt.select("fp", "sig", F.xxhash64("base", "run", F.lit("run")).alias("region")))
+        dense = dense.unionByName(dealt.select("fp", "sig", "tree", F.xxhash64("base", "run", F.lit("run")).alias("region")))
     pairs = stage(pairs, "pairs")
 
     # The texts of all nodes that have a candidate, read once more by their keys.
@@ -346,7 +380,8 @@ def _near_duplicates(docs: DataFrame, hot: int, sparse: int) -> DataFrame:
     wanted = maybe_broadcast(stage(nodes.select("fp", "tkey").join(needed, "fp"), "wanted"), 96)
     held = stage(texts.select("tkey", "text").join(wanted, "tkey").groupBy("fp").agg(F.first("text").alias("text")), "texts")
 
-    found = by_region(dense.join(held, "fp").select("region", "sig", "fp", "text"), "sig", "fp").mapInArrow(_dense_links, "a binary, b binary")
+    in_order = [part(DEPTH), F.col("fp")]
+    found = by_region(dense.join(held, "fp").select("region", "sig", "fp", "text", "tree"), *in_order).mapInArrow(_dense_links, "a binary, b binary")
     asked = pairs.select("key", F.col("a").alias("fp")).unionByName(pairs.select("key", F.col("b").alias("fp"))).distinct()
     asked = asked.join(held, "fp").select("key", F.lit(0).alias("kind"), "fp", F.lit(None).cast("binary").alias("other"), "text")
     asked = asked.unionByName(pairs.select("key", F.lit(1).alias("kind"), F.col("a").alias("fp"), F.col("b").alias("other"), F.lit(None).cast("string").alias("text")))
