@@ -66,6 +66,16 @@ def truncate(text: Column, limit: int, mark: str = "…") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(mark))).otherwise(text)
 
 
+def truncate_units(text: Column, limit: int = 1800, mark: str = "…") -> Column:
+    """As `truncate`, by UTF-16 units: a character beyond the basic plane is two and is never split."""
+    units = F.encode(text, "UTF-16BE")
+    cut = F.substring(units, F.lit(1), F.lit(2 * limit))
+    last = F.hex(F.substring(cut, F.lit(2 * limit - 1), F.lit(2)))
+    whole = F.when(last.between("D800", "DBFF"), F.substring(cut, F.lit(1), F.lit(2 * limit - 2))).otherwise(cut)
+    # Below half the limit no text can be too long.
+    return F.when((F.length(text) * 2 > limit) & (F.octet_length(units) > 2 * limit), F.concat(F.decode(whole, "UTF-16BE"), F.lit(mark))).otherwise(text)
+
+
 def without_paths(text: Column) -> Column:
     """Path tokens cut to their last part."""
     return F.regexp_replace(text, r"(?<![^\s\"'(])(?:~|[A-Za-z]:)?(?:[\\/][^\\/\s\"')]+)*[\\/]([^\\/\s\"')]+)", "$1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 import pandas as pd
@@ -194,16 +195,73 @@ def channel_findings(channels: DataFrame, patterns) -> DataFrame:
     return found.select("key.channel", "key.object", "line", "pattern", "origin")
 
 
-PER_LINE, PER_TEXT, EACH_LINE, EACH_CHAR = 2.0, 20.0, 100e-6, 1e-7
+#: Fixed values, in seconds: a call on one line, a text, and what a text's budget grows by for each line, each line and
+#: pattern, and each character and pattern.
+PER_LINE, PER_TEXT, EACH_LINE, EACH_LINE_PATTERN, EACH_CHAR_PATTERN = 2.0, 20.0, 1e-3, 4e-5, 1e-9
+
+
+_TOKEN = re.compile(r"\\[\s\S]|\[\^?\]?(?:\\[\s\S]|[^\]\\])*\]|\{\d+(?:,\d*)?\}[?+]?|[*+?][?+]?|\((?:\?:)?|[\s\S]")
+MOST_PATHS, MOST_REPEATS = 64, 1000
+
+
+def is_linear(pattern: str) -> bool:
+    """Whether a pattern provably takes time in proportion to a text, so that it needs no budget.
+
+    Proved by its parts: repetition stands on single characters or classes only and is bounded, but for one that ends
+    the pattern; a group is at most optional; no look-around, back reference or flag. Then from each start there are
+    at most `MOST_PATHS` ways to go on, each of bounded length before the end that can no longer fail. False says only
+    that this proof fails.
+    """
+    tokens, paths, depth, atom = _TOKEN.findall(pattern), 1, 0, None
+    for i, t in enumerate(tokens):
+        if t in ("(", "(?:"):
+            if tokens[i + 1 : i + 2] == ["?"] and t == "(":
+                return False
+            depth, atom = depth + 1, None
+        elif t == ")":
+            depth, atom = depth - 1, "group"
+        elif t == "|":
+            paths, atom = paths + paths, None
+        elif t[0] in "*+?" or (t[0] == "{" and len(t) > 1):
+            low, high = (0, 1) if t[0] == "?" else (int(t[0] == "+"), None)
+            if t[0] == "{":
+                low, _, top = t[1 : t.index("}")].partition(",")
+                high = int(top) if top else (None if "," in t else int(low))
+            if atom is None or (atom == "group" and high != 1):
+                return False
+            if high is None:
+                return i == len(tokens) - 1 and not depth and "|" not in tokens and paths <= MOST_PATHS
+            if high > MOST_REPEATS:
+                return False
+            paths, atom = paths * (high - int(low) + 1), None
+        else:
+            if t[0] == "\\" and (t[1].isdigit() or t[1] in "gkGKX"):
+                return False
+            atom = "one"
+    return depth == 0 and paths <= MOST_PATHS
+
+
+def accrued(n_lines: int, n_chars: int, n_patterns: int) -> float:
+    """Seconds that a text's size adds to its budget."""
+    return n_lines * (EACH_LINE + EACH_LINE_PATTERN * n_patterns) + n_chars * n_patterns * EACH_CHAR_PATTERN
 
 
 def budgeted(texts: DataFrame, key: str, patterns, per_line: float = PER_LINE, per_text: float = PER_TEXT) -> DataFrame:
     """key, line, pattern, origin, problem: matches under a time budget for each call and each text.
 
-    A text's budget grows with its lines, characters and patterns. A call that runs out gives a row with problem
-    `timeout`, as do all lines after a text's budget is spent: what was not scanned is never told as clean.
+    A text's budget grows with its lines, characters and patterns; a line's patterns share the budget of one call. A
+    pattern that runs out of either gives a row with problem `timeout`, as do the patterns and lines after it that have
+    none left: what was not scanned is never told as clean. Patterns that are proved to be linear cannot run out: they
+    are matched in the JVM, and only the others need a matcher that can be stopped.
     """
     kind = texts.schema[key].dataType
+    linear = [p for p in patterns if is_linear(p[0])]
+    patterns = [p for p in patterns if p not in linear]
+    plain = S.matches(S.lines(texts, key), key, linear).where("match <> ''") if linear else None
+    if plain is not None:
+        plain = plain.select(key, F.col("line").cast("int").alias("line"), "pattern", "origin", F.lit(None).cast("string").alias("problem"))
+    if not patterns and plain is not None:
+        return plain
 
     def run(batches):
         compiled = [(regex.compile(p, regex.I), p, origin) for p, origin in patterns]
@@ -211,12 +269,12 @@ def budgeted(texts: DataFrame, key: str, patterns, per_line: float = PER_LINE, p
             out = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = regex.split("\r\n|\r|\n", (text or "").replace("\0", ""))
-                accrued = len(compiled) * (EACH_LINE * len(lines) + EACH_CHAR * len(text or ""))
-                ends = time.monotonic() + per_text + accrued
+                ends = time.monotonic() + per_text + accrued(len(lines), len(text or ""), len(compiled))
                 for n, raw in enumerate(lines, 1):
+                    stop = min(ends, time.monotonic() + per_line)
                     for c, p, origin in compiled:
                         try:
-                            left = min(per_line, ends - time.monotonic())
+                            left = stop - time.monotonic()
                             if left <= 0:
                                 raise TimeoutError
                             out += [(k, n, p, origin, None) for m in c.finditer(raw, timeout=left) if m.end() > m.start()]
@@ -228,7 +286,8 @@ def budgeted(texts: DataFrame, key: str, patterns, per_line: float = PER_LINE, p
             yield pa.RecordBatch.from_arrays(arrays, names=[key, "line", "pattern", "origin", "problem"])
 
     schema = f"{key} {kind.simpleString()}, line int, pattern string, origin string, problem string"
-    return texts.select(key, "text").mapInArrow(run, schema)
+    slow = texts.select(key, "text").mapInArrow(run, schema)
+    return slow if plain is None else plain.unionByName(slow)
 
 
 def read_to_end(calls: DataFrame, keys: list[str]) -> DataFrame:

@@ -83,8 +83,10 @@ def may_match(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
 
 
 def any_match(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    """The prefilter: exact, since a line matches a pattern only if it matches their union."""
-    return F.rlike(text, F.lit("(?iu)" + "|".join(f"(?:{p})" for p, _ in patterns)))
+    """The prefilter of a line: exact, since it matches a pattern only if it matches their union, which is tested only
+    on a line that has a literal of theirs."""
+    union = F.rlike(text, F.lit("(?iu)" + "|".join(f"(?:{p})" for p, _ in patterns)))
+    return may_match(text, patterns) & union
 
 
 def matches(df: DataFrame, key: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
@@ -94,7 +96,8 @@ def matches(df: DataFrame, key: str, patterns: Sequence[tuple[str, str]]) -> Dat
         for p, origin in patterns
     ]
     held = df.where(any_match(F.col("raw"), patterns)).withColumn("found", F.concat(*found))
-    return held.select(key, "line", F.inline("found"))
+    # inline() would have the optimizer ask for the size of what was found, and find all of it twice.
+    return held.select(key, "line", F.inline_outer("found")).where("match is not null")
 
 
 def _as_match(pattern: str, origin: str):

@@ -89,7 +89,9 @@ def _lines(t) -> str:
 @query("S07_json_lines", "SELECT event_id % 7 <> 0 AS json, count(*) AS n FROM events WHERE event_id % 7 = 0 OR event_id % 11 <> 0 GROUP BY 1")
 def json_lines(t):
     """Lines of a log as variants; longer ones are left out whole, what is not JSON is counted."""
-    read = readers.json_lines(t.spark, _lines(t), longest=300)
+    formats.register(t.spark)
+    lines = t.spark.read.format("json_lines").option("limit", 300).option("rangeBytes", 100_000).load(_lines(t))
+    read = lines.withColumn("v", F.try_parse_json("value"))
     return read.groupBy(F.col("v").isNotNull().alias("json")).agg(F.count("*").alias("n"))
 
 
@@ -150,6 +152,17 @@ def push_records(t):
     return readers.push_records(files).select(F.col("file").cast("long").alias("c_custkey"), "kind", "problem")
 
 
+@query("S16_parallel_records", """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'blob' WHEN '2-HIGH' THEN 'commit' WHEN '3-MEDIUM' THEN 'tip' ELSE 'ref' END AS kind, NULL AS problem, count(*) AS n,
+  CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1""")
+def parallel_records(t):
+    """Records of pushes in files that are read by ranges: boundaries found by composing what each range does to them."""
+    path, p, k = _folder(t, "pushes"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string")
+    parts = F.when(p == "1-URGENT", F.array(F.lit("blob"), k, F.lit("100644"), F.lit("ref"))).when(p == "2-HIGH", F.array(F.lit("commit"), k)).when(p == "3-MEDIUM", F.array(F.lit("tip"), k)).otherwise(F.array(F.lit("ref"), k, F.lit("blob")))
+    t("orders").select(F.array_join(parts, "\0").alias("value")).write.option("lineSep", "\0").text(path)
+    found = readers.parallel_records(readers.framed(t.spark, path, range_bytes=20_000))
+    return found.groupBy("kind", "problem").agg(F.count("*").alias("n"), F.sum(F.get("fields", F.lit(0)).cast("long")).alias("total"))
+
+
 @query("S19_config", "SELECT s_suppkey, problems FROM supplier JOIN (VALUES " + ", ".join(f"({i}, '{d[1]}')" for i, d in enumerate((*DOCUMENTS, ("not json", "$: not JSON")))) + f") AS v(r, problems) ON s_suppkey % {len(DOCUMENTS) + 1} = r")
 def config(t):
     """Configuration files under a schema, each with what is wrong in it."""

@@ -66,6 +66,18 @@ def fold(t):
     return t("documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
 
 
+_WIDE = r"regexp_extract_all(left(s, i), '[\x{10000}-\x{10FFFF}]')"
+
+
+@query("X08_truncate_units", f"""WITH t AS (SELECT conv_id, turn, replace(text, 'o', 'o😀') AS s FROM conversations),
+c AS (SELECT *, CASE WHEN length(s) + len(regexp_extract_all(s, '[\\x{{10000}}-\\x{{10FFFF}}]')) > 300 THEN list_max(list_filter(range(0, 301), lambda i: i + len({_WIDE}) <= 300)) END AS cut FROM t)
+SELECT conv_id, turn, CASE WHEN cut IS NOT NULL THEN left(s, cut) || '…' ELSE s END AS shown FROM c""")
+def truncate_units(t):
+    """Texts with characters beyond the basic plane, cut by UTF-16 units without splitting one."""
+    wide = F.replace(F.col("text"), F.lit("o"), F.lit("o😀"))
+    return t("conversations").select("conv_id", "turn", T.truncate_units(wide, 300).alias("shown"))
+
+
 @query("X08_truncate", "SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS shown FROM conversations")
 def truncate(t):
     return t("conversations").select("conv_id", "turn", T.truncate(F.col("text"), 200).alias("shown"))

@@ -7,6 +7,8 @@
   stream, its offset is the end of the last whole line of each file, so what is appended later is read once, and a
   stopped query goes on from its checkpoint without loss or repeats.
 
+Option `separator` is `nul` for files whose lines end with NUL bytes.
+
 Paths are opened on the executors through Arrow's file systems (local paths and the schemes it knows).
 """
 
@@ -44,20 +46,20 @@ def listed(path: str) -> dict[str, int]:
     return {prefix + x.path: x.size for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))}
 
 
-def last_line_end(path: str, start: int, size: int) -> int:
+def last_line_end(path: str, start: int, size: int, sep: bytes = _LF) -> int:
     """Where the last whole line that ends after `start` ends; `start` if none does. Reads back from the end."""
     where, at = opened(path)
     with where.open_input_file(at) as f:
         while size > start:
             begin = max(start, size - CHUNK)
-            found = f.read_at(size - begin, begin).rfind(_LF)
+            found = f.read_at(size - begin, begin).rfind(sep)
             if found >= 0:
                 return begin + found + 1
             size = begin
     return start
 
 
-def lines_of(path: str, start: int, end: int, limit: int = MAX_LINE, chunk: int = CHUNK) -> Iterator[tuple[int, str]]:
+def lines_of(path: str, start: int, end: int, limit: int = MAX_LINE, chunk: int = CHUNK, sep: bytes = _LF) -> Iterator[tuple[int, str]]:
     """(place, text) of the lines that start in [start, end): place is the byte where a line starts.
 
     The last line may lack its end. A line of more than `limit` characters is passed over."""
@@ -72,12 +74,12 @@ def lines_of(path: str, start: int, end: int, limit: int = MAX_LINE, chunk: int
                 if at >= end:
                     return
                 data = f.read_at(min(chunk, end - at), at)
-                found = data.find(_LF)
+                found = data.find(sep)
                 at += len(data) if found < 0 else found + 1
         first, held, kept = at, [], 0
         while at < size and first < end:
             data, begin = f.read_at(min(chunk, size - at), at), 0
-            while (found := data.find(_LF, begin)) >= 0:
+            while (found := data.find(sep, begin)) >= 0:
                 if kept <= 4 * limit and (text := _text([*held, data[begin:found]], limit)) is not None:
                     yield first, text
                 held, kept, begin = [], 0, found + 1
@@ -113,13 +115,14 @@ class _Lines:
         self.path = options["path"]
         self.limit = int(options.get("limit", MAX_LINE))
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
+        self.sep = b"\0" if options.get("separator") == "nul" else _LF
 
     def spans(self, path: str, start: int, end: int) -> list[Span]:
         return [Span(path, a, min(end, a + self.range_bytes)) for a in range(start, end, self.range_bytes)]
 
     def read(self, part: Span) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for place, text in lines_of(part.path, part.start, part.end, self.limit):
+        for place, text in lines_of(part.path, part.start, part.end, self.limit, sep=self.sep):
             rows.append((part.path, place, text))
             size += len(text)
             if len(rows) >= 4096 or size > 8 << 20:
@@ -151,7 +154,7 @@ class LineStream(_Lines, DataSourceStreamReader):
         # A file's unfinished line waits; what was found before is where the search stops.
         ends = dict(self.known)
         for path, size in listed(self.path).items():
-            ends[path] = last_line_end(path, ends.get(path, 0), size)
+            ends[path] = last_line_end(path, ends.get(path, 0), size, self.sep)
         self.known = {p: e for p, e in ends.items() if e > 0}
         return {"ends": self.known}
 

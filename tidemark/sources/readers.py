@@ -7,11 +7,13 @@ import subprocess
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.operators.gates import schema_problems
+from tidemark.sources import formats
 from tidemark.sources.state import read_state, write_state  # noqa: F401  written and read here until now
 
 MAX_BYTES = 100 << 20
@@ -156,6 +158,75 @@ def parse_records(file: str, parts: list[str]):
         at, seq = at + 1 + ARITY[kind], seq + 1
 
 
+def framed(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """file, chunk, place, value of the NUL-ended tokens of files; a chunk is a range of bytes."""
+    formats.register(spark)
+    tokens = spark.read.format("json_lines").option("separator", "nul").option("rangeBytes", range_bytes).load(path)
+    return tokens.select("file", F.floor(F.col("place") / range_bytes).alias("chunk"), "place", "value")
+
+
+def parallel_records(tokens: DataFrame) -> DataFrame:
+    """file, place, kind, fields, problem of the push records in tokens (file, chunk, place, value), as `push_records`.
+
+    Where a record starts depends on all before it. So each chunk first tells, for each number of fields that may be
+    open where it starts, how many are open where it ends and where its last record starts: a map of four states. The
+    maps of a file, one small row a chunk, are composed in order, which gives every chunk its start; then each chunk
+    names the record of each of its tokens on its own.
+    """
+    width = max(ARITY.values()) + 1
+
+    def walk(values, places, state: int, record):
+        """(record, token's number in it) for each token; state: fields still open, -1 after an unknown kind."""
+        at = 0
+        for value, place in zip(values, places, strict=True):
+            if state < 0:
+                yield None, 0, state, record
+                continue
+            if state == 0:
+                record, at, state = place, 0, ARITY.get(value, -1)
+            else:
+                at, state = at + 1, state - 1
+            yield record, at, state, record
+
+    def maps(key, table):
+        table = table.sort_by("place")
+        values, places = table.column("value").to_pylist(), table.column("place").to_pylist()
+        ends, last = [], []
+        for s in range(width):
+            *_, (_, _, state, record) = walk(values, places, s, None)
+            ends.append(state)
+            last.append(record)
+        return pa.table({"file": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int64()), "ends": pa.array([ends], pa.list_(pa.int32())), "last": pa.array([last], pa.list_(pa.int64()))})
+
+    told = tokens.groupBy("file", "chunk").applyInArrow(maps, "file string, chunk long, ends array<int>, last array<long>")
+    in_order = F.array_sort(F.collect_list(F.struct("chunk", "ends", "last")))
+    none = F.lit(None).cast("long")
+    first = F.struct(F.lit(0).alias("state"), none.alias("record"), F.array().cast("array<struct<chunk:bigint,state:int,record:bigint>>").alias("starts"))
+
+    def compose(a, m):
+        here = F.struct(m["chunk"].alias("chunk"), a["state"].alias("state"), a["record"].alias("record"))
+        state = F.when(a["state"] < 0, F.lit(-1)).otherwise(F.get(m["ends"], a["state"]))
+        record = F.when(a["state"] < 0, a["record"]).otherwise(F.coalesce(F.get(m["last"], a["state"]), a["record"]))
+        return F.struct(state.alias("state"), record.alias("record"), F.concat(a["starts"], F.array(here)).alias("starts"))
+
+    starts = told.groupBy("file").agg(F.aggregate(in_order, first, compose, lambda a: a["starts"]).alias("s")).select("file", F.inline_outer("s"))
+
+    def named(key, table):
+        table = table.sort_by("place")
+        state, record = table.column("state")[0].as_py(), table.column("record")[0].as_py()
+        found = [r for r, _, _, _ in walk(table.column("value").to_pylist(), table.column("place").to_pylist(), state, record)]
+        return pa.table({"file": table.column("file"), "record": pa.array(found, pa.int64()), "place": table.column("place"), "value": table.column("value")})
+
+    whole = tokens.join(starts, ["file", "chunk"]).groupBy("file", "chunk").applyInArrow(named, "file string, record long, place long, value string")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"])
+    out = whole.where("record is not null").groupBy("file", F.col("record").alias("place")).agg(parts.alias("parts"))
+    kind, fields = F.get("parts", F.lit(0)), F.slice("parts", 2, width)
+    arity = F.create_map(*(F.lit(x) for pair in ARITY.items() for x in pair))
+    needed = F.try_element_at(arity, kind)
+    problem = F.when(needed.isNull(), "unknown kind").when(F.size(fields) < needed, "short record")
+    return out.select("file", "place", kind.alias("kind"), fields.alias("fields"), problem.alias("problem"))
+
+
 #: sources by id: local ones have a plan, connector ones the evidence that they were read
 SOURCES: dict[str, dict] = {}
 
