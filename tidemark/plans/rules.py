@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import notes as N
 from tidemark.operators import rules as R
+from tidemark.operators import user_fields as U
 
-from .tables import query
+from .tables import ORACLES, query
 
 CONFIG = {
     "required": ["title", "owner"], "forbidden": ["secret"], "types": ["ECONOMY", "STANDARD", "PROMO"],
@@ -143,3 +144,15 @@ def distinct_paths(t):
 @query("X28_privacy_policy", "SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN 'full' ELSE 'summary' END AS level, lower(trim(s_name)) AS topic FROM supplier")
 def privacy_policy(t):
     return t("supplier").select("s_suppkey", F.coalesce(F.when(F.col("s_nationkey") % 3 == 0, "full"), F.lit("summary")).alias("level"), T.comparable(T.trim_space(F.col("s_name"))).alias("topic"))
+
+
+_FIELDS = " UNION ALL ".join(f"SELECT '{i}' AS id, * FROM ({ORACLES[n]})" for n, i in (("R10_required_fields", "required-fields"), ("R11_forbidden_fields", "forbidden-fields"), ("R12_type_enum", "type-enum"), ("R13_extension_fields", "extension-fields")))
+
+
+@query("E04_user_fields", _FIELDS)
+def user_fields(t):
+    """All user rules on fields at once, the settings as rows of a table."""
+    rows = [("required", x, None, None) for x in CONFIG["required"]] + [("forbidden", x, None, None) for x in CONFIG["forbidden"]] + [("type", x, None, None) for x in CONFIG["types"]]
+    rows += [("extension", k, s["kind"], s.get("options")) for k, s in CONFIG["extensions"].items()]
+    found = U.user_fields(context(t).staged(), t.spark.createDataFrame(rows, U.SETTINGS))
+    return found.groupBy("id", "file", "check", "level").agg(F.count("*").alias("n"))
