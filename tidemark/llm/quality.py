@@ -1,11 +1,14 @@
 """Quality rules whose cutoffs come with a guarantee.
 
-Each rule is a rate of a text (symbols a word, repeated words, ...) and a fixed list of cutoffs, mildest first.
-On the labelled good documents of a stratum (the language), a cutoff passes if the exact binomial test rejects
-"it drops more than `risk` of good documents": P(Bin(n, risk) <= drops) <= delta / (rules x strata), the last by
-Bonferroni. Along a rule's list the tests go on only while they pass (fixed sequence, which needs no further
-correction), so with probability 1 - delta no chosen cutoff drops more than `risk` of a stratum's good documents.
-All labelled documents count. Where labels are too few for any pass, a rule has no cutoff and drops nothing.
+Each rule is a rate of a text (symbols a word, repeated words, ...) and a fixed list of cutoffs, mildest first. A path
+is a fixed set of rules that grow stricter together: all of them, all but one, or one alone; its level t takes the
+t-th cutoff of each. On the labelled good documents of a stratum (the language), a level passes if the exact binomial
+test rejects "its rules together drop more than `risk` of good documents": P(Bin(n, risk) <= drops) <=
+delta / (paths x strata), the last by Bonferroni. Along a path the tests go on only while they pass (fixed sequence,
+which needs no further correction), so with probability 1 - delta every level that passed, and so the one chosen,
+whichever it is, drops no more than `risk` of a stratum's good documents by all its rules. Of the strictest levels of
+the paths the one that drops most labelled bad documents is chosen, the first among equals. All labelled documents
+count. Where labels are too few for any pass, a stratum has no cutoffs and its rules drop nothing.
 
 Nulls and edges: a null text has no words and fails the base rule; null lang is a stratum of its own; a document
 with several labels is good only if all say so, null labels and labels of unknown documents are ignored; each
@@ -30,6 +33,10 @@ RULES = {
     "bangs": [1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2],
     "word_length": [40.0, 30.0, 25.0, 20.0, 17.0, 15.0],
 }
+#: Sets of rules that are made stricter together, in the order in which equals are preferred.
+PATHS = [list(RULES), *([r for r in RULES if r != out] for out in RULES), *([r] for r in RULES)]
+LEVELS = max(map(len, RULES.values()))
+NEVER = 99  # the level at which a document is dropped, for one that no level drops
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -80,21 +87,29 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff: the strictest that passes in its stratum; no row where none does."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("label_id"))
-    held = measured.join(good, F.col("doc_id") == F.col("label_id"), "left_semi")
+    """stratum, rule, cutoff of the chosen level of each stratum; no row where none passes."""
+    said = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.min("quality") == 1).alias("good"))
+    held = measured.join(said, F.col("doc_id") == F.col("label_id"))
     passed = lambda r, x: F.size(F.filter(F.array(*map(F.lit, RULES[r])), lambda c: x > c))
     # A rate above i cutoffs of a descending list is above its last i.
-    tests = F.array(*(F.struct(F.lit(r).alias("rule"), (len(RULES[r]) - passed(r, x)).alias("first")) for r, x in _rates().items()))
-    counts = held.select("stratum", F.inline(tests)).groupBy("stratum", "rule", "first").agg(F.count("*").alias("c"))
-    counts = stage(counts, "rule-counts")
-    size = counts.groupBy("stratum").agg((F.sum("c") / len(RULES)).cast("long").alias("n"))
+    first = {r: F.when(passed(r, x) > 0, len(RULES[r]) - passed(r, x)).otherwise(NEVER) for r, x in _rates().items()}
+    held = held.select("stratum", "good", *(c.alias(f"first_{r}") for r, c in first.items()))
+    dropped = F.array(*(F.struct(F.lit(i).alias("path"), F.array_min(F.array(*(F.col(f"first_{r}") for r in rules))).alias("first")) for i, rules in enumerate(PATHS)))
+    counts = stage(held.select("stratum", "good", F.inline(dropped)).groupBy("stratum", "good", "path", "first").agg(F.count("*").alias("c")), "path-counts")
+    size = counts.where("path = 0 and good").groupBy("stratum").agg(F.sum("c").alias("n"))
     strata = max(1, size.count())
-    grid = size.withColumn("steps", F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff")) for r, cs in RULES.items() for i, c in enumerate(cs)))).select("stratum", "n", F.inline("steps"))
-    drops = grid.join(counts, ["stratum", "rule"], "left").groupBy("stratum", "rule", "step", "cutoff", "n").agg(F.coalesce(F.sum(F.when(F.col("first") <= F.col("step"), F.col("c"))), F.lit(0)).cast("long").alias("k"))
-    tested = drops.withColumn("passes", binomial_tail(F.col("n"), F.col("k"), risk) <= delta / (len(RULES) * strata))
-    along = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return tested.withColumn("so_far", F.min("passes").over(along)).where("so_far").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    grid = size.select("stratum", "n", F.explode(F.sequence(F.lit(0), F.lit(len(PATHS) - 1))).alias("path")).select("*", level)
+    so_far = lambda which: F.coalesce(F.sum(F.when((F.col("first") <= F.col("level")) & which, F.col("c"))), F.lit(0)).cast("long")
+    drops = grid.join(counts, ["stratum", "path"], "left").groupBy("stratum", "path", "level", "n").agg(so_far(F.col("good")).alias("k"), so_far(~F.col("good")).alias("bad"))
+    tested = drops.withColumn("passes", binomial_tail(F.col("n"), F.col("k"), risk) <= delta / (len(PATHS) * strata))
+    along = Window.partitionBy("stratum", "path").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    passing = tested.withColumn("so_far", F.min("passes").over(along)).where("so_far")
+    strictest = passing.groupBy("stratum", "path").agg(F.max_by(F.struct("level", "bad"), "level").alias("x")).select("stratum", "path", "x.*")
+    best = strictest.groupBy("stratum").agg(F.max_by(F.struct("path", "level"), F.struct("bad", -F.col("path"))).alias("x")).select("stratum", "x.*")
+    table = [(i, r, t, float(RULES[r][min(t, len(RULES[r]) - 1)])) for i, rules in enumerate(PATHS) for r in rules for t in range(LEVELS)]
+    named = measured.sparkSession.createDataFrame(table, "path int, rule string, level int, cutoff double")
+    return best.join(F.broadcast(named), ["path", "level"]).select("stratum", "rule", "cutoff")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -116,7 +131,8 @@ def op1_risk_controlled_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    grid = ", ".join(f"('{r}', {i}, {c})" for r, cs in RULES.items() for i, c in enumerate(cs))
+    lists = ", ".join(f"('{r}', {[float(c) for c in cs]})" for r, cs in RULES.items())
+    paths = ", ".join(f"({i}, '{r}')" for i, rules in enumerate(PATHS) for r in rules)
     rate = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / nullif(n_lines, 0)", "repeats": "n_repeat_words / n_words", "bangs": "n_bangs / n_words", "word_length": "word_chars / n_words"}
     rates = " UNION ALL ".join(f"SELECT uid, doc_id, stratum, '{r}' AS rule, CASE WHEN n_words > 0 THEN coalesce(CAST({x} AS DOUBLE), 0) ELSE 0 END AS rate FROM f" for r, x in rate.items())
     return rf"""
@@ -128,14 +144,18 @@ rw AS (SELECT uid, count(DISTINCT q) AS n FROM (SELECT uid, unnest(range(i, i +
 f AS (SELECT d.uid, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
   length(text) - length(replace(text, '!', '')) AS n_bangs, len(lined) AS n_lines, CAST(len(lined) - len(list_distinct(lined)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rw USING (uid)),
 x AS ({rates}),
-q AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-h AS (SELECT x.* FROM x JOIN q USING (doc_id)),
-s AS (SELECT stratum, count(*) // {len(RULES)} AS n FROM h GROUP BY stratum),
-steps AS (SELECT * FROM (VALUES {grid}) AS v(rule, step, cutoff)),
-k AS (SELECT s.stratum, s.n, steps.rule, step, cutoff, (SELECT count(*) FROM s) AS strata, (SELECT count(*) FROM h WHERE h.stratum = s.stratum AND h.rule = steps.rule AND h.rate > cutoff) AS k FROM s, steps),
-p AS (SELECT stratum, rule, step, cutoff, strata, CASE WHEN k > {RISK} * n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))) FROM range(0, k + 1) AS t(i)) END AS tail FROM k),
-z AS (SELECT *, max(CASE WHEN tail <= {DELTA} / ({len(RULES)} * strata) THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS failed FROM p),
-c AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM z WHERE failed = 0 GROUP BY stratum, rule),
+rules AS (SELECT * FROM (VALUES {lists}) AS v(rule, cuts)), paths AS (SELECT * FROM (VALUES {paths}) AS v(path, rule)),
+q AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+fr AS (SELECT uid, stratum, good, rule, CASE WHEN e > 0 THEN l - e ELSE {NEVER} END AS first FROM (SELECT uid, stratum, good, rule, len(cuts) AS l, len(list_filter(cuts, lambda c: rate > c)) AS e FROM x JOIN q USING (doc_id) JOIN rules USING (rule))),
+h AS (SELECT uid, stratum, good, path, min(first) AS first FROM fr JOIN paths USING (rule) GROUP BY uid, stratum, good, path),
+s AS (SELECT stratum, count(*) AS n FROM h WHERE path = 0 AND good GROUP BY stratum),
+k AS (SELECT s.stratum, s.n, p.path, t.level, (SELECT count(*) FROM s) AS strata, (SELECT count(*) FROM h WHERE h.stratum = s.stratum AND h.path = p.path AND good AND first <= t.level) AS k,
+  (SELECT count(*) FROM h WHERE h.stratum = s.stratum AND h.path = p.path AND NOT good AND first <= t.level) AS bad FROM s, (SELECT DISTINCT path FROM paths) AS p, range(0, {LEVELS}) AS t(level)),
+p AS (SELECT stratum, path, level, bad, strata, CASE WHEN k > {RISK} * n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))) FROM range(0, k + 1) AS t(i)) END AS tail FROM k),
+z AS (SELECT *, max(CASE WHEN tail <= {DELTA} / ({len(PATHS)} * strata) THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, path ORDER BY level) AS failed FROM p),
+b AS (SELECT * FROM z WHERE failed = 0 QUALIFY row_number() OVER (PARTITION BY stratum, path ORDER BY level DESC) = 1),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, path) = 1),
+c AS (SELECT stratum, rule, cuts[1 + least(level, len(cuts) - 1)] AS cutoff FROM o JOIN paths USING (path) JOIN rules USING (rule)),
 bad AS (SELECT DISTINCT uid FROM x JOIN c ON x.stratum = c.stratum AND x.rule = c.rule WHERE rate > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.uid IS NULL AS kept FROM f LEFT JOIN bad USING (uid)
