@@ -135,9 +135,14 @@ def _ranked(index: DataFrame, items: list, weight: np.ndarray, n_docs: int, n_te
         names = ["place", "item_id", "doc_id", "score"]
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=names)
 
-    # Rows of one staged table have places of their own; by them even equal rows are dealt to all shards alike.
-    dealt = index.where(F.size("ids") > 0).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(search, "place long, item_id long, doc_id long, score long")
+    def one(batches):
+        if held := list(batches):
+            yield from search(pa.Table.from_batches(held)).to_batches()
+
+    # Rows of one staged table have places of their own; by them even equal rows are dealt to all shards alike. A shard
+    # is a task, so that none holds two.
+    dealt = index.where(F.size("ids") > 0).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(one, "place long, item_id long, doc_id long, score long")
 
 
 def rank(docs: DataFrame, items: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
