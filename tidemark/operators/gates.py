@@ -200,6 +200,14 @@ def channel_findings(channels: DataFrame, patterns) -> DataFrame:
 PER_LINE, PER_TEXT, EACH_LINE, EACH_LINE_PATTERN, EACH_CHAR_PATTERN = 2.0, 20.0, 1e-3, 4e-5, 1e-9
 
 
+def severity(setting: Column, own: Column) -> Column:
+    """A rule's severity from its setting (a variant): a word or an object's; what is no severity falls to the rule's
+    own, then to warn."""
+    word = F.when(F.schema_of_variant(setting) == "STRING", F.try_variant_get(setting, "$", "string"))
+    valid = lambda c: F.when(c.isin("off", "warn", "error"), c)
+    return F.coalesce(valid(F.coalesce(word, F.try_variant_get(setting, "$.severity", "string"))), valid(own), F.lit("warn"))
+
+
 _TOKEN = re.compile(r"\\[\s\S]|\[\^?\]?(?:\\[\s\S]|[^\]\\])*\]|\{\d+(?:,\d*)?\}[?+]?|[*+?][?+]?|\((?:\?:)?|[\s\S]")
 MOST_PATHS, MOST_REPEATS = 64, 1000
 

@@ -290,7 +290,7 @@ def incident_state(t):
 
 
 _DIRTY = "SELECT DISTINCT l_suppkey AS session, l_partkey AS path FROM lineitem WHERE l_returnflag IN ('A', 'N')"
-_KNOWN = "SELECT DISTINCT l_suppkey AS session, l_partkey AS path FROM lineitem WHERE l_linenumber = 1"
+_KNOWN = "SELECT DISTINCT l_suppkey AS session, l_partkey AS path FROM lineitem WHERE l_returnflag = 'R'"
 
 
 @query(
@@ -309,7 +309,7 @@ def _dirty(t) -> DataFrame:
 
 
 def _known(t) -> DataFrame:
-    return t("lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("path")).distinct()
+    return t("lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("path")).distinct()
 
 
 @query(
@@ -355,11 +355,11 @@ def link_follow(t):
 
 @query(
     "J05_results_of_uses",
-    "SELECT o_orderkey, count(l_linenumber) > 0 AS answered, coalesce(bool_or(l_returnflag = 'R'), false) AS failed FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 3 <> 0) l ON l_orderkey = o_orderkey GROUP BY 1",
+    "SELECT o_orderkey, count(l_linenumber) > 0 AS answered, coalesce(bool_or(l_returnflag = 'R'), false) AS failed FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linestatus = 'F') l ON l_orderkey = o_orderkey GROUP BY 1",
 )
 def results_of_uses(t):
     """Each use with what came back for it; repeated results are folded before the join."""
-    lines = t("lineitem").where("l_linenumber <= 3 and l_orderkey % 3 <> 0")
+    lines = t("lineitem").where("l_linestatus = 'F'")
     results = lines.select(F.col("l_orderkey").alias("tool_use_id"), (F.col("l_returnflag") == "R").alias("failed"), F.lit(False).alias("has_next"), F.lit(1).alias("items"))
     folded = I.fold_results(results)
     uses = t("orders").select("o_orderkey").join(folded, F.col("o_orderkey") == F.col("tool_use_id"), "left")
@@ -368,11 +368,11 @@ def results_of_uses(t):
 
 @query(
     "J14_path_selection",
-    f"SELECT session, path, CASE WHEN path % 10 = 0 THEN 'outside' WHEN d.path IS NOT NULL THEN 'chosen' ELSE 'clean' END AS state FROM (SELECT DISTINCT l_suppkey AS session, l_partkey AS path FROM lineitem WHERE l_linenumber = 2) g LEFT JOIN ({_DIRTY}) d USING (session, path)",
+    f"SELECT session, path, CASE WHEN path % 10 = 0 THEN 'outside' WHEN d.path IS NOT NULL THEN 'chosen' ELSE 'clean' END AS state FROM (SELECT DISTINCT l_suppkey AS session, l_partkey AS path FROM lineitem WHERE l_linestatus = 'O') g LEFT JOIN ({_DIRTY}) d USING (session, path)",
 )
 def path_selection(t):
     """Given paths: outside the vault, changed and so chosen, or clean."""
-    given = t("lineitem").where("l_linenumber = 2").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("path")).distinct()
+    given = t("lineitem").where("l_linestatus = 'O'").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("path")).distinct()
     d = given.join(_dirty(t).withColumn("dirty", F.lit(True)), ["session", "path"], "left")
     state = F.when(F.col("path") % 10 == 0, "outside").when(F.col("dirty"), "chosen").otherwise("clean")
     return d.select("session", "path", state.alias("state"))
@@ -464,9 +464,7 @@ def severity(t):
     k = F.col("s_suppkey")
     setting = F.try_parse_json(_pick(k, ('"error"', '{"severity": "off"}', '"loud"', '{"other": 1}', "7")))
     own = F.when(k % 5 == 3, "error")
-    given = F.coalesce(F.when(F.schema_of_variant(setting) == "STRING", F.try_variant_get(setting, "$", "string")), F.try_variant_get(setting, "$.severity", "string"))
-    valid = lambda c: F.when(c.isin("off", "warn", "error"), c)
-    return t("supplier").select("s_suppkey", F.coalesce(valid(given), valid(own), F.lit("warn")).alias("severity"))
+    return t("supplier").select("s_suppkey", G.severity(setting, own).alias("severity"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import briefing, dates, gates, graphs, increments, inventory, orders, queue, rules, scan, shapes, sources, text  # noqa: F401
+from . import briefing, computed, dates, gates, graphs, increments, inventory, orders, queue, rules, scan, shapes, sources, text  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 FLAGSHIP = scan.flagship

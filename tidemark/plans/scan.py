@@ -29,9 +29,15 @@ def suspect_lines(t: Tables):
     return S.lines(t("documents").where(S.may_match(F.col("text"), PATTERNS)), "doc_id")
 
 
-@query("L01_pattern_table", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{p}', '{o}')" for i, (p, o, _) in enumerate(_SQL)) + ") AS v(place, pattern, origin)")
+_TABLE = ", ".join(f"(CAST({i} AS BIGINT), '{p}', '{o}')" for i, (p, o, _) in enumerate(_SQL))
+
+
+@query("L01_pattern_table", f"WITH l AS ({_LINES}), m AS (SELECT pattern, origin, count(*) AS n FROM ({_FOUND}) GROUP BY ALL) SELECT place, v.pattern, v.origin, coalesce(n, 0) AS matches FROM (VALUES {_TABLE}) AS v(place, pattern, origin) LEFT JOIN m USING (pattern, origin)")
 def pattern_table(t):
-    return t.spark.range(1).select(F.posexplode(F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(o).alias("origin")) for p, o in PATTERNS))).alias("place", "x")).select(F.col("place").cast("long").alias("place"), "x.*")
+    """The patterns in their order, each with its origin and its matches in all documents."""
+    listed = t.spark.createDataFrame([(i, p, o) for i, (p, o) in enumerate(PATTERNS)], "place long, pattern string, origin string")
+    counts = S.matches(suspect_lines(t), "doc_id", PATTERNS).groupBy("pattern", "origin").agg(F.count("*").alias("n"))
+    return listed.join(counts, ["pattern", "origin"], "left").select("place", "pattern", "origin", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
 @query("L02_lines", f"SELECT doc_id, count(*) AS lines, max(length(raw)) AS longest FROM ({_LINES}) GROUP BY doc_id")
