@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PLAIN = 6
+PLAIN = 9
 KEEP = 6
 DEPTH = 3
 

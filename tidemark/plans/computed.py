@@ -1,5 +1,5 @@
 """Queries whose inputs are put together from many columns, and whose SQL works the answers out: link styles,
-cells, settings and forbidden keys over whole tables (F10, P11, R14, X34)."""
+cells, settings and forbidden keys over whole tables (F10, P10, P11, R14, X34)."""
 
 from __future__ import annotations
 
@@ -43,6 +43,21 @@ def cells_of_lines(t):
     return cells.groupBy("doc_id", F.size("c").cast("long").alias("n")).agg(F.count("*").alias("lines"), F.sum(F.length(F.array_join("c", ","))).cast("long").alias("chars"))
 
 
+_PLAIN = r"raw NOT LIKE '%`%' AND NOT regexp_matches(raw, '^(\s|>|[-*+] |[0-9]+[.)]|~~~|#)') AND raw <> ''"
+
+
+@query("P10_spans_of_lines", rf"""WITH l AS (SELECT doc_id, replace(replace(raw, ' the ', ' `the` '), ' of ', ' ``o ` f`` ') AS raw FROM ({_LINES}) WHERE {_PLAIN})
+SELECT doc_id, count(*) AS lines, CAST(sum(length(regexp_replace(regexp_replace(regexp_replace(raw, '``o ` f``', '', 'g'), '`the`', '', 'g'), '\s', '', 'g'))) AS BIGINT) AS left_over FROM l GROUP BY doc_id""")
+def spans_of_lines(t):
+    """What is left of lines of documents once the words that are put into code spans are blanked."""
+    raw = F.explode(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), "\n"))
+    lines = t("documents").select("doc_id", raw.alias("raw"))
+    lines = lines.where(~F.contains("raw", F.lit("`")) & ~F.rlike("raw", F.lit(r"\A(\s|>|[-*+] |[0-9]+[.)]|~~~|#)")) & (F.col("raw") != ""))
+    coded = F.replace(F.replace("raw", F.lit(" the "), F.lit(" `the` ")), F.lit(" of "), F.lit(" ``o ` f`` "))
+    bare = lines.select("doc_id", coded.alias("text")).select("doc_id", N.code_stripped("text").alias("bare"))
+    return bare.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length(F.regexp_replace("bare", r"\s", ""))).cast("long").alias("left_over"))
+
+
 @query("R14_link_styles", """WITH l AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '/' || c_mktsegment || '/' || c_nationkey || '.md' WHEN c_acctbal < 3000 THEN '../' || c_mktsegment || '.md' WHEN c_acctbal < 5000 THEN 'https://' || lower(c_mktsegment) || '.org/x.md'
   WHEN c_acctbal < 7000 THEN '#' || c_nationkey WHEN c_acctbal < 8500 THEN 'mailto:' || c_nationkey || '@x.org' ELSE c_nationkey || '.md#' || lower(c_mktsegment) END AS raw FROM customer),
 i AS (SELECT * FROM l WHERE NOT regexp_matches(raw, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//)') AND raw NOT LIKE '#%')
