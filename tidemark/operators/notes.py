@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .staging import spread
+
+#: Notes that are parsed into rows at once.
+AT_ONCE = 1000
 ABSENT, UNREADABLE, VALUE = "absent", "unreadable", "value"
 _STATE = lambda t: f"struct<state:string,v:{t}>"
 FIELDS_SCHEMA = "path string, key string, line int, occurrence int, scalar " + _STATE("string") + ", map " + _STATE("map<string,string>") + ", list " + _STATE("array<string>") + ", entries " + _STATE("array<map<string,string>>")
@@ -140,23 +144,31 @@ def read_fields(text: str) -> list[tuple]:
     return out
 
 
+def _texts(batches):
+    """Lists of (path, text) of some notes at once, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            some = batch.slice(at, AT_ONCE)
+            yield list(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True))
+
+
 def fields(notes: DataFrame) -> DataFrame:
     """One row for each top-level header key of notes (path, text)."""
 
     def run(batches):
-        tagged = lambda t: pa.struct([("state", pa.string()), ("v", t)])
         text_map = pa.map_(pa.string(), pa.string())
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), tagged(pa.string()), tagged(text_map), tagged(pa.list_(pa.string())), tagged(pa.list_(text_map))]
+        plain, shapes = [pa.string(), pa.string(), pa.int32(), pa.int32()], [pa.string(), text_map, pa.list_(pa.string()), pa.list_(text_map)]
         as_map = lambda d: None if d is None else list(d.items())
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for key, line, n, s, m, ls, e in read_fields(text or ""):
-                    rows.append((path, key, line, n, dict(state=s[0], v=s[1]), dict(state=m[0], v=as_map(m[1])), dict(state=ls[0], v=ls[1]), dict(state=e[0], v=None if e[1] is None else [as_map(x) for x in e[1]])))
+        value = [lambda v: v, as_map, lambda v: v, lambda v: None if v is None else [as_map(x) for x in v]]
+        for some in _texts(batches):
+            rows = [(path, *x) for path, text in some for x in read_fields(text or "")]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["path", "key", "line", "occurrence", "scalar", "map", "list", "entries"])
+            arrays = [pa.array(c, t) for c, t in zip(cols, plain, strict=False)]
+            for c, t, told in zip(cols[4:], shapes, value, strict=True):
+                arrays.append(pa.StructArray.from_arrays([pa.array([x[0] for x in c], pa.string()), pa.array([told(x[1]) for x in c], t)], names=["state", "v"]))
+            yield pa.RecordBatch.from_arrays(arrays, names=["path", "key", "line", "occurrence", "scalar", "map", "list", "entries"])
 
-    return notes.select("path", "text").mapInArrow(run, FIELDS_SCHEMA)
+    return spread(notes.select("path", "text"), "path").mapInArrow(run, FIELDS_SCHEMA)
 
 
 def dangling_of(text: str) -> list[tuple[str, int, str | None]]:
@@ -206,16 +218,14 @@ def dangling_items(notes: DataFrame) -> DataFrame:
     """path, key, line, owner of the list items of notes that hang under a scalar."""
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(path, *x) for x in dangling_of(text or "")]
+        for some in _texts(batches):
+            rows = [(path, *x) for path, text in some for x in dangling_of(text or "")]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             types = [pa.string(), pa.string(), pa.int32(), pa.string()]
             arrays = [pa.array(c, x) for c, x in zip(cols, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["path", "key", "line", "owner"])
 
-    return notes.select("path", "text").mapInArrow(run, "path string, key string, line int, owner string")
+    return spread(notes.select("path", "text"), "path").mapInArrow(run, "path string, key string, line int, owner string")
 
 
 def strip_code(text: str) -> str:
@@ -296,15 +306,15 @@ def links(notes: DataFrame) -> DataFrame:
     """path, line, label, raw of every inline link of notes, code left out."""
 
     def run(batches):
-        for batch in batches:
+        for some in _texts(batches):
             rows = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, text in some:
                 bare = strip_code(text or "")
                 rows += [(path, bare.count("\n", 0, at) + 1, label, raw) for label, raw, at in scan_links(bare)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["path", "line", "label", "raw"])
 
-    return notes.select("path", "text").mapInArrow(run, "path string, line int, label string, raw string")
+    return spread(notes.select("path", "text"), "path").mapInArrow(run, "path string, line int, label string, raw string")
 
 
 def wikilinks(text: Column) -> Column:
@@ -332,15 +342,19 @@ def table_rows(lines: DataFrame, key: str) -> DataFrame:
     """From lines (key, line, raw): key, table (its header's line), line, kind (header or row), cells.
 
     A header is a line with a pipe over a delimiter row; data runs until a line without a pipe or the next header.
+    Lines that bring the lines before and next to them may be those with a pipe alone.
     """
     w = Window.partitionBy(key).orderBy("line")
-    piped = lines.withColumn("next", F.lead("raw").over(w)).withColumn("before", F.lag("raw").over(w))
+    piped = lines if {"before", "next"} <= set(lines.columns) else lines.withColumn("next", F.lead("raw").over(w)).withColumn("before", F.lag("raw").over(w))
+    piped = piped.where(F.contains("raw", F.lit("|")))
     head = F.contains("raw", F.lit("|")) & F.coalesce(is_delimiter_row(F.col("next")), F.lit(False)) & ~is_delimiter_row(F.col("raw"))
     piped = piped.withColumn("head", head)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     piped = piped.withColumn("table", F.last(F.when(F.col("head"), F.col("line")), ignorenulls=True).over(back))
-    piped = piped.withColumn("gap", F.last(F.when(~F.contains("raw", F.lit("|")), F.col("line")), ignorenulls=True).over(back))
-    inside = F.col("table").isNotNull() & (F.col("gap").isNull() | (F.col("gap") < F.col("table"))) & ~is_delimiter_row(F.col("raw"))
+    # A run of lines with a pipe begins where the line before has none; its table, if any, begins in it.
+    begins = ~F.coalesce(F.contains("before", F.lit("|")), F.lit(False))
+    piped = piped.withColumn("run", F.last(F.when(begins, F.col("line")), ignorenulls=True).over(back))
+    inside = F.col("table").isNotNull() & (F.col("table") >= F.col("run")) & ~is_delimiter_row(F.col("raw"))
     return piped.where(inside).select(key, "table", "line", F.when(F.col("head"), "header").otherwise("row").alias("kind"), table_cells(F.col("raw")).alias("cells"), "before")
 
 

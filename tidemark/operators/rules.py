@@ -16,7 +16,7 @@ from tidemark.functions import dates as D
 from tidemark.functions import paths as P
 
 from . import notes as N
-from .staging import stage
+from .staging import spread, stage
 
 RULES: dict[str, Callable[[Context], DataFrame]] = {}
 STATUSES = ("draft", "stable", "deprecated")
@@ -44,9 +44,21 @@ class Context:
     def lines(self) -> DataFrame:
         return self.markdown.select("path", F.posexplode(F.split("text", "\n")).alias("at", "raw")).select("path", (F.col("at") + 1).alias("line"), "raw")
 
+    def piped_lines(self) -> DataFrame:
+        """The lines with a pipe, each with the lines before and next to it."""
+        piped = spread(self.markdown.where(F.contains("text", F.lit("|"))).select("path", "text"), "path").select("path", F.split("text", "\n").alias("all"))
+        placed = F.transform("all", lambda raw, i: F.struct((i + 1).alias("line"), raw.alias("raw"), F.get("all", i - 1).alias("before"), F.get("all", i + 1).alias("next")))
+        return piped.select("path", F.inline(F.filter(placed, lambda x: F.contains(x["raw"], F.lit("|")))))
+
     def of(self, key: str) -> DataFrame:
         """All notes with one field: its columns are null where the key is absent."""
-        return self.notes.select("path").join(self.first.where(F.col("key") == key), "path", "left")
+        return self.notes.select("path").join(large(self.first.where(F.col("key") == key)), "path", "left")
+
+
+def large(df: DataFrame) -> DataFrame:
+    """A side of a join that may be as large as all notes: what their texts hold shows in no estimate from stored bytes,
+    by which it would be broadcast."""
+    return df.hint("merge")
 
 
 def rule(name: str):
@@ -158,7 +170,7 @@ def unique_keys(c: Context) -> DataFrame:
 def required_fields(c: Context) -> DataFrame:
     keys = c.config.get("required", [])
     wanted = c.notes.select("path", F.explode(F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")).alias("key"))
-    j = wanted.join(c.first.select("path", "key", "line", "scalar", "map", "list", "entries"), ["path", "key"], "left")
+    j = wanted.join(large(c.first.select("path", "key", "line", "scalar", "map", "list", "entries").where(F.col("key").isin(keys))), ["path", "key"], "left")
     blank = lambda n: F.coalesce(F.col(f"{n}.state") == N.VALUE, F.lit(False))
     filled = (blank("scalar") & (F.trim("scalar.v") != "")) | (blank("map") & (F.size("map.v") > 0)) | (blank("list") & (F.size("list.v") > 0)) | (blank("entries") & (F.size("entries.v") > 0))
     any_read = blank("scalar") | blank("map") | blank("list") | blank("entries")
@@ -191,17 +203,19 @@ def kind_ok(value: Column, kind: str, options: list[str] | None = None) -> Colum
 
 @rule("extension-fields")
 def extension_fields(c: Context) -> DataFrame:
-    out = None
-    for key, spec in c.config.get("extensions", {}).items():
-        f = c.first.where(F.col("key") == key)
-        one = found(f, "extension-fields", F.when(_unreadable("scalar"), "shape-readable").when(~kind_ok(_scalar(), spec["kind"], spec.get("options")), F.lit(f"{spec['kind']}-value")), F.when(_unreadable("scalar"), "should").otherwise("house"), F.col("line"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else found(c.first.where("false"), "extension-fields", "none", "house")
-
-
-def resolved_links(c: Context) -> DataFrame:
-    """path, line, raw, dst (null: outside) of internal links, wikilinks left out."""
-    ln = N.links(c.markdown).where(~P.is_external(F.col("raw")) & ~F.startswith("raw", F.lit("#")))
+    specs = c.config.get("extensions", {})
+    if not specs:
+        return found(c.first.where("false"), "extension-fields", "none", "house")
+    check = F.when(_unreadable("scalar"), "shape-readable")
+    for key, spec in specs.items():
+        check = check.when((F.col("key") == key) & ~kind_ok(_scalar(), spec["kind"], spec.get("options")), F.lit(f"{spec['kind']}-value"))
+    held = c.first.where(F.col("key").isin(list(specs)))
+    return found(held, "extension-fields", check, F.when(_unreadable("scalar"), "should").otherwise("house"), F.col("line"))
+
+
+def resolved_links(c: Context, only: Column | None = None) -> DataFrame:
+    """path, line, raw, dst (null: outside) of internal links of all notes or those chosen, wikilinks left out."""
+    ln = N.links(c.markdown if only is None else c.markdown.where(only)).where(~P.is_external(F.col("raw")) & ~F.startswith("raw", F.lit("#")))
     return ln.withColumn("dst", P.resolve(F.col("path"), P.path_part(F.col("raw"))))
 
 
@@ -217,7 +231,7 @@ def target_states(c: Context) -> DataFrame:
     """Links with the state of their target: in-walk, directory, absent or outside."""
     files = c.files.select(F.col("path").alias("dst"), F.lit(True).alias("is_file")).distinct()
     folders = c.files.select(F.explode(P.ancestors(F.col("path"))).alias("dst")).distinct().withColumn("is_dir", F.lit(True))
-    j = resolved_links(c).join(files, "dst", "left").join(folders, "dst", "left")
+    j = resolved_links(c).join(large(files), "dst", "left").join(large(folders), "dst", "left")
     return j.withColumn("state", F.when(F.col("dst").isNull(), "outside").when(F.col("is_file") | (F.col("dst") == ""), "in-walk").when(F.col("is_dir"), "directory").otherwise("absent"))
 
 
@@ -228,7 +242,7 @@ def link_target_exists(c: Context) -> DataFrame:
 
 @rule("no-wikilinks")
 def no_wikilinks(c: Context) -> DataFrame:
-    bare = c.markdown.select("path", F.posexplode(F.split(N.code_stripped("text"), "\n")).alias("at", "raw"))
+    bare = spread(c.markdown.select("path", "text"), "path").select("path", F.posexplode(F.split(N.code_stripped("text"), "\n")).alias("at", "raw"))
     return found(bare.where(F.size(N.wikilinks(F.col("raw"))) > 0), "no-wikilinks", "no-wikilinks", "house", F.col("at") + 1)
 
 
@@ -241,9 +255,10 @@ def root_version(c: Context) -> DataFrame:
 @rule("index-completeness")
 def index_completeness(c: Context) -> DataFrame:
     folders = c.notes.select(F.explode(P.ancestors(F.col("path"))).alias("folder")).distinct()
-    missing = folders.withColumn("path", F.concat("folder", F.lit("/index.md"))).join(c.files.select("path"), "path", "left_anti")
+    missing = folders.withColumn("path", F.concat("folder", F.lit("/index.md"))).join(large(c.files.select("path")), "path", "left_anti")
     first = c.notes.select(F.explode(P.ancestors(F.col("path"))).alias("folder")).where(~F.contains("folder", F.lit("/"))).distinct()
-    linked = resolved_links(c).where("path = 'index.md'").select(F.regexp_replace("dst", r"/index\.md\z", "").alias("folder")).distinct()
+    # The root's index alone is parsed for links; its path tells it before the text is read.
+    linked = resolved_links(c, F.col("path") == "index.md").select(F.regexp_replace("dst", r"/index\.md\z", "").alias("folder")).distinct()
     unlinked = first.join(linked, "folder", "left_anti").withColumn("path", F.lit("index.md"))
     return found(missing, "index-completeness", "folder-index", "warn").unionByName(found(unlinked, "index-completeness", "root-links-folder", "warn"))
 
@@ -261,7 +276,7 @@ def tolerated(findings: DataFrame, c: Context, keys: list[str]) -> DataFrame:
 def columns(c: Context) -> DataFrame:
     """The first difference between a configured heading list and the first table's header."""
     wanted = c.config.get("columns", {})
-    heads = N.table_rows(c.lines(), "path").where("kind = 'header'")
+    heads = N.table_rows(c.piped_lines(), "path").where("kind = 'header'")
     first = heads.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("line"))).where("r = 1")
     out = None
     for path, names in wanted.items():
@@ -274,14 +289,17 @@ def columns(c: Context) -> DataFrame:
 
 @rule("tables")
 def tables(c: Context) -> DataFrame:
-    rows = N.table_rows(c.lines(), "path")
-    blank = found(rows.where("kind = 'header'"), "tables", F.when(F.trim(F.coalesce("before", F.lit(""))) != "", "blank-line-before"), "warn", F.col("line"))
-    data = rows.where("kind = 'row'").withColumn("first", F.min("line").over(Window.partitionBy("path", "table", F.to_json("cells"))))
-    again = found(data, "tables", F.when(F.col("line") > F.col("first"), "duplicate-row"), "warn", F.col("line"))
+    """Tables without a blank line before them, rows told twice, cells past the limit, from one reading of the rows."""
+    rows = N.table_rows(c.piped_lines(), "path")
     most = c.config.get("max_cell", 200)
-    width = rows.where("kind = 'header'").select("path", "table", F.size("cells").alias("width"))
-    long = data.join(width, ["path", "table"]).where((F.size("cells") == F.col("width")) & F.exists("cells", lambda x: F.length(x) > most))
-    return blank.unionByName(again).unionByName(found(long, "tables", "long-cell", "warn", F.col("line")))
+    head = F.col("kind") == "header"
+    rows = rows.withColumn("width", F.max(F.when(head, F.size("cells"))).over(Window.partitionBy("path", "table")))
+    rows = rows.withColumn("first", F.min(F.when(~head, F.col("line"))).over(Window.partitionBy("path", "table", F.to_json("cells"))))
+    blank = F.when(head & (F.trim(F.coalesce("before", F.lit(""))) != ""), "blank-line-before")
+    again = F.when(~head & (F.col("line") > F.col("first")), "duplicate-row")
+    long = F.when(~head & (F.size("cells") == F.col("width")) & F.exists("cells", lambda x: F.length(x) > most), "long-cell")
+    told = rows.select("path", "line", F.explode(F.array_compact(F.array(blank, again, long))).alias("told"))
+    return found(told, "tables", F.col("told"), "warn", F.col("line"))
 
 
 @rule("confidential")
@@ -299,10 +317,11 @@ def confidential(c: Context) -> DataFrame:
 @rule("attribution")
 def attribution(c: Context) -> DataFrame:
     """Where a note has two sources or more: each has an id, each footnote names one, each is named."""
-    s = c.of("sources").where((F.col("entries.state") == N.VALUE) & (F.size("entries.v") >= 2)).select("path", "line", F.posexplode("entries.v").alias("at", "e")).withColumn("source", F.col("e")["id"])
+    s = c.of("sources").where((F.col("entries.state") == N.VALUE) & (F.size("entries.v") >= 2)).select("path", "line", F.posexplode("entries.v").alias("at", "e")).select("path", "line", F.col("e")["id"].alias("source"))
+    s = stage(s, "sources")  # read four times below, parsed once
     noid = found(s, "attribution", F.when(F.coalesce(F.trim("source"), F.lit("")) == "", "source-id"), "warn", F.col("line"))
-    notes = c.notes.join(s.select("path").distinct(), "path").select("path", F.explode(N.footnotes(F.col("text"))).alias("source")).distinct()
+    notes = c.notes.join(large(s.select("path").distinct()), "path").select("path", F.explode(N.footnotes(F.col("text"))).alias("source")).distinct()
     named = s.where("source is not null").select("path", "source", "line").distinct()
-    unknown = found(notes.join(named, ["path", "source"], "left_anti"), "attribution", "footnote-known", "warn")
-    unused = found(named.join(notes, ["path", "source"], "left_anti"), "attribution", "source-referenced", "warn", F.col("line"))
+    unknown = found(notes.join(large(named), ["path", "source"], "left_anti"), "attribution", "footnote-known", "warn")
+    unused = found(named.join(large(notes), ["path", "source"], "left_anti"), "attribution", "source-referenced", "warn", F.col("line"))
     return noid.unionByName(unknown).unionByName(unused)

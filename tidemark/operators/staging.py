@@ -25,6 +25,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows dealt by a key over a few tasks a core, before work whose time goes by rows.
+
+    A scan deals by stored bytes, so a table of some MB is one task, however much each of its rows costs.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """Adds name: the row's place, from 1, in the order of all rows, without a task that sees them all.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 
 from . import notes as N
-from .rules import Context, found
+from .rules import Context, found, large
 
 KINDS = ("boolean", "number", "date", "enum", "string")
 SETTINGS = "setting string, name string, kind string, options array<string>"
@@ -43,7 +43,7 @@ def user_fields(c: Context, settings: DataFrame) -> DataFrame:
     # Each required key of each note: the keys once, as one row.
     keys = of("required").agg(F.collect_set("s_name").alias("keys"))
     wanted = c.notes.select("path").join(F.broadcast(keys)).select("path", F.explode("keys").alias("key"))
-    held = wanted.join(c.first.select("path", "key", "line", "scalar", "map", "list", "entries"), ["path", "key"], "left")
+    held = wanted.join(large(c.first.select("path", "key", "line", "scalar", "map", "list", "entries")), ["path", "key"], "left")
     filled = (have("scalar") & (F.trim("scalar.v") != "")) | (have("map") & (F.size("map.v") > 0)) | (have("list") & (F.size("list.v") > 0)) | (have("entries") & (F.size("entries.v") > 0))
     read = have("scalar") | have("map") | have("list") | have("entries")
     check = F.when(F.col("line").isNull(), "field-present").when(~read, "shape-readable").when(~filled, "field-non-empty")

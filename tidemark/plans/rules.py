@@ -8,6 +8,7 @@ from tidemark.functions import text as T
 from tidemark.operators import notes as N
 from tidemark.operators import rules as R
 from tidemark.operators import user_fields as U
+from tidemark.operators.staging import spread
 
 from .tables import ORACLES, query
 
@@ -112,7 +113,7 @@ def links(t):
 
 @query("P16_wikilinks", f"SELECT {_P} AS path, unnest(list_value('wiki', 'wiki.md')) AS target FROM part WHERE p_partkey % 21 = 0")
 def wikilinks(t):
-    return vault(t).select("path", F.explode(N.wikilinks(N.code_stripped("text"))).alias("target"))
+    return spread(vault(t), "path").select("path", F.explode(N.wikilinks(N.code_stripped("text"))).alias("target"))
 
 
 @query("P17_footnotes", f"SELECT {_P} AS path, unnest(CASE WHEN p_partkey % 4 = 3 THEN list_value('s1', 's9') ELSE list_value('s1') END) AS id FROM part")
