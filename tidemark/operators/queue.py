@@ -27,18 +27,23 @@ def read_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("value") != "").select("value", bad.alias("bad"), get("id").alias("id"), get("text").alias("text"), F.try_to_date(get("createdOn"), "yyyy-MM-dd").alias("created_on"), get("status").alias("status"))
 
 
-def add(queue: DataFrame, new: DataFrame, today: Column, within_days: int) -> DataFrame:
-    """The queue with the new texts (text, seq): one a key, none that is open or was answered within so many days."""
+def new_questions(queue: DataFrame, new: DataFrame, today: Column, within_days: int) -> DataFrame:
+    """The rows that the new texts (text, seq) give: one a key, none that is open or was answered within so many days."""
     fresh = new.withColumn("normalized", T.normal_question(T.nfc("text"))).where("normalized <> ''")
     fresh = fresh.withColumn("r", F.row_number().over(Window.partitionBy("normalized").orderBy("seq"))).where("r = 1")
     known = queue.where((F.col("status") == OPEN) | ((F.col("status") == ANSWERED) & (F.datediff(today, "answered_on") <= within_days))).select("normalized").distinct()
     fresh = fresh.join(known, "normalized", "left_anti")
-    made = fresh.select(
+    return fresh.select(
         T.question_id(F.col("normalized")).alias("id"), "text", "normalized", today.alias("created_on"), F.array().cast("array<date>").alias("asked_on"), F.lit(OPEN).alias("status"),
         F.lit(None).cast("date").alias("answered_on"), F.lit(None).cast("date").alias("archived_on"), F.lit(None).cast("string").alias("archived_reason"),
     )
-    # An answered question asked anew later takes its old row's place.
-    return queue.join(made.select("id"), "id", "left_anti").unionByName(made)
+
+
+def add(queue: DataFrame, new: DataFrame, today: Column, within_days: int) -> DataFrame:
+    """The queue with the rows of `new_questions`."""
+    made = new_questions(queue, new, today, within_days)
+    # An answered question asked anew later takes its old row's place; another's id may be the same by chance.
+    return queue.join(made.select("id", "normalized"), ["id", "normalized"], "left_anti").select(*queue.columns).unionByName(made)
 
 
 def mark_asked(queue: DataFrame, ids: DataFrame, today: Column) -> DataFrame:

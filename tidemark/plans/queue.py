@@ -30,10 +30,11 @@ def questions(t):
 known AS (SELECT DISTINCT n FROM q WHERE NOT answered OR DATE '{TODAY}' - answered_on <= 10),
 x AS (SELECT DISTINCT {_N} AS n FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)) SELECT 'q-' || substr(sha256(n), 1, 8) AS id, n AS normalized FROM x WHERE n <> '' AND n NOT IN (SELECT n FROM known)""")
 def add(t):
-    """New texts that are neither open nor answered of late, one a key."""
+    """New texts that are neither open nor answered of late, one a key: the rows of the queue that are not as they were."""
     texts = t("documents").select("text", F.col("doc_id").alias("seq")).unionByName(t("benchmark").select("text", F.col("item_id").alias("seq")))
-    out = Q.add(questions(t), texts, _today(), 10)
-    return out.where(F.col("created_on") == _today()).where(~F.startswith("id", F.lit("q-0000"))).select("id", "normalized")
+    queue = questions(t)
+    out = Q.add(queue.withColumn("text", F.lit(None).cast("string")), texts, _today(), 10)
+    return out.where("text is not null").select("id", "normalized")
 
 
 @query("T17_sweep", f"SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'answered' WHEN DATE '{TODAY}' - (DATE '2024-01-01' + CAST(item_id AS INT)) > 160 THEN 'archived' ELSE 'open' END AS status, item_id % 3 <> 0 AND item_id % 4 >= 2 AS escalated FROM benchmark")
