@@ -5,6 +5,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import pii
 
 from .test_operators import spans_by_hand
@@ -113,3 +115,12 @@ def test_words_of_any_kind_beside_a_seed(spark):
     got = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ["doc_id"]).collect()
     spans = {x.doc_id: [tuple(s) for s in x.spans] for x in got}
     assert spans[30] == [(16, 0, 31)] and spans[61] == [(306, 0, 321)]
+
+
+def test_words_listed_already_are_not_met_again(spark):
+    """A context that holds almost only identifiers gives rows for its other words alone."""
+    docs = spark.createDataFrame([(i, f"reach mail n{i}@x{i}.org now") for i in range(200)] + [(200, "reach mail them now")], "doc_id long, text string")
+    found = pii.stage(pii._matches(docs, ["doc_id"]), "matches")
+    keys = found.where("kind = 4").select(F.explode("ctx").alias("ctx"), "anchor").distinct()
+    met = pii._in_contexts(docs, pii.stage(keys, "keys")).select("word").distinct()
+    assert [r.word for r in met.collect()] == ["them"]

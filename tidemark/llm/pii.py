@@ -184,7 +184,8 @@ def _matches(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _in_contexts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """ctx and word: the words of all texts that stand in one of the contexts of keys, a written table.
+    """ctx and word: the words without identifier shape of all texts that stand in one of the contexts of keys, a
+    written table. Those with it are listed already.
 
     Up to `LISTED` contexts are tested within a text's words, so that only words in them become rows; more are joined.
     """
@@ -196,18 +197,19 @@ def _in_contexts(docs: DataFrame, keys: DataFrame) -> DataFrame:
         among = f"IN ({', '.join(sorted({f'{r.ctx}L' for r in listed})) or 'NULL'})"
         anchors = f"IN ({', '.join(sorted({f'{r.anchor}L' for r in listed})) or 'NULL'})"
         # The word before is tested first: most places need no more.
-        here = f"""filter(sequence(1, greatest(size(w) - 1, 1)), p -> xxhash64(get(w, p - 1)) {anchors} AND (
+        here = f"""filter(sequence(1, greatest(size(w) - 1, 1)), p -> xxhash64(get(w, p - 1)) {anchors} AND NOT get(w, p) RLIKE '[0-9@]' AND (
             (p >= 2 AND xxhash64('2', get(w, p - 2), get(w, p - 1)) {among})
             OR (p + 1 < size(w) AND xxhash64('1', get(w, p - 1), get(w, p + 1)) {among})))"""
         rows = w.select("w", F.explode(F.expr(here)).alias("p")).select(F.get("w", F.col("p")).alias("word"), places)
         return rows.where(f"ctx {among}")
     keys = keys.select("ctx")
-    rows = w.select("w", F.posexplode("w").alias("p", "word")).select("word", places).where("ctx is not null")
+    rows = w.select("w", F.posexplode("w").alias("p", "word")).where(~F.rlike("word", F.lit("[0-9@]")))
+    rows = rows.select("word", places).where("ctx is not null")
     return rows.join(F.broadcast(keys), "ctx") if small(keys, 16) else rows.distinct().join(keys, "ctx")
 
 
 def _hopeful(docs: DataFrame, shaped: DataFrame) -> DataFrame:
-    """The contexts (ctx, anchor, n_shaped) whose words of identifier shape may be numerous enough.
+    """The contexts (ctx, anchor, n_shaped, n_bared) whose words of identifier shape may be numerous enough.
 
     A context has at least as many different words as in any part of the corpus, so one that fails on a part fails on
     all of it: small parts rule out the frequent contexts, larger ones see only the rarer, and no context that could
@@ -220,8 +222,9 @@ def _hopeful(docs: DataFrame, shaped: DataFrame) -> DataFrame:
     for part in PARTS:
         some = docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
         met = _in_contexts(some, left).groupBy("ctx").agg(bits)
-        seen = F.coalesce(F.bit_count("bits"), F.lit(0))
-        left = left.join(met, "ctx", "left").where(_may_pass(seen)).select("ctx", "anchor", "n_shaped")
+        # A word without the shape is none of the shaped ones but those that lost it with their closing punctuation.
+        seen = F.greatest(F.coalesce(F.bit_count("bits"), F.lit(0)) - F.col("n_bared"), F.lit(0)) + F.col("n_shaped")
+        left = left.join(met, "ctx", "left").where(_may_pass(seen)).select("ctx", "anchor", "n_shaped", "n_bared")
         left = stage(left, "hopeful")
     return left
 
@@ -244,9 +247,11 @@ def patterns(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     shaped = shaped.select(F.col("word").alias("inst"), "anchor", F.explode("ctx").alias("ctx")).distinct()
     shaped = shaped.join(maybe_broadcast(candidates.select("ctx").distinct(), 16), "ctx", "left_semi")
     shaped = stage(shaped, "shaped")
-    counted = shaped.groupBy("ctx", "anchor").agg(F.count("*").alias("n_shaped"))
+    bared = F.count_if(~F.rlike("inst", F.lit("[0-9@]"))).alias("n_bared")
+    counted = shaped.groupBy("ctx", "anchor").agg(F.count("*").alias("n_shaped"), bared)
     hopeful = _hopeful(docs, counted)
     met = _in_contexts(docs, hopeful).select("ctx", _plain(F.col("word")).alias("inst"))
+    met = met.unionByName(shaped.join(maybe_broadcast(hopeful.select("ctx"), 16), "ctx", "left_semi").select("ctx", "inst"))
     totals = met.distinct().groupBy("ctx").agg(F.count("*").alias("n")).join(hopeful, "ctx")
     totals = totals.where(_may_pass(F.col("n")))
     totals = stage(totals.join(candidates, "ctx").select("ctx", "kind", "n"), "totals")
