@@ -134,3 +134,13 @@ def test_no_whole_version_is_an_error_and_an_empty_state_is_none(spark, tmp_path
     state.write_state(spark.createDataFrame([], "n long"), path, 4)
     assert held(spark, path, schema="n long") == []
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_ranges_grow_with_what_is_read():
+    reader = formats.LineReader({"path": "x", "rangeBytes".lower(): "10"})
+    assert len(reader.spans([("a", 0, 1000)])) == 100
+    spans = reader.spans([("a", 0, 1_000_000), ("b", 500, 1_000_000)])
+    assert len(spans) <= formats.RANGES + 2
+    assert [(s.start, s.end) for s in spans if s.path == "b"][0][0] == 500 and spans[-1].end == 1_000_000
+    assert all(x.end == y.start for x, y in zip(spans, spans[1:], strict=False) if x.path == y.path)
+    assert len(reader.spans([("a", 0, 1 << 40)])) == (1 << 40) // formats.RANGE_BYTES

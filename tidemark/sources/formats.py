@@ -28,6 +28,8 @@ CHUNK = 256 << 10
 #: Characters of the longest line that is taken.
 MAX_LINE = 32 << 20
 RANGE_BYTES = 64 << 20
+#: Ranges grow with what is read, so that there are about so many at first, and none above `RANGE_BYTES` for it.
+RANGES = 200
 _LF = b"\n"
 
 
@@ -117,8 +119,10 @@ class _Lines:
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.sep = b"\0" if options.get("separator") == "nul" else _LF
 
-    def spans(self, path: str, start: int, end: int) -> list[Span]:
-        return [Span(path, a, min(end, a + self.range_bytes)) for a in range(start, end, self.range_bytes)]
+    def spans(self, parts: list[tuple[str, int, int]]) -> list[Span]:
+        """Ranges of files' parts (path, start, end), a task each."""
+        size = max(self.range_bytes, min(RANGE_BYTES, sum(end - start for _, start, end in parts) // RANGES))
+        return [Span(path, a, min(end, a + size)) for path, start, end in parts for a in range(start, end, size)]
 
     def read(self, part: Span) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -134,7 +138,7 @@ class _Lines:
 
 class LineReader(_Lines, DataSourceReader):
     def partitions(self) -> list[Span]:
-        return [s for path, size in sorted(listed(self.path).items()) for s in self.spans(path, 0, size)] or [Span("", 0, 0)]
+        return self.spans([(path, 0, size) for path, size in sorted(listed(self.path).items())]) or [Span("", 0, 0)]
 
     def read(self, part: Span):
         return super().read(part) if part.path else iter(())
@@ -161,7 +165,7 @@ class LineStream(_Lines, DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Span]:
         # After a restart this reader knows no ends; those of the checkpoint are the least.
         self.known = {**start["ends"], **end["ends"], **{p: max(e, self.known.get(p, 0)) for p, e in end["ends"].items()}}
-        return [s for path, stop in sorted(end["ends"].items()) for s in self.spans(path, start["ends"].get(path, 0), stop)]
+        return self.spans([(path, start["ends"].get(path, 0), stop) for path, stop in sorted(end["ends"].items())])
 
     def commit(self, end: dict) -> None:
         """Nothing is held for what is behind an offset."""
