@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 import time
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan as S
+from .staging import spread
 
 #: Tags of blocks that the harness writes into a message, tags around what a person typed, and beginnings
 #: of messages that no person wrote.
@@ -305,30 +305,35 @@ def read_to_end(calls: DataFrame, keys: list[str]) -> DataFrame:
     it asks the same; one that failed is taken over only by a retry of its very token. Items are unknown if any page's are.
     """
 
-    def chain(rows: list, start: int):
-        pages, at = [start], start
-        while rows[at].more:
-            step = next((i for i in range(at + 1, len(rows)) if rows[i].token), None)
-            if step is None or rows[step].asked != rows[start].asked:
-                return None
-            while not rows[step].ok:
-                again = next((i for i in range(step + 1, len(rows)) if rows[i].token), None)
-                if again is None or rows[again].token != rows[step].token or rows[again].asked != rows[start].asked:
-                    return None
-                step = again
-            pages.append(step)
-            at = step
-        return pages
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("seq").astype(object).where(pdf.notna(), None).itertuples())
-        found = (chain(rows, i) for i, r in enumerate(rows) if not r.token and r.ok)
-        pages = next((p for p in found if p is not None), None)
-        items = None if pages is None or any(rows[i].items is None for i in pages) else sum(rows[i].items for i in pages)
-        return pdf.head(1)[keys].assign(pages=len(pages) if pages else None, items=items)
+    def first(rows: list[dict]):
+        """Read from the end: from each page, how many pages there are to the last and their items."""
+        rows = sorted(rows, key=lambda r: (r["seq"] is None, r["seq"]))
+        n = len(rows)
+        ends, taken, later, best = [None] * n, [None] * n, None, (None, None)
+        for i in range(n - 1, -1, -1):
+            r = rows[i]
+            same = later is not None and rows[later]["asked"] == r["asked"]
+            if r["ok"] and not r["more"]:
+                ends[i] = (1, r["items"])
+            elif r["ok"] and same and taken[later] is not None:
+                pages, items = ends[taken[later]] or (None, None)
+                ends[i] = pages and (pages + 1, None if items is None or r["items"] is None else items + r["items"])
+            if not r["token"]:
+                best = ends[i] if r["ok"] and ends[i] else best
+                continue
+            taken[i] = i if r["ok"] else taken[later] if same and rows[later]["token"] == r["token"] else None
+            later = i
+        return best
+
+    def run(batches):
+        for batch in batches:
+            told = [first(rows) for rows in batch.column(len(keys)).to_pylist()]
+            arrays = [*batch.columns[: len(keys)], pa.array([x[0] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "pages", "items"])
 
     kinds = [f"{k} {calls.schema[k].dataType.simpleString()}" for k in keys]
-    return calls.groupBy(*keys).applyInPandas(one, ", ".join([*kinds, "pages long", "items long"]))
+    listed = spread(calls, *keys).groupBy(*keys).agg(F.collect_list(F.struct("seq", "token", "asked", "ok", "more", "items")))
+    return listed.mapInArrow(run, ", ".join([*kinds, "pages long", "items long"]))
 
 
 def mark_change(action: Column, day: Column, mark: Column, today: Column) -> Column:
