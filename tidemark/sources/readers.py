@@ -199,17 +199,18 @@ def parallel_records(tokens: DataFrame) -> DataFrame:
         return pa.table({"file": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int64()), "ends": pa.array([ends], pa.list_(pa.int32())), "last": pa.array([last], pa.list_(pa.int64()))})
 
     told = tokens.groupBy("file", "chunk").applyInArrow(maps, "file string, chunk long, ends array<int>, last array<long>")
-    in_order = F.array_sort(F.collect_list(F.struct("chunk", "ends", "last")))
-    none = F.lit(None).cast("long")
-    first = F.struct(F.lit(0).alias("state"), none.alias("record"), F.array().cast("array<struct<chunk:bigint,state:int,record:bigint>>").alias("starts"))
-
-    def compose(a, m):
-        here = F.struct(m["chunk"].alias("chunk"), a["state"].alias("state"), a["record"].alias("record"))
-        state = F.when(a["state"] < 0, F.lit(-1)).otherwise(F.get(m["ends"], a["state"]))
-        record = F.when(a["state"] < 0, a["record"]).otherwise(F.coalesce(F.get(m["last"], a["state"]), a["record"]))
-        return F.struct(state.alias("state"), record.alias("record"), F.concat(a["starts"], F.array(here)).alias("starts"))
-
-    starts = told.groupBy("file").agg(F.aggregate(in_order, first, compose, lambda a: a["starts"]).alias("s")).select("file", F.inline_outer("s"))
+    def compose(key, table):
+        table = table.sort_by("chunk")
+        states, records, state, record = [], [], 0, None
+        for ends, last in zip(table.column("ends").to_pylist(), table.column("last").to_pylist(), strict=True):
+            states.append(state)
+            records.append(record)
+            if state >= 0:
+                record = record if last[state] is None else last[state]
+                state = ends[state]
+        return pa.table({"file": table.column("file"), "chunk": table.column("chunk"), "state": pa.array(states, pa.int32()), "record": pa.array(records, pa.int64())})
+
+    starts = told.groupBy("file").applyInArrow(compose, "file string, chunk long, state int, record long")
 
     def named(key, table):
         table = table.sort_by("place")
