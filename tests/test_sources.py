@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import readers
@@ -141,3 +142,29 @@ def test_the_expiring_queue(spark, tmp_path):
     got, keys = run([("t", None, "2026-02-10 08:00:00", "asked"), ("r", "R?", "2026-02-10 08:00:00", "add")])
     assert ("q", "expired", 2, "archived", False) in got and keys == {"r", "t"}
     assert ("r", "added", 0, "open", False) in got and sum(x[:2] == ("r", "added") for x in got) == 2
+
+
+def test_files_of_any_name_are_written_once(spark, tmp_path):
+    """One file a name, in a bounded number of folders, whatever the name; lines in order, nothing half written left."""
+    names = ["a/b", ".x", "_y", "é %41+ 1", "file=z", "", None, "..", *map(str, range(2000))]
+    rows = [(n, i, None if i == 2 else f"{n} {i}") for i in (3, 0, 2, 1) for n in names]
+    lines = spark.createDataFrame(rows, "file string, at int, value string")
+    path = f"{tmp_path}/out"
+    readers.write_files(lines, path, "at", "value")
+    found = [x for x in (tmp_path / "out").rglob("*") if x.is_file()]
+    assert len(found) == len(names) - 1 and not any(x.name.startswith(".") for x in found)
+    assert len({x.parent for x in found}) <= readers.FOLDERS
+    read = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    got = {r.name: r.value for r in read.select(readers.file_name().alias("name"), "value").collect()}
+    want = {n: "".join(f"{n} {i}\n" for i in (0, 1, 3)) for n in names if n}
+    assert got == {**want, "": " 0\nNone 0\n 1\nNone 1\n 3\nNone 3\n"}
+    with pytest.raises(ValueError, match="exists"):
+        readers.write_files(lines, path)
+
+
+def test_configuration_is_read_from_one_file_a_name(spark, tmp_path):
+    made = spark.range(300).selectExpr("id as file", "if(id % 3 = 0, 'not json', concat('{', chr(10), '\"id\": ', id % 2, '}')) as value")
+    readers.write_files(made, f"{tmp_path}/config")
+    read = readers.read_config(spark, f"{tmp_path}/config", {"type": "object", "properties": {"id": {"minimum": 1}}})
+    got = {int(r.name): r.problems for r in read.select(readers.file_name("file").alias("name"), "problems").collect()}
+    assert got == {i: ["$: not JSON"] if i % 3 == 0 else [] if i % 2 else ["$.id: must be >= 1"] for i in range(300)}

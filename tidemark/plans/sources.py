@@ -169,10 +169,10 @@ def config(t):
     path, k = _folder(t, "config"), F.col("s_suppkey")
     texts = [*(d[0] for d in DOCUMENTS), "not json"]
     value = F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int"))
-    t("supplier").select("s_suppkey", value.alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    readers.write_files(t("supplier").select(k.alias("file"), value.alias("value")), path)
     read = readers.read_config(t.spark, path, SCHEMA)
     told = F.array_join(F.array_sort("problems"), ";")
-    return read.select(F.regexp_extract("file", r"/s_suppkey=(\d+)/", 1).cast("long").alias("s_suppkey"), told.alias("problems"))
+    return read.select(readers.file_name("file").cast("long").alias("s_suppkey"), told.alias("problems"))
 
 
 @query("S21_digests", "SELECT conv_id, count(*) AS lines FROM (SELECT conv_id, unnest(string_split(role || ': ' || coalesce(replace(text, chr(13), ''), ''), chr(10))) FROM conversations WHERE text IS NOT NULL) GROUP BY 1")
@@ -182,8 +182,8 @@ def digests(t):
     text = F.translate("text", "\r", "")
     messages = t("conversations").where("text is not null").select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), "role", text.alias("text"))
     readers.write_digests(messages, path)
-    read = t.spark.read.text(path)
-    return read.groupBy(F.col("session").cast("long").alias("conv_id")).agg(F.count("*").alias("lines"))
+    read = t.spark.read.option("recursiveFileLookup", True).text(path)
+    return read.groupBy(readers.file_name().cast("long").alias("conv_id")).agg(F.count("*").alias("lines"))
 
 
 @query("S09_calendar_plan", "SELECT s_suppkey, n_name AS calendar, CAST(DATE '2024-01-01' + CAST(s_suppkey % 20 AS INT) AS VARCHAR) || 'T00:00:00' AS starts, CAST(DATE '2024-01-08' + CAST(s_suppkey % 20 AS INT) AS VARCHAR) || 'T00:00:00' AS ends FROM supplier JOIN nation ON n_nationkey % 5 = s_suppkey % 5")
