@@ -168,3 +168,10 @@ def test_configuration_is_read_from_one_file_a_name(spark, tmp_path):
     read = readers.read_config(spark, f"{tmp_path}/config", {"type": "object", "properties": {"id": {"minimum": 1}}})
     got = {int(r.name): r.problems for r in read.select(readers.file_name("file").alias("name"), "problems").collect()}
     assert got == {i: ["$: not JSON"] if i % 3 == 0 else [] if i % 2 else ["$.id: must be >= 1"] for i in range(300)}
+
+
+def test_logs_below_folders_are_read(spark, tmp_path):
+    lines = spark.range(40).selectExpr("id % 20 as file", "id as turn", """concat('{"k": ', id, '}') as value""")
+    readers.write_files(lines, f"{tmp_path}/sessions", "turn")
+    read = readers.json_lines(spark, f"{tmp_path}/sessions").select(readers.file_name("file").cast("int").alias("name"), "value")
+    assert sorted(tuple(r) for r in read.collect()) == sorted((i % 20, f'{{"k": {i}}}') for i in range(40))

@@ -103,10 +103,10 @@ def transcripts(t):
     at = F.concat(F.lit("2026-01-01T00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(":00Z"))
     plain = F.to_json(F.struct(F.col("role").alias("type"), at.alias("timestamp"), (F.col("turn") % 5 == 4).alias("isMeta"), F.col("conv_id").alias("c"), F.struct(F.col("text").alias("content")).alias("message")))
     listed = F.to_json(F.struct(F.col("role").alias("type"), at.alias("timestamp"), (F.col("turn") % 5 == 4).alias("isMeta"), F.col("conv_id").alias("c"), F.struct(block.alias("content")).alias("message")))
-    lines = t("conversations").where("text is not null").select("conv_id", F.when(F.col("role") == "assistant", listed).otherwise(plain).alias("value"))
-    lines.repartition("conv_id").write.partitionBy("conv_id").text(path)
+    lines = t("conversations").where("text is not null").select(F.col("conv_id").alias("file"), "turn", F.when(F.col("role") == "assistant", listed).otherwise(plain).alias("value"))
+    readers.write_files(lines, path, "turn")
     read = readers.transcript(readers.json_lines(t.spark, path))
-    conv = F.regexp_extract("file", r"/conv_id=(-?\d+)/", 1).cast("long")
+    conv = readers.file_name("file").cast("long")
     return read.groupBy(conv.alias("conv_id"), "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
