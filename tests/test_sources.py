@@ -175,3 +175,13 @@ def test_logs_below_folders_are_read(spark, tmp_path):
     readers.write_files(lines, f"{tmp_path}/sessions", "turn")
     read = readers.json_lines(spark, f"{tmp_path}/sessions").select(readers.file_name("file").cast("int").alias("name"), "value")
     assert sorted(tuple(r) for r in read.collect()) == sorted((i % 20, f'{{"k": {i}}}') for i in range(40))
+
+
+def test_digests_are_one_file_a_session(spark, tmp_path):
+    """Folders do not grow with the sessions; a message without text is no line."""
+    said = spark.range(6000).selectExpr("id % 1500 as session", "-id as at", "'user' as role", "if(id % 1500 = 7, null, cast(id as string)) as text")
+    readers.write_digests(said, f"{tmp_path}/out")
+    found = [x for x in (tmp_path / "out").rglob("*") if x.is_file()]
+    assert len(found) == 1500 and len({x.parent for x in found}) <= readers.FOLDERS
+    texts = {x.name: x.read_text() for x in found}
+    assert texts["file=3"] == "user: 4503\nuser: 3003\nuser: 1503\nuser: 3\n" and texts["file=7"] == ""
