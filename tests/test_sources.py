@@ -1,6 +1,7 @@
 """Readers, the push record source and the streaming queue, on small inputs of their own."""
 
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,59 @@ def test_digests_are_one_file_a_session(spark, tmp_path):
     assert len(found) == 1500 and len({x.parent for x in found}) <= readers.FOLDERS
     texts = {x.name: x.read_text() for x in found}
     assert texts["file=3"] == "user: 4503\nuser: 3003\nuser: 1503\nuser: 3\n" and texts["file=7"] == ""
+
+
+class _Counted:
+    """One key's state and timers, counting calls: each is a message between the worker and the JVM."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, []
+
+    def variable(self, name):
+        outer, own = self, self.values
+
+        class Variable:
+            def __getattr__(self, call):
+                def one(*args):
+                    outer.calls += 1
+                    if call in ("update", "updateValue"):
+                        own[name] = args[0] if call == "update" else {*own.get(name, ()), args[0]}
+                    elif call == "clear":
+                        own.pop(name, None)
+                    return {"get": own.get(name), "keys": iter(own.get(name, ())), "exists": name in own, "containsKey": bool(args) and args[0] in own.get(name, ())}.get(call)
+
+                return one
+
+        return Variable()
+
+    def getValueState(self, name, *schema):
+        return self.variable(name)
+
+    getMapState = getValueState
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_keys_state_is_read_and_written_once_a_batch():
+    handle, made = _Counted(), jobs.QuestionProcessor(7, 1, 3)
+    made.init(handle)
+    at = datetime(2026, 1, 1)
+    rows = [{"at": at, "text": " Q? ", "action": "add"}] + [{"at": at + timedelta(hours=i), "text": None, "action": "asked"} for i in range(1, 100)]
+    said = [(r.said, r.asked) for r in made.handleInputRows(("q",), iter(rows), None)]
+    assert said.count(("marked", 5)) == 1 and len([x for x in said if x[0] == "already"]) == 94 and handle.calls < 20
+    more = [{"at": at + timedelta(days=d), "text": None, "action": a} for d, a in ((4, "asked"), (5, "asked"), (6, "answer"))]
+    assert [(r.said, r.asked) for r in made.handleInputRows(("q",), iter(more), None)] == [("already", 5), ("marked", 6), ("answered", 6)]
+    assert handle.values["closed"] == ("answered", at.date() + timedelta(days=6)) and len(handle.timers) == 1
+    again = [{"at": at + timedelta(days=9), "text": "Q", "action": "add"}, {"at": at + timedelta(days=9), "text": None, "action": "asked"}, {"at": at + timedelta(days=9), "text": None, "action": "archive"}]
+    assert [(r.said, r.asked) for r in made.handleInputRows(("q",), iter(again), None)] == [("added", 0), ("marked", 1), ("archived", 1)]
+    assert handle.values == {}

@@ -112,51 +112,77 @@ class QuestionProcessor(StatefulProcessor):
         self.asked.clear()
         self.closed.clear()
 
-    def _told(self, key, status: str, said: str, closed: date | None = None) -> Row:
-        text, created = self.question.get()
-        times = sum(1 for _ in self.asked.keys()) if self.asked.exists() else 0
-        escalated = status == "open" and times >= self.escalate_after
-        return Row(normalized=key[0], text=text, created=created, asked=times, status=status, escalated=escalated, said=said, closed=closed)
+    def _held(self) -> tuple:
+        """The question (text, created), the days it was asked on, and how it was closed; None where there is none."""
+        question = self.question.get()
+        return question, {x[0] for x in self.asked.keys()} if question else set(), self.closed.get() if question else None
+
+    def _told(self, key, question, days: set, status: str, said: str, closed: date | None = None) -> Row:
+        text, created = question
+        escalated = status == "open" and len(days) >= self.escalate_after
+        return Row(normalized=key[0], text=text, created=created, asked=len(days), status=status, escalated=escalated, said=said, closed=closed)
 
     def handleInputRows(self, key, rows, timerValues):
+        """Each call of the state is a message to the JVM: it is read once and written once for all rows of a key."""
+        question, days, closed = self._held()
+        before, until = (question, frozenset(days), closed), None
         for r in sorted(rows, key=lambda x: x["at"]):
             day = r["at"].date()
-            held = self.question.exists()
-            closed = self.closed.get() if self.closed.exists() else None
-            is_open = held and closed is None
+            is_open = question is not None and closed is None
             if r["action"] == "add":
                 if is_open:
-                    yield self._told(key, "open", "duplicate_open")
+                    yield self._told(key, question, days, "open", "duplicate_open")
                 elif closed and (day - closed[1]).days <= self.dedup_days:
-                    yield self._told(key, "answered", "duplicate_answered", closed[1])
+                    yield self._told(key, question, days, "answered", "duplicate_answered", closed[1])
                 else:
-                    self._forget()
-                    self.question.update((r["text"].strip(), day))
-                    self._timer(day + timedelta(days=self.max_age_days + 1))
-                    yield self._told(key, "open", "added")
+                    question, days, closed = (r["text"].strip(), day), set(), None
+                    until = day + timedelta(days=self.max_age_days + 1)
+                    yield self._told(key, question, days, "open", "added")
             elif not is_open:
-                if held:
-                    yield self._told(key, closed[0], "not_open", closed[1])
+                if question is not None:
+                    yield self._told(key, question, days, closed[0], "not_open", closed[1])
                 else:
                     yield Row(normalized=key[0], text=None, created=None, asked=0, status=None, escalated=False, said="unknown", closed=None)
             elif r["action"] == "asked":
-                again = self.asked.exists() and self.asked.containsKey((day,))
-                if not again:
-                    self.asked.updateValue((day,), (1,))
-                yield self._told(key, "open", "already" if again else "marked")
+                again = day in days
+                days.add(day)
+                yield self._told(key, question, days, "open", "already" if again else "marked")
             elif r["action"] == "answer":
-                self.closed.update(("answered", day))
-                self._timer(day + timedelta(days=self.dedup_days + 1))
-                yield self._told(key, "answered", "answered", day)
+                closed = ("answered", day)
+                until = day + timedelta(days=self.dedup_days + 1)
+                yield self._told(key, question, days, "answered", "answered", day)
             elif r["action"] == "archive":
-                yield self._told(key, "archived", "archived", day)
+                yield self._told(key, question, days, "archived", "archived", day)
+                question, days, closed = None, set(), None
+        self._keep(before, question, days, closed)
+        if until is not None:
+            self._timer(until)
+
+    def _keep(self, before: tuple, question, days: set, closed) -> None:
+        """Write what differs from before."""
+        if question is None:
+            if before[0] is not None:
                 self._forget()
+            return
+        if before[1] - days:
+            self.asked.clear()
+            before = (before[0], frozenset(), before[2])
+        for day in sorted(days - before[1]):
+            self.asked.updateValue((day,), (1,))
+        if question != before[0]:
+            self.question.update(question)
+        if closed is None and before[2] is not None:
+            self.closed.clear()
+        elif closed != before[2]:
+            self.closed.update(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.question.exists() and not self.closed.exists():
+        question, days, closed = self._held()
+        if question is not None and closed is None:
             day = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, tz=UTC).date()
-            yield self._told(key, "archived", "expired", day)
-        self._forget()
+            yield self._told(key, question, days, "archived", "expired", day)
+        if question is not None:
+            self._forget()
 
     def close(self) -> None:
         """Nothing is held outside the state."""
