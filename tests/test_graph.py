@@ -41,6 +41,16 @@ def test_a_long_chain_takes_few_rounds(spark):
     assert got.count() == 2 * n + 1 and len(calls) < 40
 
 
+def test_many_histories_that_end_are_not_contracted(spark):
+    """300 chains of up to 15 links, fewer and fewer of each length: some rounds more, none of them rewrites the links."""
+    lengths = [max(k for k in range(26) if i <= 300 * 0.7**k) for i in range(1, 301)]
+    edges = [(100 * i + k, 100 * i + k + 1) for i, n in enumerate(lengths) for k in range(n)]
+    calls = []
+    roots = spark.createDataFrame([(100 * i,) for i in range(300)], "node long")
+    got = graph.reached(spark.createDataFrame(edges, "src long, dst long"), roots, lambda x, name: calls.append(name) or stage(x, name), plain=3)
+    assert got.count() == sum(lengths) + 300 and "groups" not in calls
+
+
 def test_shortcuts_cross_what_cannot_be_contracted(spark):
     """Each node links to the next two: no node has one link to it, none is linked both ways."""
     n = 3000

@@ -1,7 +1,8 @@
 """Reachability and common ancestors on edge tables, in few rounds for long paths.
 
-The first rounds go one link at a time, which is all that most graphs need. A graph that is not done by then is
-contracted: nodes that link to each other, and nodes that only one other links to (roots but for), are reached
+The first rounds go one link at a time, which is all that most graphs need. A round that finds at most `SHRINKS` of what
+the one before found does not count: many short histories end so, sooner than a contraction pays. A graph that is not
+done after `PLAIN` others is contracted: nodes that link to each other, and nodes that only one other links to (roots but for), are reached
 exactly when their like are, so each connected group of them becomes one node; groups are found by alternating stars,
 in rounds that grow with the logarithm of a group. Chains, trees and journals whose days link both ways vanish so.
 After `DEPTH` contractions shortcuts are added: from each node its greatest and its least successor are followed 1, 2,
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 PLAIN = 9
 KEEP = 6
 DEPTH = 3
+SHRINKS = 0.8
 
 
 def _doubled(edges: DataFrame, stage: Callable) -> DataFrame:
@@ -65,19 +67,19 @@ def reached(edges: DataFrame, roots: DataFrame, stage: Callable, plain: int = PL
     labels = [c for c in roots.columns if c != "node"]
     seen = frontier = roots = stage(roots.distinct(), "roots")
     edges = stage(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    rounds, parts = 0, [seen]
-    while not frontier.isEmpty():
-        if rounds == plain and depth > 0:
-            return _contracted(edges, roots, stage, plain, depth)
-        if rounds == plain:
-            edges, frontier = _doubled(edges, stage), seen  # shortcuts start anywhere
+    slow, parts, last, jumped = -1, [seen], 0, False
+    while size := frontier.count():
+        slow, last = slow + (size > SHRINKS * last), size
+        if slow >= plain and not jumped:
+            if depth > 0:
+                return _contracted(edges, roots, stage, plain, depth)
+            edges, frontier, jumped = _doubled(edges, stage), seen, True  # shortcuts start anywhere
         step = edges.join(frontier, edges["src"] == frontier["node"]).select(*labels, F.col("dst").alias("node")).distinct()
         frontier = stage(step.join(seen, [*labels, "node"], "left_anti"), "frontier")
         parts.append(frontier)
         if len(parts) > KEEP:
             parts = [stage(_union(parts), "seen")]
         seen = _union(parts)
-        rounds += 1
     return seen
 
 
