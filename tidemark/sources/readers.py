@@ -267,8 +267,8 @@ def read_config(spark: SparkSession, path: str, schema: dict) -> DataFrame:
 def write_files(lines: DataFrame, path: str, *order: str | Column) -> None:
     """A text file for each name in lines (file, value), its lines in order; a null value is no line, a null name empty.
 
-    A writer partitioned by name makes, renames and lists a folder for each, by a task and the driver; here all tasks
-    write, each file once. Files lie in folders by a hash of their names (`file_name` gives the name back). A file is
+    A writer partitioned by name makes, renames and lists a folder for each, in as few tasks as the bytes need; here all
+    tasks write, each file once. Files lie in folders by a hash of their names (`file_name` gives the name back). A file is
     written under a hidden name and moved when it is whole, so a task that is run again leaves the same files.
     """
     where, root = formats.opened(path)
