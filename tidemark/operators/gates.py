@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import time
 
@@ -47,14 +49,19 @@ _KINDS = {"object": "OBJECT<", "array": "ARRAY<", "string": "STRING", "boolean":
 def _is_kind(v: Column, kind: str) -> Column:
     told = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
     if kind in ("number", "integer"):
-        number = told.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(told, F.lit("DECIMAL"))
         value = F.try_variant_get(v, "$", "double")
-        return number & (F.lit(kind == "number") | (value == F.floor(value)))
+        return _is_number(v) & ((value % 1 == 0) if kind == "integer" else (F.abs(value) < math.inf))
     if kind in ("object", "array"):
         return F.startswith(told, F.lit(_KINDS[kind]))
     return told == _KINDS[kind]
 
 
+def _is_number(v: Column) -> Column:
+    """Also one too large to be finite, which is of no type of a schema."""
+    told = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    return told.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(told, F.lit("DECIMAL"))
+
+
 def _described(v: Column) -> Column:
     told = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
     out = F.lit("number")
@@ -63,38 +70,95 @@ def _described(v: Column) -> Column:
     return out
 
 
+def _members(v: Column) -> Column:
+    """An object's keys and values; null for all else. A path could not name a key with a dot."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _is_value(v: Column, value) -> Column:
+    """Whether a variant is this JSON value, kind and all; the order of an object's keys, which no variant keeps, is not
+    compared."""
+    if isinstance(value, dict):
+        held = _members(v)
+        same = F.size(held) == len(value)
+        for key, x in value.items():
+            same = same & F.array_contains(F.map_keys(held), key) & _is_value(F.try_element_at(held, F.lit(key)), x)
+    elif isinstance(value, list):
+        held = F.when(_is_kind(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
+        same = F.size(held) == len(value)
+        for i, x in enumerate(value):
+            same = same & _is_value(F.get(held, F.lit(i)), x)
+    elif value is None:
+        same = _is_kind(v, "null")
+    elif isinstance(value, bool):
+        same = _is_kind(v, "boolean") & (F.try_variant_get(v, "$", "boolean") == value)
+    elif isinstance(value, str):
+        same = _is_kind(v, "string") & (F.try_variant_get(v, "$", "string") == value)
+    else:
+        same = _is_number(v) & (F.try_variant_get(v, "$", "double") == float(value))
+    return F.coalesce(same, F.lit(False))
+
+
+_SPACE = r"\x09-\x0d\x20\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_NO_SPACE = r"\x00-\x08\x0e-\x1f\x21-\x9f\xa1-\u167f\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\ufefe\uff00-\x{10ffff}"
+
+
+def _for_java(pattern: str) -> str:
+    r"""A schema's pattern, which is JavaScript's, for Java: `$` is the very end, `.`, `\s` and `\S` have JavaScript's
+    characters, and brackets and ampersands in a class are plain."""
+    within = {r"\s": _SPACE, r"\S": _NO_SPACE, "[": r"\[", "&": r"\&"}
+    alone = {r"\s": f"[{_SPACE}]", r"\S": f"[{_NO_SPACE}]", ".": r"[^\n\r\u2028\u2029]", "$": r"\z", "[]": "(?!)", "[^]": r"[\s\S]"}
+
+    def one(m: re.Match) -> str:
+        t = m[0]
+        if t in alone or len(t) < 3:
+            return alone.get(t, t)
+        head = t[: 1 + (t[1] == "^")]
+        return head + re.sub(r"\\[\s\S]|[\[&]", lambda x: within.get(x[0], x[0]), t[len(head) :])
+
+    return re.sub(r"\\[\s\S]|\[\^?(?:\\[\s\S]|[^\]\\])*\]|[\s\S]", one, pattern)
+
+
+def _told(value) -> str:
+    """A value of a schema as JavaScript writes it."""
+    return json.dumps(int(value) if isinstance(value, float) and value.is_integer() else value, ensure_ascii=False, separators=(",", ":"))
+
+
 def schema_problems(v: Column, schema: dict, path: Column | str = "$") -> Column:
     """What is wrong with a variant under a schema, as `path: message` strings; the schema becomes one expression.
 
-    Known: type, enum and const of plain values, minimum, exclusiveMinimum, maximum, minLength, pattern, items, required,
-    properties, additionalProperties (false or a schema).
+    Known: type, enum and const of any values, minimum, exclusiveMinimum, maximum, minLength (in UTF-16 units), pattern
+    (JavaScript's), items, required, properties, additionalProperties (false or a schema). An object's keys are gone
+    through once: a named one goes to its own schema, any other to additionalProperties.
     """
     path = F.lit(path) if isinstance(path, str) else path
     none = F.array().cast("array<string>")
     found: list[Column] = []
 
-    def add(bad: Column, message: Column | str, at: Column = path):
-        message = F.lit(message) if isinstance(message, str) else message
-        found.append(F.when(F.coalesce(bad, F.lit(False)), F.array(F.concat(at, F.lit(": "), message))).otherwise(none))
+    def add(bad: Column, message: str):
+        found.append(F.when(F.coalesce(bad, F.lit(False)), F.array(F.concat(path, F.lit(f": {message}")))).otherwise(none))
 
     kinds = schema.get("type", [])
     kinds = kinds if isinstance(kinds, list) else [kinds]
     text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
-    is_text, is_number = _is_kind(v, "string"), _is_kind(v, "number")
-    plain = is_text | is_number | _is_kind(v, "boolean")
+    is_text = _is_kind(v, "string")
     if "enum" in schema:
-        add(~F.coalesce(plain & text.isin([str(x) for x in schema["enum"]]), F.lit(False)), "must be one of the choices")
+        known = F.lit(False)
+        for x in schema["enum"]:
+            known = known | _is_value(v, x)
+        add(~known, "must be one of the choices")
     if "const" in schema:
-        add(~F.coalesce(plain & (text == str(schema["const"])), F.lit(False)), f"must equal {schema['const']}")
+        add(~_is_value(v, schema["const"]), f"must equal {_told(schema['const'])}")
     for key, sign, bad in (
         ("minimum", ">=", lambda x: number < x), ("exclusiveMinimum", ">", lambda x: number <= x), ("maximum", "<=", lambda x: number > x),
     ):
         if key in schema:
-            add(is_number & bad(F.lit(schema[key])), f"must be {sign} {schema[key]}")
+            add(_is_number(v) & bad(F.lit(schema[key])), f"must be {sign} {_told(schema[key])}")
     if "minLength" in schema:
-        add(is_text & (F.length(text) < schema["minLength"]), f"must have at least {schema['minLength']} characters")
-    if "pattern" in schema:
-        add(is_text & ~F.rlike(text, F.lit(schema["pattern"])), f"does not match /{schema['pattern']}/")
+        units = F.octet_length(F.encode(text, "UTF-16BE")) / 2
+        add(is_text & (units < schema["minLength"]), f"must have at least {schema['minLength']} characters")
+    if schema.get("pattern"):
+        add(is_text & ~F.rlike(text, F.lit(_for_java(schema["pattern"]))), f"does not match /{schema['pattern']}/")
     if "items" in schema:
         items = F.when(_is_kind(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
 
@@ -103,18 +167,27 @@ def schema_problems(v: Column, schema: dict, path: Column | str = "$") -> Column
             return schema_problems(item, schema["items"], at)
 
         found.append(F.coalesce(F.flatten(F.transform(items, one)), none))
-    named = schema.get("properties", {})
-    is_object = _is_kind(v, "object")
-    keys = F.when(is_object, F.json_object_keys(F.to_json(v)))
-    for key in schema.get("required", []):
-        add(~F.array_contains(keys, key), "required", F.concat(path, F.lit(f".{key}")))
-    for key, sub in named.items():
-        here = schema_problems(F.try_variant_get(v, f"$.{key}", "variant"), sub, F.concat(path, F.lit(f".{key}")))
-        found.append(F.when(F.coalesce(F.array_contains(keys, key), F.lit(False)), here).otherwise(none))
-    if schema.get("additionalProperties") is False:
-        other = F.filter(keys, lambda k: ~k.isin(list(named) or [""]))
-        told = F.transform(other, lambda k: F.concat(path, F.lit("."), k, F.lit(": unknown key")))
+    members = _members(v)
+    if schema.get("required"):
+        lacks = F.array_except(F.array(*map(F.lit, schema["required"])), F.map_keys(members))
+        told = F.transform(lacks, lambda k: F.concat(path, F.lit("."), k, F.lit(": required")))
         found.append(F.coalesce(told, none))
+    named, other = schema.get("properties", {}), schema.get("additionalProperties")
+    if named or other is False or isinstance(other, dict):
+
+        def of_key(e: Column) -> Column:
+            at = F.concat(path, F.lit("."), e["key"])
+            rest = none
+            if other is False:
+                rest = F.array(F.concat(at, F.lit(": unknown key")))
+            elif isinstance(other, dict):
+                rest = schema_problems(e["value"], other, at)
+            cases = F.when(F.lit(False), none)
+            for key, sub in named.items():
+                cases = cases.when(e["key"] == key, schema_problems(e["value"], sub, at))
+            return cases.otherwise(rest)
+
+        found.append(F.coalesce(F.flatten(F.transform(F.map_entries(members), of_key)), none))
     within = F.concat(*found) if found else none
     if not kinds:
         return within
